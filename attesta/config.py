@@ -30,7 +30,7 @@ class VerifyConfig:
     bm25_k1: float = 1.2
     bm25_b: float = 0.75
     max_df_share: float = 0.2
-    seed_docs: int = 50
+    seed_docs: int = 100
 
     # evidence
     nearest_k: int = 5

@@ -63,7 +63,7 @@ def _saturation(scheme: str, index: SearchIndex, k1: float, b: float) -> Column:
 
 def top_k_search(index: SearchIndex, queries: DataFrame, keys: list[str], text: str,
                  k: int = 10, scheme: str = "bm25", k1: float = 1.2, b: float = 0.75,
-                 max_df_share: float | None = 0.2, seed_docs: int = 500) -> DataFrame:
+                 max_df_share: float | None = 0.2, seed_docs: int = 100) -> DataFrame:
     """``keys, search_rank, doc_id, score``: the k best documents per query.
 
     Ties go to the lower document id. ``max_df_share`` drops terms found in a
