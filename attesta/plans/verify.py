@@ -19,7 +19,7 @@ VERDICT_COLS = ["article_id", "claim_id", "claim", "verdict", "source_url", "sou
                 "search_rank", "dist_rank"]
 
 cte("good_sources", """SELECT source FROM documents JOIN labels USING (doc_id) GROUP BY source
-      HAVING sum(quality) * 2 >= count(*)""")
+      HAVING sum(quality) * 20 >= count(*) * 17""")
 cte("hits_marked", """SELECT h.*, regexp_extract(url, '^https://([^.]+)[.]', 1) IN (SELECT source FROM good_sources)
       AS reliable FROM hits h""", "hits", "good_sources")
 cte("first_any", """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY article_id, claim_id
