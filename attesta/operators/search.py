@@ -143,7 +143,8 @@ def top_k_search(index: SearchIndex, queries: DataFrame, keys: list[str], text:
         .select(*keys, "doc_id", "partial", F.col("_q.term").alias("term"), F.col("_q.weight").alias("weight"))
         .join(postings, ["doc_id", "term"], "left")
         .groupBy(*keys, "doc_id")
-        .agg((F.first("partial") + F.coalesce(F.sum(gain), F.lit(0.0))).alias("total"))
+        .agg((F.first("partial") + F.coalesce(F.sum(F.when(F.col("tf").isNotNull(), gain)), F.lit(0.0)))
+             .alias("total"))
     )
     ranked = W.partitionBy(*keys).orderBy(F.desc("score"), "doc_id")
     return (
