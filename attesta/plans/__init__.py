@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def _load() -> None:
-    from attesta.plans import web, texts, replies, claims, nearest, verify  # noqa: F401
+    from attesta.plans import web, texts, replies, claims, nearest, verify, runs  # noqa: F401
 
 
 def all_queries() -> dict:
