@@ -110,12 +110,26 @@ def top_k_search(index: SearchIndex, queries: DataFrame, keys: list[str], text:
         pairs = salted_join(postings, terms, ["term"], hot, spread=["doc_id"])
         return pairs.groupBy(*keys, "doc_id").agg(F.sum(gain).alias("partial"))
 
-    best_first = per_query.orderBy(F.desc("partial"), "doc_id")
-    floors = (
+    def looked_up(candidates: DataFrame, terms: DataFrame) -> DataFrame:
+        """Score of ``terms`` inside the given documents only: equi-join on (document, term)."""
+        return (
+            candidates.join(terms, keys).join(postings, ["doc_id", "term"])
+            .groupBy(*keys, "doc_id").agg(F.sum(gain).alias("found"))
+        )
+
+    # Floor: the k-th best complete score among the most promising seed documents.
+    best_partial = per_query.orderBy(F.desc("partial"), "doc_id")
+    best_found = per_query.orderBy(F.desc("found"), "doc_id")
+    promising = (
         scored(plan.filter("seed").select(*keys, "term", "weight"))
-        .withColumn("_r", F.row_number().over(best_first)).filter(F.col("_r") <= k)
+        .withColumn("_r", F.row_number().over(best_partial)).filter(F.col("_r") <= 4 * k)
+        .select(*keys, "doc_id")
+    )
+    floors = (
+        looked_up(promising, plan.select(*keys, "term", "weight"))
+        .withColumn("_r", F.row_number().over(best_found)).filter(F.col("_r") <= k)
         .groupBy(*keys)
-        .agg(F.when(F.count(F.lit(1)) == k, F.min("partial")).otherwise(F.lit(0.0)).alias("floor"))
+        .agg(F.when(F.count(F.lit(1)) == k, F.min("found")).otherwise(F.lit(0.0)).alias("floor"))
     )
     marked = stage(
         plan.join(floors, keys, "left")
@@ -124,32 +138,33 @@ def top_k_search(index: SearchIndex, queries: DataFrame, keys: list[str], text:
         .select(*keys, "term", "weight", "best", "floor", "weak"),
         "term-roles",
     )
-    rest = (
-        marked.filter("weak").groupBy(*keys)
-        .agg(F.sum("best").alias("rest_best"), F.max("floor").alias("floor"),
-             F.collect_list(F.struct("term", "weight")).alias("rest"))
+    strong = marked.filter("NOT weak").select(*keys, "term", "weight")
+    weak = marked.filter("weak")
+    slack = weak.groupBy(*keys).agg(F.sum("best").alias("rest_best"), F.max("floor").alias("floor"))
+    candidates = stage(
+        scored(strong).join(slack, keys, "left")
+        .filter(F.col("rest_best").isNull() | (F.col("partial") + F.col("rest_best") >= F.col("floor")))
+        .select(*keys, "doc_id", "partial"),
+        "candidates",
     )
-    candidates = (
-        scored(marked.filter("NOT weak").select(*keys, "term", "weight"))
-        .join(rest, keys, "left")
-        .filter(F.col("rest").isNull() | (F.col("partial") + F.col("rest_best") >= F.col("floor")))
-        .drop("rest_best", "floor")
+    # The k-th best partial score is a higher floor still: what stays is close to k per query.
+    raised = (
+        candidates.withColumn("_r", F.row_number().over(best_partial)).filter(F.col("_r") <= k)
+        .groupBy(*keys)
+        .agg(F.when(F.count(F.lit(1)) == k, F.min("partial")).otherwise(F.lit(0.0)).alias("raised"))
     )
-    # Documents still in play are few; weak terms are looked up inside them.
-    complete = candidates.filter("rest IS NULL").select(*keys, "doc_id", F.col("partial").alias("total"))
-    looked_up = (
-        candidates.filter("rest IS NOT NULL")
-        .withColumn("_q", F.explode("rest"))
-        .select(*keys, "doc_id", "partial", F.col("_q.term").alias("term"), F.col("_q.weight").alias("weight"))
-        .join(postings, ["doc_id", "term"], "left")
-        .groupBy(*keys, "doc_id")
-        .agg((F.first("partial") + F.coalesce(F.sum(F.when(F.col("tf").isNotNull(), gain)), F.lit(0.0)))
-             .alias("total"))
+    in_play = (
+        candidates.join(raised, keys).join(slack.select(*keys, "rest_best"), keys, "left")
+        .filter(F.col("partial") + F.coalesce("rest_best", F.lit(0.0)) >= F.col("raised") - SLACK)
+        .select(*keys, "doc_id", "partial")
     )
+    # Weak terms are looked up inside the documents still in play.
+    rest = looked_up(in_play.select(*keys, "doc_id"), weak.select(*keys, "term", "weight"))
+    total = F.col("partial") + F.coalesce("found", F.lit(0.0))
     ranked = W.partitionBy(*keys).orderBy(F.desc("score"), "doc_id")
     return (
-        complete.unionByName(looked_up)
-        .select(*keys, "doc_id", F.round("total", DIGITS).alias("score"))
+        in_play.join(rest, [*keys, "doc_id"], "left")
+        .select(*keys, "doc_id", F.round(total, DIGITS).alias("score"))
         .withColumn("search_rank", F.row_number().over(ranked))
         .filter(F.col("search_rank") <= k)
         .select(*keys, "search_rank", "doc_id", "score")

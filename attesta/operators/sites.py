@@ -14,12 +14,13 @@ GRAM = 8
 def registrable_domains(urls: DataFrame, suffixes: DataFrame) -> DataFrame:
     """``url, domain`` for every distinct URL: one label plus its public suffix.
 
-    Host suffixes are exploded and joined with the rule list (plain, ``*.``
-    and ``!`` rules); the longest match wins. No match leaves an empty suffix,
+    Rules are resolved once per distinct host: its suffixes are exploded and
+    joined with the list (plain, ``*.`` and ``!`` rules); the longest wins. No match leaves an empty suffix,
     so ``localhost`` becomes ``localhost.``.
     """
-    labels = F.split(F.lower(ux.host("url")), r"\.")
-    hosts = urls.select("url").distinct().select("url", labels.alias("labels"))
+    addressed = urls.select("url").distinct().select("url", F.lower(ux.host("url")).alias("host"))
+    labels = F.split("host", r"\.")
+    hosts = addressed.select("host").distinct().select("host", labels.alias("labels"))
     n = F.size("labels")
 
     def tail(count):
@@ -36,49 +37,49 @@ def registrable_domains(urls: DataFrame, suffixes: DataFrame) -> DataFrame:
 
     candidates = F.flatten(F.transform(F.sequence(F.lit(1), n), keys))
     matched = (
-        hosts.select("url", "labels", F.explode(candidates).alias("c"))
-        .select("url", "labels", "c.*")
+        hosts.select("host", F.explode(candidates).alias("c"))
+        .select("host", "c.*")
         .join(suffixes.select(F.col("suffix").alias("rule")).distinct(), "rule")
-        .groupBy("url").agg(F.max(F.struct("rank", "taken")).alias("m"))
-        .select("url", F.col("m.taken").alias("taken"))
+        .groupBy("host").agg(F.max(F.struct("rank", "taken")).alias("m"))
+        .select("host", F.col("m.taken").alias("taken"))
     )
     taken = F.coalesce("taken", F.lit(0))
-    return (
-        hosts.join(matched, "url", "left")
-        .select("url", F.concat(
+    resolved = (
+        hosts.join(matched, "host", "left")
+        .select("host", F.concat(
             F.coalesce(F.get("labels", n - taken - 1), F.lit("")), F.lit("."),
             F.array_join(F.slice("labels", n - taken + 1, taken), ".")).alias("domain"))
     )
+    return addressed.join(resolved, "host").select("url", "domain")
 
 
 def reliable_urls(urls: DataFrame, sites: DataFrame) -> DataFrame:
-    """Distinct URLs the site list covers: equi-join on host suffixes, then the path.
+    """Distinct URLs the site list covers: equi-joins on host suffixes, then the path.
+
+    Sites are matched once per distinct host, not per URL.
 
     Equals matching each site's anchored regex: labels before the site's host
     must be non-empty, a port or query glued to the host does not match, case
     counts, and a site's path must end the URL or be followed by ``/``.
     """
     rest = F.regexp_extract("url", r"^https?://(.*)$", 1)
-    authority = F.substring_index("rest", "/", 1)
-    labels = F.split("authority", r"\.")
-    split_up = (
-        urls.select("url").distinct().select("url", rest.alias("rest"))
-        .filter("rest <> ''")
-        .select("url", "rest", authority.alias("authority"))
-        .select("url", "authority", labels.alias("labels"),
-                F.expr("substring(rest, length(authority) + 1)").alias("url_path"))
+    addressed = (
+        urls.select("url").distinct().select("url", rest.alias("rest")).filter("rest <> ''")
+        .select("url", F.substring_index("rest", "/", 1).alias("authority"),
+                F.expr("substring(rest, length(substring_index(rest, '/', 1)) + 1)").alias("url_path"))
     )
-    parts = (
-        split_up.select("url", "url_path", "labels", F.explode(
-            F.sequence(F.lit(1), F.size("labels"))).alias("at"))
-        .filter(~F.exists(F.slice("labels", 1, F.col("at") - 1), lambda x: x == ""))
-        .select("url", "url_path", F.array_join(
-            F.slice("labels", F.col("at"), F.size("labels")), ".").alias("host"))
+    labels = F.split("authority", r"\.")
+    suffixes = (
+        addressed.select("authority").distinct().select("authority", labels.alias("labels"))
+        .select("authority", "labels", F.explode(F.sequence(F.lit(1), F.size("labels"))).alias("at"))
+        .filter(~F.exists(F.slice("labels", F.lit(1), F.col("at") - 1), lambda x: x == ""))
+        .select("authority", F.array_join(F.slice("labels", F.col("at"), F.size("labels")), ".").alias("host"))
     )
+    rules = suffixes.join(sites.select("host", "path").distinct(), "host").select("authority", "path").distinct()
     covers = (F.col("path") == "") & ((F.col("url_path") == "") | F.col("url_path").startswith("/"))
     covers = covers | ((F.col("path") != "") & (
         (F.col("url_path") == F.col("path")) | F.col("url_path").startswith(F.concat("path", F.lit("/")))))
-    return parts.join(sites.select("host", "path").distinct(), "host").filter(covers).select("url").distinct()
+    return addressed.join(rules, "authority").filter(covers).select("url").distinct()
 
 
 def containing(texts: DataFrame, needles: DataFrame, wildcard: bool = False) -> DataFrame:

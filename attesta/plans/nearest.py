@@ -102,7 +102,8 @@ def prop_units(spark, sf):
 
 def overlap_top(spark, sf, units, k=4):
     index = search.build_index(units, text="unit", doc_id="unit_id")
-    return search.top_k_search(index, tb.claims(spark, sf), CLAIM, "claim", k=k, scheme="overlap", max_df_share=None)
+    return search.top_k_search(index, tb.claims(spark, sf), CLAIM, "claim", k=k, scheme="overlap", max_df_share=None,
+                               seed_docs=1000)
 
 
 @query("k02_top_chunks", with_ctes(

@@ -138,7 +138,7 @@ def x02_streamed_store(spark, sf):
     late = pages.filter(F.length("url") % 3 == 0).select("*", at(minute + 100000))
     first.unionByName(soon).coalesce(1).write.parquet(f"{incoming}")
     late.coalesce(1).write.mode("append").parquet(f"{incoming}")
-    schema = first.schema
-    inc.store_stream(spark, incoming, schema, web.suffix_rules(spark, sf), store,
-                     stage_path(spark, "offsets"), files_per_batch=1).awaitTermination()
+    repeated = stage(pg.boilerplate(pg.page_blocks(pages)), "boilerplate")
+    inc.store_stream(spark, incoming, first.schema, web.suffix_rules(spark, sf), store,
+                     stage_path(spark, "offsets"), repeated, files_per_batch=1).awaitTermination()
     return cs.load(spark, store).select(*STORE_COLS)

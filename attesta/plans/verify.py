@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from attesta.functions import html as hx
 from attesta.operators import evidence, search, verdict
 from attesta.operators import sites as st
 from attesta.operators.staging import spread, stage
@@ -75,7 +74,7 @@ def title_hits(spark, sf):
     raw = spread(tb.table(spark, sf, "pages"), "page_id")
     content = stage(pg.main_content(raw), "content")
     titles = content.select(F.col("page_id").alias("article_id"), F.lit(0).alias("claim_id"),
-                            F.col("url").alias("claim_url"), hx.page_title("html").alias("claim"))
+                            F.col("url").alias("claim_url"), F.col("title").alias("claim"))
     index = search.build_index(content, doc_id="page_id")
     found = search.top_k_search(index, titles, CLAIM, "claim")
     return (found.join(content.select(F.col("page_id").alias("doc_id"), "url"), "doc_id")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from attesta.functions import html as hx
 from attesta.functions import text as tx
 from attesta.functions import urls as ux
+from attesta.operators.staging import stage
 
 
 def article_text(articles: DataFrame, overrides: DataFrame) -> DataFrame:
@@ -21,36 +22,57 @@ def article_text(articles: DataFrame, overrides: DataFrame) -> DataFrame:
     )
 
 
-def main_content(pages: DataFrame, min_pages: int = 3) -> DataFrame:
-    """``page_id, url, html, text``: content blocks without what a host repeats.
+def page_blocks(pages: DataFrame) -> DataFrame:
+    """``page_id, url, host, title, blocks``, staged: the markup is taken apart once."""
+    return stage(
+        pages.select("page_id", "url", ux.host("url").alias("host"), hx.page_title("html").alias("title"),
+                     hx.content_blocks("html").alias("blocks")),
+        "blocks",
+    )
+
+
+def _block_hashes(blocks: DataFrame) -> DataFrame:
+    hashes = F.array_distinct(F.transform("blocks", lambda b: F.md5(b)))
+    return blocks.select("page_id", "host", F.explode(hashes).alias("block"))
+
+
+def boilerplate(blocks: DataFrame, min_pages: int = 3) -> DataFrame:
+    """``host, block`` hashes found on ``min_pages`` or more pages of one host.
 
-    A block found on ``min_pages`` or more pages of one host is boilerplate.
-    Only block hashes are shuffled: they are counted per (host, hash) with a
-    map-side combine, and each page gets back the few hashes to leave out.
+    Counted with a map-side combine: a block on every page of a huge host is
+    one row per task in the shuffle.
     """
-    cut_up = pages.select("page_id", "url", "html", hx.content_blocks("html").alias("blocks"))
-    hashed = cut_up.select("page_id", ux.host("url").alias("host"), F.explode(
-        F.array_distinct(F.transform("blocks", lambda b: F.md5(b)))).alias("block"))
-    repeated = (
-        hashed.groupBy("host", "block").agg(F.count(F.lit(1)).alias("n"))
+    return (
+        _block_hashes(blocks).groupBy("host", "block").agg(F.count(F.lit(1)).alias("n"))
         .filter(F.col("n") >= min_pages).drop("n")
     )
+
+
+def main_content(pages: DataFrame, min_pages: int = 3, repeated: DataFrame | None = None) -> DataFrame:
+    """``page_id, url, title, text``: content blocks without what a host repeats.
+
+    Texts are not regrouped: each page gets back the few hashes to leave out.
+    ``repeated`` is a known boilerplate table, for runs that see only part of
+    a host's pages at a time.
+    """
+    blocks = page_blocks(pages)
+    known = boilerplate(blocks, min_pages) if repeated is None else repeated
     drop = (
-        hashed.join(repeated, ["host", "block"], "left_semi")
+        _block_hashes(blocks).join(known, ["host", "block"], "left_semi")
         .groupBy("page_id").agg(F.collect_list("block").alias("drop"))
     )
     kept = F.filter("blocks", lambda b: ~F.coalesce(F.array_contains("drop", F.md5(b)), F.lit(False)))
     return (
-        cut_up.join(drop, "page_id", "left")
-        .select("page_id", "url", "html", F.array_join(kept, "\n").alias("text"))
+        blocks.join(drop, "page_id", "left")
+        .select("page_id", "url", "title", F.array_join(kept, "\n").alias("text"))
     )
 
 
 def titled(content: DataFrame, include_title: bool = True) -> DataFrame:
     """Title, blank line, text; the text alone without a title. An empty text is a failure."""
-    title = hx.page_title("html")
     body = tx.strip("text")
-    full = F.when(F.lit(include_title) & (title != ""), F.concat(title, F.lit("\n\n"), body)).otherwise(body)
+    with_title = F.concat("title", F.lit("\n\n"), body)
+    full = F.when(F.lit(include_title) & (F.col("title") != ""), with_title).otherwise(body)
     return content.select("page_id", "url", F.when(body != "", full).alias("text"))
 
 

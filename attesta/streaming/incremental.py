@@ -35,16 +35,22 @@ def verify_stream(spark: SparkSession, article_dir: str, schema: StructType, sou
 
 
 def store_stream(spark: SparkSession, page_dir: str, schema: StructType, suffixes: DataFrame, store: str,
-                 checkpoint: str, lateness: str = "30 minutes", files_per_batch: int = 1000):
+                 checkpoint: str, repeated: DataFrame, lateness: str = "30 minutes",
+                 files_per_batch: int = 1000):
     """Put each page's claims into the store once.
 
+    ``repeated`` is the boilerplate table of the corpus so far: one batch
+    alone does not show what a host repeats.
+
     Repeats that arrive within ``lateness`` are dropped by URL in the stream
     state; later ones by an anti join with what is stored.
     """
     def run(batch: DataFrame, batch_id: int) -> None:
-        known = cs.load(spark, store).filter(f"batch <> {batch_id}")
+        # Store rows are looked up by the batch's few URLs, so the store itself is never shuffled.
+        asked = batch.select("url").distinct()
+        known = cs.load(spark, store).filter(f"batch <> {batch_id}").select("url").join(asked, "url", "left_semi")
         new = cs.missing(batch, known)
-        content = pg.main_content(new).filter("text <> ''")
+        content = pg.main_content(new, repeated=repeated).filter("text <> ''")
         cs.append(cs.claims_of(content, st.registrable_domains(new, suffixes)), store, batch_id)
 
     arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(page_dir)
