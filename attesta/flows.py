@@ -20,7 +20,7 @@ CLAIM = evidence.CLAIM
 
 @dataclass(frozen=True)
 class Verified:
-    """Tables of one run; all but ``hits`` are lazy."""
+    """Tables of one run; hits and the evidence behind the verdicts are already written."""
 
     claims: DataFrame
     hits: DataFrame
@@ -84,5 +84,5 @@ def verify(articles: DataFrame, sources: DataFrame, config: VerifyConfig = Verif
         pairs = tiles.filter("at IS NOT NULL").withColumnRenamed("at", "source_claim_id")
         order = ["search_rank", "source_claim_id"]
     carry = [*order, *(c for c in ("doc_id", "source_claim_id", "relation") if c not in order)]
-    first = evidence.with_source_text(evidence.first_decisive(pairs, order, carry), sources)
+    first = evidence.with_source_text(stage(evidence.first_decisive(pairs, order, carry), "first"), sources)
     return Verified(claims, hits, verdict.verdicts(claims, first))

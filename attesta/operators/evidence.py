@@ -110,7 +110,10 @@ def first_decisive(pairs: DataFrame, order: list[str], carry: list[str]) -> Data
 
 
 def with_source_text(evidence: DataFrame, sources: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Bring the text of the chosen source claim back; only sources in use are split."""
+    """Bring the text of the chosen source claim back; only sources in use are split.
+
+    ``evidence`` is read twice: pass a staged table.
+    """
     wanted = sources.join(evidence.select(key).distinct(), key, "left_semi")
     texts = source_claims(wanted, [key, "url"]).withColumnRenamed("url", "source_url")
     return evidence.join(texts, [key, "source_claim_id"])

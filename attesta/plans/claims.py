@@ -67,12 +67,13 @@ _STEPS = "".join(
 
 
 @query("t08_cleaned_claims", with_ctes(
-    f"""SELECT conv_id, turn, list_filter(list_transform(claims, lambda c: {strip('c')}), lambda c: c <> '') AS claims FROM (
+    f"""SELECT conv_id, turn, array_to_string(list_filter(list_transform(claims, lambda c: {strip('c')}), lambda c: c <> ''),
+      chr(10)) AS claims FROM (
       WITH s0 AS (SELECT * FROM lists){_STEPS} SELECT conv_id, turn, CASE WHEN len(list_filter(claims,
       lambda c: NOT ends_with(c, '.'))) = 0 THEN list_transform(claims, lambda c: substr(c, 1, length(c) - 1)) ELSE claims END
       AS claims FROM s{len(ql.PREFIXES)})""", "lists"))
 def t08_cleaned_claims(spark, sf):
-    return prefixed_lists(spark, sf).select("conv_id", "turn", ql.clean_claims("claims").alias("claims"))
+    return prefixed_lists(spark, sf).select("conv_id", "turn", F.array_join(ql.clean_claims("claims"), "\n").alias("claims"))
 
 
 @query("a06_all_end_with_dot", with_ctes(

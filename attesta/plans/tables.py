@@ -53,9 +53,9 @@ def pairs(spark: SparkSession, sf_dir: str, found: DataFrame | None = None) -> D
 
 
 def first_hit(spark: SparkSession, sf_dir: str, found: DataFrame | None = None) -> DataFrame:
-    first = evidence.first_decisive(
+    first = stage(evidence.first_decisive(
         pairs(spark, sf_dir, found), ["search_rank", "dist_rank"],
-        ["search_rank", "dist_rank", "doc_id", "source_claim_id", "dist", "relation"])
+        ["search_rank", "dist_rank", "doc_id", "source_claim_id", "dist", "relation"]), "first")
     return evidence.with_source_text(first, sources(spark, sf_dir))
 
 

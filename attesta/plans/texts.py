@@ -173,7 +173,7 @@ def n07_punctuation_pieces(spark, sf):
 
 @query("n09_topic_segments", with_ctes(f"""
     SELECT doc_id, i, sentence, coalesce(sum(CASE WHEN g < coalesce(pg, 1.0) AND g <= coalesce(ng, 1.0) AND g < m
-        THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+        THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT
       AS segment FROM (
       SELECT *, lag(g) OVER w AS pg, lead(g) OVER w AS ng, round(avg(g) OVER (PARTITION BY doc_id), 6) AS m FROM (
         SELECT doc_id, i, sentence, CASE WHEN nx IS NULL THEN NULL WHEN len(l) * len(r) = 0 THEN 0.0
@@ -193,7 +193,7 @@ _ENT = (f"list_distinct(list_transform(regexp_extract_all(regexp_replace(sentenc
 
 
 @query("n10_entity_groups", with_ctes(f"""
-    SELECT doc_id, i, sentence, sum(b) OVER (PARTITION BY doc_id ORDER BY i) AS group_id FROM (
+    SELECT doc_id, i, sentence, (sum(b) OVER (PARTITION BY doc_id ORDER BY i))::BIGINT AS group_id FROM (
       SELECT *, CASE WHEN i = 0 OR list_has_any(e, lag(e) OVER (PARTITION BY doc_id ORDER BY i)) THEN 0 ELSE 1 END AS b
       FROM (SELECT *, {_ENT} AS e FROM doc_sents))""", "doc_sents"))
 def n10_entity_groups(spark, sf):

@@ -88,11 +88,12 @@ def p05_without_own_page(spark, sf):
 
 
 @query("u03_sources_minus_own", with_ctes(
-    "SELECT article_id, claim_id, coalesce(list_sort(list(url) FILTER (WHERE url <> claim_url)), []) AS urls "
+    "SELECT article_id, claim_id, coalesce(string_agg(url, ' ' ORDER BY url) FILTER (WHERE url <> claim_url), '') AS urls "
     "FROM title_hits GROUP BY article_id, claim_id", "title_hits"))
 def u03_sources_minus_own(spark, sf):
     found = title_hits(spark, sf).groupBy(*CLAIM, "claim_url").agg(F.collect_list("url").alias("urls"))
-    return found.select(*CLAIM, F.array_sort(F.array_except("urls", F.array("claim_url"))).alias("urls"))
+    return found.select(*CLAIM, F.array_join(
+        F.array_sort(F.array_except("urls", F.array("claim_url"))), " ").alias("urls"))
 
 
 # ---- evidence ---------------------------------------------------------------------
