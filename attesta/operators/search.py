@@ -1,10 +1,15 @@
 """Ranked corpus search: exact top-k by BM25 or token overlap, pruned before it shuffles.
 
-A query's k-th best partial score over its rarest terms is a floor for the
+Copies are searched once: documents with the same tokens are one document with
+a count, queries with the same tokens are one query, and both are expanded at
+the end.
+
+A query's k-th best score over a few promising documents is a floor for the
 final k-th score. Terms whose best possible contributions together stay below
 that floor cannot bring a new document into the top k, so their (long) posting
 lists are never joined with the queries; they are only looked up inside the
-few documents that survive. The result equals scoring every document.
+few documents that survive. The result equals scoring every document, and when
+the postings to join are few that is what is done.
 """
 
 from __future__ import annotations
@@ -16,41 +21,52 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from attesta.functions import text as tx
-from attesta.operators.skew import salted_join
+from attesta.operators.skew import MAX_HOT_KEYS, hot_keys, salted_join
 from attesta.operators.staging import stage
 
 # Scores are rounded to this many digits before ranking; floors give way by SLACK.
 DIGITS = 6
 SLACK = 1e-5
-HOT_POSTINGS = 500_000
+HOT_POSTINGS = 500_000      # postings of one term in one join partition
+HOT_QUERIES = 200_000       # copies of one query in one join partition
+PRUNE_ABOVE = 20_000_000    # postings to join before pruning pays for its extra passes
+
+QID = "_qid"
 
 
 @dataclass(frozen=True)
 class SearchIndex:
-    """Tokenised corpus, written once: ``doc_id, dl, terms array<struct<term, tf>>``."""
+    """Tokenised corpus, written once.
+
+    ``forward``: ``doc_id, dl, digest, terms array<struct<term, tf>>``;
+    ``groups``: the lowest ``doc_id`` of each distinct token sequence, its
+    ``digest`` and number of copies ``n``.
+    """
 
     forward: DataFrame
+    groups: DataFrame
     n_docs: int
     avg_len: float
+    has_copies: bool
 
 
 def build_index(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> SearchIndex:
     """Tokenise every document once and stage the result; collection sizes come from it."""
-    toks = tx.tokens(text)
+    toks = F.col("_toks")
     forward = stage(
-        docs.select(F.col(doc_id).alias("doc_id"), toks.alias("_toks"))
-        .select("doc_id", F.size("_toks").alias("dl"), tx.term_counts(F.col("_toks")).alias("terms")),
+        docs.select(F.col(doc_id).alias("doc_id"), tx.tokens(text).alias("_toks"))
+        .select("doc_id", F.size(toks).alias("dl"), F.md5(F.array_join(toks, " ")).alias("digest"),
+                tx.term_counts(toks).alias("terms")),
         "forward",
     )
-    sizes = forward.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avg")).first()
-    return SearchIndex(forward, sizes["n"], sizes["avg"] or 1.0)
-
-
-def query_terms(queries: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """Distinct terms of every query with the number of terms it has."""
-    terms = F.array_distinct(tx.tokens(text))
-    return queries.select(*keys, terms.alias("_t")).select(
-        *keys, F.size("_t").alias("n_terms"), F.explode("_t").alias("term"))
+    groups = stage(
+        forward.groupBy("digest", "dl").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n")),
+        "copies",
+    )
+    sizes = groups.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("dl")).alias("len"), F.max("n").alias("top")).first()
+    n_docs = sizes["n"] or 0
+    return SearchIndex(forward, groups, n_docs, (sizes["len"] or 0) / n_docs if sizes["len"] else 1.0,
+                       (sizes["top"] or 0) > 1)
 
 
 def _saturation(scheme: str, index: SearchIndex, k1: float, b: float) -> Column:
@@ -61,111 +77,136 @@ def _saturation(scheme: str, index: SearchIndex, k1: float, b: float) -> Column:
     return (F.col("tf") * F.lit(k1 + 1.0)) / (F.col("tf") + F.lit(k1) * norm)
 
 
+def _best(scores: DataFrame, by: str, k: int, keys: list[str]) -> DataFrame:
+    ranked = W.partitionBy(*keys).orderBy(F.desc(by), "doc_id")
+    return scores.withColumn("search_rank", F.row_number().over(ranked)).filter(F.col("search_rank") <= k)
+
+
+def _kth(scores: DataFrame, by: str, k: int) -> DataFrame:
+    """Per query the k-th best score, 0 with fewer than k documents."""
+    full = F.count(F.lit(1)) == k
+    return _best(scores, by, k, [QID]).groupBy(QID).agg(F.when(full, F.min(by)).otherwise(F.lit(0.0)).alias("floor"))
+
+
 def top_k_search(index: SearchIndex, queries: DataFrame, keys: list[str], text: str,
                  k: int = 10, scheme: str = "bm25", k1: float = 1.2, b: float = 0.75,
-                 max_df_share: float | None = 0.2, seed_docs: int = 100) -> DataFrame:
+                 max_df_share: float | None = 0.2, seed_docs: int = 100,
+                 prune_above: int | None = None) -> DataFrame:
     """``keys, search_rank, doc_id, score``: the k best documents per query.
 
     Ties go to the lower document id. ``max_df_share`` drops terms found in a
     larger share of the corpus, which is part of the scoring rule, not a
     sample; None keeps every term. Documents sharing no kept term are absent.
     """
-    wanted = query_terms(queries, keys, text)
+    asked = queries.select(*keys, F.array_sort(F.array_distinct(tx.tokens(text))).alias("_t")).select(
+        *keys, F.md5(F.array_join("_t", " ")).alias(QID), "_t")
+    wanted = (
+        asked.groupBy(QID).agg(F.first("_t").alias("_t"))
+        .select(QID, F.size("_t").alias("n_terms"), F.explode("_t").alias("term"))
+    )
     postings = stage(
-        index.forward.select("doc_id", "dl", F.explode("terms").alias("_p"))
-        .select("doc_id", "dl", F.col("_p.term").alias("term"), F.col("_p.tf").alias("tf"))
+        index.forward.select("doc_id", "dl", "terms").join(index.groups.select("doc_id", "n"), "doc_id")
+        .select("doc_id", "dl", "n", F.explode("terms").alias("_p"))
+        .select("doc_id", "dl", "n", F.col("_p.term").alias("term"), F.col("_p.tf").alias("tf"))
         .join(wanted.select("term").distinct(), "term", "left_semi"),
         "postings",
     )
+    plan = _term_plan(index, wanted, postings, scheme, k1, b, max_df_share, seed_docs)
     strength = _saturation(scheme, index, k1, b)
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max(strength).alias("top"))
+    to_join = plan.agg(F.sum("rows").alias("rows")).first()["rows"] or 0
+    if to_join <= (PRUNE_ABOVE if prune_above is None else prune_above):
+        scores = _scored(postings, plan, strength).withColumnRenamed("partial", "total")
+    else:
+        scores = _pruned_scores(postings, plan, strength, k)
+    best = _best(scores.select(QID, "doc_id", F.round("total", DIGITS).alias("score")), "score", k, [QID])
+    if index.has_copies:
+        best = _with_copies(index, stage(best.drop("search_rank"), "best"), k)
+    copies = asked.select(*keys, QID)
+    found = salted_join(copies, best, [QID], hot_keys(copies, [QID], HOT_QUERIES), spread=keys)
+    return found.select(*keys, "search_rank", "doc_id", "score")
+
+
+def _term_plan(index, wanted, postings, scheme, k1, b, max_df_share, seed_docs) -> DataFrame:
+    """Query terms with weight, best contribution, whether rare enough to seed the
+    floor, and the running sum of best contributions from the weakest term up."""
+    stats = postings.groupBy("term").agg(
+        F.sum("n").alias("df"), F.count(F.lit(1)).alias("rows"), F.max(_saturation(scheme, index, k1, b)).alias("top"))
     if max_df_share is not None:
-        df = df.filter(F.col("df") <= F.lit(max_df_share) * F.lit(index.n_docs))
+        stats = stats.filter(F.col("df") <= F.lit(max_df_share) * F.lit(index.n_docs))
     if scheme == "overlap":
         weight = F.lit(1.0) / F.col("n_terms")
     else:
         weight = F.log(F.lit(1.0) + (F.lit(float(index.n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-
-    per_query = W.partitionBy(*keys)
-    rare_first = per_query.orderBy(F.asc("df"), "term").rowsBetween(W.unboundedPreceding, -1)
-    weak_first = per_query.orderBy(F.asc("best"), F.desc("df"), F.desc("term")) \
+    rare_first = W.partitionBy(QID).orderBy(F.asc("rows"), "term").rowsBetween(W.unboundedPreceding, -1)
+    weak_first = W.partitionBy(QID).orderBy(F.asc("best"), F.desc("rows"), F.desc("term")) \
         .rowsBetween(W.unboundedPreceding, W.currentRow)
-    plan = stage(
-        wanted.join(df, "term")
+    return stage(
+        wanted.join(stats, "term")
         .withColumn("weight", weight)
         .withColumn("best", F.col("weight") * F.col("top"))
-        .withColumn("seed", F.coalesce(F.sum("df").over(rare_first), F.lit(0)) < seed_docs)
+        .withColumn("seed", F.coalesce(F.sum("rows").over(rare_first), F.lit(0)) < seed_docs)
         .withColumn("weak_sum", F.sum("best").over(weak_first)),
         "term-plan",
     )
 
-    gain = F.col("weight") * strength
+
+def _scored(postings: DataFrame, terms: DataFrame, strength: Column) -> DataFrame:
+    """Score of the given query terms per (query, document); frequent terms are salted."""
     hot = (
-        plan.select("term", "df").distinct().filter(F.col("df") > HOT_POSTINGS)
-        .orderBy(F.desc("df"), "term").limit(20_000)
-        .select("term", F.ceil(F.col("df") / HOT_POSTINGS).cast("int").alias("_parts"))
+        terms.filter(F.col("rows") > HOT_POSTINGS).select("term", "rows").distinct()
+        .orderBy(F.desc("rows"), "term").limit(MAX_HOT_KEYS)
+        .select("term", F.ceil(F.col("rows") / HOT_POSTINGS).cast("int").alias("_parts"))
     )
+    pairs = salted_join(postings, terms.select(QID, "term", "weight"), ["term"], hot, spread=["doc_id"])
+    return pairs.groupBy(QID, "doc_id").agg(F.sum(F.col("weight") * strength).alias("partial"))
 
-    def scored(terms: DataFrame) -> DataFrame:
-        pairs = salted_join(postings, terms, ["term"], hot, spread=["doc_id"])
-        return pairs.groupBy(*keys, "doc_id").agg(F.sum(gain).alias("partial"))
-
-    def looked_up(candidates: DataFrame, terms: DataFrame) -> DataFrame:
-        """Score of ``terms`` inside the given documents only: equi-join on (document, term)."""
-        return (
-            candidates.join(terms, keys).join(postings, ["doc_id", "term"])
-            .groupBy(*keys, "doc_id").agg(F.sum(gain).alias("found"))
-        )
 
+def _pruned_scores(postings: DataFrame, plan: DataFrame, strength: Column, k: int) -> DataFrame:
     # Floor: the k-th best complete score among the most promising seed documents.
-    best_partial = per_query.orderBy(F.desc("partial"), "doc_id")
-    best_found = per_query.orderBy(F.desc("found"), "doc_id")
-    promising = (
-        scored(plan.filter("seed").select(*keys, "term", "weight"))
-        .withColumn("_r", F.row_number().over(best_partial)).filter(F.col("_r") <= 4 * k)
-        .select(*keys, "doc_id")
-    )
-    floors = (
-        looked_up(promising, plan.select(*keys, "term", "weight"))
-        .withColumn("_r", F.row_number().over(best_found)).filter(F.col("_r") <= k)
-        .groupBy(*keys)
-        .agg(F.when(F.count(F.lit(1)) == k, F.min("found")).otherwise(F.lit(0.0)).alias("floor"))
+    promising = _best(_scored(postings, plan.filter("seed"), strength), "partial", 4 * k, [QID]).select(QID, "doc_id")
+    complete = (
+        promising.join(plan.select(QID, "term", "weight"), QID).join(postings, ["doc_id", "term"])
+        .groupBy(QID, "doc_id").agg(F.sum(F.col("weight") * strength).alias("partial"))
     )
     marked = stage(
-        plan.join(floors, keys, "left")
-        .withColumn("floor", F.coalesce("floor", F.lit(0.0)) - SLACK)
-        .withColumn("weak", F.col("weak_sum") < F.col("floor"))
-        .select(*keys, "term", "weight", "best", "floor", "weak"),
+        plan.join(_kth(complete, "partial", k), QID, "left")
+        .withColumn("weak", F.col("weak_sum") < F.coalesce("floor", F.lit(0.0)) - SLACK)
+        .select(QID, "term", "rows", "weight", "best", "floor", "weak"),
         "term-roles",
     )
-    strong = marked.filter("NOT weak").select(*keys, "term", "weight")
-    weak = marked.filter("weak")
-    slack = weak.groupBy(*keys).agg(F.sum("best").alias("rest_best"), F.max("floor").alias("floor"))
+    # One row per query: what its weak terms could add, and the terms themselves.
+    weak = marked.filter("weak").groupBy(QID).agg(
+        F.sum("best").alias("rest_best"), F.max("floor").alias("floor"),
+        F.collect_list(F.struct("term", "weight")).alias("rest"))
+    reachable = F.col("partial") + F.coalesce("rest_best", F.lit(0.0)) >= F.coalesce("floor", F.lit(0.0)) - SLACK
     candidates = stage(
-        scored(strong).join(slack, keys, "left")
-        .filter(F.col("rest_best").isNull() | (F.col("partial") + F.col("rest_best") >= F.col("floor")))
-        .select(*keys, "doc_id", "partial"),
+        _scored(postings, marked.filter("NOT weak"), strength)
+        .join(weak.drop("rest"), QID, "left").filter(reachable).select(QID, "doc_id", "partial"),
         "candidates",
     )
-    # The k-th best partial score is a higher floor still: what stays is close to k per query.
-    raised = (
-        candidates.withColumn("_r", F.row_number().over(best_partial)).filter(F.col("_r") <= k)
-        .groupBy(*keys)
-        .agg(F.when(F.count(F.lit(1)) == k, F.min("partial")).otherwise(F.lit(0.0)).alias("raised"))
-    )
-    in_play = (
-        candidates.join(raised, keys).join(slack.select(*keys, "rest_best"), keys, "left")
-        .filter(F.col("partial") + F.coalesce("rest_best", F.lit(0.0)) >= F.col("raised") - SLACK)
-        .select(*keys, "doc_id", "partial")
-    )
-    # Weak terms are looked up inside the documents still in play.
-    rest = looked_up(in_play.select(*keys, "doc_id"), weak.select(*keys, "term", "weight"))
-    total = F.col("partial") + F.coalesce("found", F.lit(0.0))
-    ranked = W.partitionBy(*keys).orderBy(F.desc("score"), "doc_id")
+    # The k-th best partial score is a higher floor still: what stays is closer to k per query.
+    limits = _kth(candidates, "partial", k).join(weak.drop("floor"), QID, "left")
+    none = F.array().cast("array<struct<term:string,weight:double>>")
     return (
-        in_play.join(rest, [*keys, "doc_id"], "left")
-        .select(*keys, "doc_id", F.round(total, DIGITS).alias("score"))
-        .withColumn("search_rank", F.row_number().over(ranked))
-        .filter(F.col("search_rank") <= k)
-        .select(*keys, "search_rank", "doc_id", "score")
+        candidates.join(limits, QID).filter(reachable)
+        .select(QID, "doc_id", "partial", F.explode_outer(F.coalesce("rest", none)).alias("_q"))
+        .select(QID, "doc_id", "partial", F.col("_q.term").alias("term"), F.col("_q.weight").alias("weight"))
+        .join(postings, ["doc_id", "term"], "left")
+        .groupBy(QID, "doc_id")
+        .agg((F.max("partial") + F.coalesce(F.sum(F.when(F.col("tf").isNotNull(), F.col("weight") * strength)), F.lit(0.0)))
+             .alias("total"))
+    )
+
+
+def _with_copies(index: SearchIndex, best: DataFrame, k: int) -> DataFrame:
+    """Put the copies of found documents back: of each, the k lowest ids are enough."""
+    found = index.groups.filter("n > 1").join(best.select("doc_id").distinct(), "doc_id", "left_semi").select("digest", "doc_id")
+    by_id = W.partitionBy("digest").orderBy("member")
+    members = (
+        index.forward.select("digest", F.col("doc_id").alias("member"))
+        .join(found, "digest").filter("member <> doc_id")
+        .withColumn("_r", F.row_number().over(by_id)).filter(F.col("_r") < k)
+        .select("doc_id", "member")
     )
+    copies = best.join(members, "doc_id").select(QID, F.col("member").alias("doc_id"), "score")
+    return _best(best.select(QID, "doc_id", "score").unionByName(copies), "score", k, [QID])

@@ -45,17 +45,22 @@ def corpus(seed, n_docs=80, n_queries=12, vocabulary=60):
     words = [f"w{i}" for i in range(vocabulary)]
     weights = [1 / (i + 1) for i in range(vocabulary)]
     docs = [(i, " ".join(rng.choices(words, weights, k=rng.randint(1, 40)))) for i in range(n_docs)]
+    docs += [(1000 - i, docs[i % 3][1].upper()) for i in range(30)]         # many copies of three documents
     queries = [(i // 3, i % 3, " ".join(rng.choices(words, weights, k=rng.randint(1, 9)))) for i in range(n_queries)]
+    queries += [(50 + i, 0, queries[1][2]) for i in range(8)]                # copies of one query
     return docs, queries + [(90, 0, ""), (91, 0, "unseen words")]
 
 
 @pytest.mark.parametrize("scheme, share, seed_docs, hot", [
     ("bm25", 0.2, 5, 500_000), ("bm25", None, 1, 10), ("overlap", None, 5, 500_000), ("overlap", None, 10_000, 3)])
-def test_pruned_search_equals_brute_force(spark, monkeypatch, scheme, share, seed_docs, hot):
+@pytest.mark.parametrize("prune_above", [0, 10**9])
+def test_search_equals_brute_force(spark, monkeypatch, scheme, share, seed_docs, hot, prune_above):
     monkeypatch.setattr(search, "HOT_POSTINGS", hot)
+    monkeypatch.setattr(search, "HOT_QUERIES", hot)
     docs, queries = corpus(seed_docs + (scheme == "overlap"))
     index = search.build_index(spark.createDataFrame(docs, "doc_id long, text string"))
     asked = spark.createDataFrame(queries, "article_id long, claim_id int, claim string")
-    found = search.top_k_search(index, asked, KEYS, "claim", k=5, scheme=scheme, max_df_share=share, seed_docs=seed_docs)
+    found = search.top_k_search(index, asked, KEYS, "claim", k=5, scheme=scheme, max_df_share=share,
+                                seed_docs=seed_docs, prune_above=prune_above)
     got = sorted((a, c, r, d, round(s, 5)) for a, c, r, d, s in values(found, *KEYS, "search_rank", "doc_id", "score"))
     assert got == brute(docs, queries, 5, scheme, share)
