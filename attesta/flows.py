@@ -50,7 +50,10 @@ def extract_claims(articles: DataFrame, config: VerifyConfig) -> DataFrame:
             arrays = cx.rewrite_in_order(arrays, rewriter=config.rewriter).select(*keys, F.col("rewritten").alias("claims"))
         claims = arrays.select(*keys, F.posexplode("claims").alias("claim_id", "claim"))
     claims = claims.filter(F.size(tx.tokens("claim")) >= config.min_claim_tokens)
-    return quality.falsifiable(claims, config.check_falsifiability)
+    claims = quality.falsifiable(claims, config.check_falsifiability)
+    # A plugged model runs once; native claims are cheaper to make again than to write.
+    plugged = config.extractor is not None or config.rewriter is not None
+    return stage(claims, "claims") if plugged else claims
 
 
 def verify(articles: DataFrame, sources: DataFrame, config: VerifyConfig = VerifyConfig(),

@@ -71,8 +71,7 @@ def term_counts(toks: Column) -> Column:
 
 def negation_odd(toks: Column) -> Column:
     """True when the text holds an odd number of negation words."""
-    words = F.array(*[F.lit(w) for w in NEGATIONS])
-    return F.size(F.filter(toks, lambda t: F.array_contains(words, t))) % 2 == 1
+    return F.size(F.filter(toks, lambda t: t.isin(NEGATIONS))) % 2 == 1
 
 
 def numbers(toks: Column) -> Column:

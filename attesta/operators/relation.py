@@ -21,12 +21,10 @@ ENTAILMENT, CONTRADICTION, NEUTRAL = "entailment", "contradiction", "neutral"
 
 def profile(c) -> Column:
     """What the rule needs from one text: distinct tokens, numbers, negation parity."""
-    toks = tx.tokens(c)
-    return F.struct(
+    return tx.let(tx.tokens(c), lambda toks: F.struct(
         F.array_distinct(toks).alias("toks"),
         tx.numbers(toks).alias("nums"),
-        tx.negation_odd(toks).alias("neg"),
-    )
+        tx.negation_odd(toks).alias("neg")))
 
 
 def shared(h: Column, p: Column) -> Column:

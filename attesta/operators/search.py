@@ -31,7 +31,7 @@ HOT_POSTINGS = 500_000      # postings of one term in one join partition
 HOT_QUERIES = 200_000       # copies of one query in one join partition
 PRUNE_ABOVE = 20_000_000    # postings to join before pruning pays for its extra passes
 
-QID = "_qid"
+QID = ["_q1", "_q2"]       # two 64-bit hashes of a query's terms
 
 
 @dataclass(frozen=True)
@@ -85,7 +85,7 @@ def _best(scores: DataFrame, by: str, k: int, keys: list[str]) -> DataFrame:
 def _kth(scores: DataFrame, by: str, k: int) -> DataFrame:
     """Per query the k-th best score, 0 with fewer than k documents."""
     full = F.count(F.lit(1)) == k
-    return _best(scores, by, k, [QID]).groupBy(QID).agg(F.when(full, F.min(by)).otherwise(F.lit(0.0)).alias("floor"))
+    return _best(scores, by, k, QID).groupBy(*QID).agg(F.when(full, F.min(by)).otherwise(F.lit(0.0)).alias("floor"))
 
 
 def top_k_search(index: SearchIndex, queries: DataFrame, keys: list[str], text: str,
@@ -99,10 +99,10 @@ def top_k_search(index: SearchIndex, queries: DataFrame, keys: list[str], text:
     sample; None keeps every term. Documents sharing no kept term are absent.
     """
     asked = queries.select(*keys, F.array_sort(F.array_distinct(tx.tokens(text))).alias("_t")).select(
-        *keys, F.md5(F.array_join("_t", " ")).alias(QID), "_t")
+        *keys, F.xxhash64("_t").alias("_q1"), F.xxhash64(F.lit("2"), "_t").alias("_q2"), "_t")
     wanted = (
-        asked.groupBy(QID).agg(F.first("_t").alias("_t"))
-        .select(QID, F.size("_t").alias("n_terms"), F.explode("_t").alias("term"))
+        asked.groupBy(*QID).agg(F.first("_t").alias("_t"))
+        .select(*QID, F.size("_t").alias("n_terms"), F.explode("_t").alias("term"))
     )
     postings = stage(
         index.forward.select("doc_id", "dl", "terms").join(index.groups.select("doc_id", "n"), "doc_id")
@@ -118,11 +118,11 @@ def top_k_search(index: SearchIndex, queries: DataFrame, keys: list[str], text:
         scores = _scored(postings, plan, strength).withColumnRenamed("partial", "total")
     else:
         scores = _pruned_scores(postings, plan, strength, k)
-    best = _best(scores.select(QID, "doc_id", F.round("total", DIGITS).alias("score")), "score", k, [QID])
+    best = _best(scores.select(*QID, "doc_id", F.round("total", DIGITS).alias("score")), "score", k, QID)
     if index.has_copies:
         best = _with_copies(index, stage(best.drop("search_rank"), "best"), k)
-    copies = asked.select(*keys, QID)
-    found = salted_join(copies, best, [QID], hot_keys(copies, [QID], HOT_QUERIES), spread=keys)
+    copies = asked.select(*keys, *QID)
+    found = salted_join(copies, best, QID, hot_keys(copies, QID, HOT_QUERIES), spread=keys)
     return found.select(*keys, "search_rank", "doc_id", "score")
 
 
@@ -137,8 +137,8 @@ def _term_plan(index, wanted, postings, scheme, k1, b, max_df_share, seed_docs)
         weight = F.lit(1.0) / F.col("n_terms")
     else:
         weight = F.log(F.lit(1.0) + (F.lit(float(index.n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    rare_first = W.partitionBy(QID).orderBy(F.asc("rows"), "term").rowsBetween(W.unboundedPreceding, -1)
-    weak_first = W.partitionBy(QID).orderBy(F.asc("best"), F.desc("rows"), F.desc("term")) \
+    rare_first = W.partitionBy(*QID).orderBy(F.asc("rows"), "term").rowsBetween(W.unboundedPreceding, -1)
+    weak_first = W.partitionBy(*QID).orderBy(F.asc("best"), F.desc("rows"), F.desc("term")) \
         .rowsBetween(W.unboundedPreceding, W.currentRow)
     return stage(
         wanted.join(stats, "term")
@@ -157,31 +157,31 @@ def _scored(postings: DataFrame, terms: DataFrame, strength: Column) -> DataFram
         .orderBy(F.desc("rows"), "term").limit(MAX_HOT_KEYS)
         .select("term", F.ceil(F.col("rows") / HOT_POSTINGS).cast("int").alias("_parts"))
     )
-    pairs = salted_join(postings, terms.select(QID, "term", "weight"), ["term"], hot, spread=["doc_id"])
-    return pairs.groupBy(QID, "doc_id").agg(F.sum(F.col("weight") * strength).alias("partial"))
+    pairs = salted_join(postings, terms.select(*QID, "term", "weight"), ["term"], hot, spread=["doc_id"])
+    return pairs.groupBy(*QID, "doc_id").agg(F.sum(F.col("weight") * strength).alias("partial"))
 
 
 def _pruned_scores(postings: DataFrame, plan: DataFrame, strength: Column, k: int) -> DataFrame:
     # Floor: the k-th best complete score among the most promising seed documents.
-    promising = _best(_scored(postings, plan.filter("seed"), strength), "partial", 4 * k, [QID]).select(QID, "doc_id")
+    promising = _best(_scored(postings, plan.filter("seed"), strength), "partial", 4 * k, QID).select(*QID, "doc_id")
     complete = (
-        promising.join(plan.select(QID, "term", "weight"), QID).join(postings, ["doc_id", "term"])
-        .groupBy(QID, "doc_id").agg(F.sum(F.col("weight") * strength).alias("partial"))
+        promising.join(plan.select(*QID, "term", "weight"), QID).join(postings, ["doc_id", "term"])
+        .groupBy(*QID, "doc_id").agg(F.sum(F.col("weight") * strength).alias("partial"))
     )
     marked = stage(
         plan.join(_kth(complete, "partial", k), QID, "left")
         .withColumn("weak", F.col("weak_sum") < F.coalesce("floor", F.lit(0.0)) - SLACK)
-        .select(QID, "term", "rows", "weight", "best", "floor", "weak"),
+        .select(*QID, "term", "rows", "weight", "best", "floor", "weak"),
         "term-roles",
     )
     # One row per query: what its weak terms could add, and the terms themselves.
-    weak = marked.filter("weak").groupBy(QID).agg(
+    weak = marked.filter("weak").groupBy(*QID).agg(
         F.sum("best").alias("rest_best"), F.max("floor").alias("floor"),
         F.collect_list(F.struct("term", "weight")).alias("rest"))
     reachable = F.col("partial") + F.coalesce("rest_best", F.lit(0.0)) >= F.coalesce("floor", F.lit(0.0)) - SLACK
     candidates = stage(
         _scored(postings, marked.filter("NOT weak"), strength)
-        .join(weak.drop("rest"), QID, "left").filter(reachable).select(QID, "doc_id", "partial"),
+        .join(weak.drop("rest"), QID, "left").filter(reachable).select(*QID, "doc_id", "partial"),
         "candidates",
     )
     # The k-th best partial score is a higher floor still: what stays is closer to k per query.
@@ -189,10 +189,10 @@ def _pruned_scores(postings: DataFrame, plan: DataFrame, strength: Column, k: in
     none = F.array().cast("array<struct<term:string,weight:double>>")
     return (
         candidates.join(limits, QID).filter(reachable)
-        .select(QID, "doc_id", "partial", F.explode_outer(F.coalesce("rest", none)).alias("_q"))
-        .select(QID, "doc_id", "partial", F.col("_q.term").alias("term"), F.col("_q.weight").alias("weight"))
+        .select(*QID, "doc_id", "partial", F.explode_outer(F.coalesce("rest", none)).alias("_q"))
+        .select(*QID, "doc_id", "partial", F.col("_q.term").alias("term"), F.col("_q.weight").alias("weight"))
         .join(postings, ["doc_id", "term"], "left")
-        .groupBy(QID, "doc_id")
+        .groupBy(*QID, "doc_id")
         .agg((F.max("partial") + F.coalesce(F.sum(F.when(F.col("tf").isNotNull(), F.col("weight") * strength)), F.lit(0.0)))
              .alias("total"))
     )
@@ -208,5 +208,5 @@ def _with_copies(index: SearchIndex, best: DataFrame, k: int) -> DataFrame:
         .withColumn("_r", F.row_number().over(by_id)).filter(F.col("_r") < k)
         .select("doc_id", "member")
     )
-    copies = best.join(members, "doc_id").select(QID, F.col("member").alias("doc_id"), "score")
-    return _best(best.select(QID, "doc_id", "score").unionByName(copies), "score", k, [QID])
+    copies = best.join(members, "doc_id").select(*QID, F.col("member").alias("doc_id"), "score")
+    return _best(best.select(*QID, "doc_id", "score").unionByName(copies), "score", k, QID)

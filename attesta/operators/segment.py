@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from attesta.functions import text as tx
+from attesta.operators.skew import numbered
+from attesta.operators.staging import stage
 
 # Separators from coarse to fine, clause and discourse markers.
 SEPARATORS = ["\n\n", "\n", " "]
@@ -139,16 +141,16 @@ def extracted_claims(chunked: DataFrame, keys: list[str],
     ``extractor`` maps an iterator of chunk batches to lists of claim lists
     and may load its model once. Positions follow (chunk, place in reply).
     """
-    from attesta.operators.skew import numbered
-
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for claims in extractor(batches):
             yield pd.Series(list(claims))
 
-    rows = (
+    # Staged: numbering reads the rows twice, the model must not run twice.
+    rows = stage(
         chunked.filter(~tx.is_blank("chunk"))
-        .select(*keys, "chunk_id", "chunk", F.posexplode(run("chunk")).alias("_pos", "claim"))
+        .select(*keys, "chunk_id", "chunk", F.posexplode(run("chunk")).alias("_pos", "claim")),
+        "extracted",
     )
     return numbered(rows, keys, ["chunk_id", "_pos"], F.floor(F.col("chunk_id") / 256), "claim_id").drop("_pos")
 

@@ -111,3 +111,16 @@ def test_fusion_and_comparison(spark):
     assert values(fused, "fused_rank", "doc_id") == [(1, 11), (2, 10)]
     row = retrieval.compare(a, b, ["q"], "doc_id").first()
     assert (row["common"], row["jaccard"]) == (1, 0.333333)
+
+
+def test_entity_filter_keeps_hits_that_share_a_name(spark):
+    claims = spark.createDataFrame([(1, 0, "Later on Ada Lovelace wrote notes")], "article_id long, claim_id int, claim string")
+    docs = spark.createDataFrame([(7, "Once more Ada Lovelace spoke. End."), (8, "Ada opened. Nobody else Came.")], "doc_id long, text string")
+    hits = spark.createDataFrame([(1, 0, 7, 1), (1, 0, 8, 2)], "article_id long, claim_id int, doc_id long, search_rank int")
+    assert values(retrieval.entity_filter(hits, claims, docs, ["article_id", "claim_id"]), "doc_id") == [(7,)]
+
+
+def test_rerank_orders_by_closest_sentence(spark):
+    rows = [(1, 1, 10, 0.5), (1, 1, 10, 0.2), (1, 2, 11, 0.1), (1, 3, 12, 0.2)]
+    pairs = spark.createDataFrame(rows, "q int, search_rank int, doc_id int, dist double")
+    assert values(retrieval.rerank(pairs, ["q"]), "new_rank", "doc_id") == [(1, 11), (2, 10), (3, 12)]

@@ -170,3 +170,9 @@ def test_grade_gate(spark):
     got = dict(values(rq.graded(spark.createDataFrame(rows, "id string, reply string")), "id", "passed"))
     assert got == {"a": True, "b": False, "c": False, "d": False, "e": False}
 
+
+
+def test_entity_groups_join_neighbours(spark):
+    text = "We met Ada Lovelace. Then Ada Lovelace left. It rained in Rome. In old Rome it was wet."
+    df = spark.createDataFrame([(1, text)], "doc_id int, text string")
+    assert values(sg.entity_groups(df, ["doc_id"]), "i", "group_id") == [(0, 0), (1, 0), (2, 1), (3, 1)]
