@@ -161,15 +161,21 @@ def _scored(postings: DataFrame, terms: DataFrame, strength: Column) -> DataFram
     return pairs.groupBy(*QID, "doc_id").agg(F.sum(F.col("weight") * strength).alias("partial"))
 
 
-def _pruned_scores(postings: DataFrame, plan: DataFrame, strength: Column, k: int) -> DataFrame:
-    # Floor: the k-th best complete score among the most promising seed documents.
-    promising = _best(_scored(postings, plan.filter("seed"), strength), "partial", 4 * k, QID).select(*QID, "doc_id")
+def _floor(postings: DataFrame, scores: DataFrame, terms: DataFrame, strength: Column, k: int) -> DataFrame:
+    """Per query the k-th best complete score among its most promising documents:
+    the true k-th score is at least that."""
     complete = (
-        promising.join(plan.select(*QID, "term", "weight"), QID).join(postings, ["doc_id", "term"])
+        _best(scores, "partial", 4 * k, QID).select(*QID, "doc_id")
+        .join(terms.select(*QID, "term", "weight"), QID).join(postings, ["doc_id", "term"])
         .groupBy(*QID, "doc_id").agg(F.sum(F.col("weight") * strength).alias("partial"))
     )
+    return _kth(complete, "partial", k)
+
+
+def _pruned_scores(postings: DataFrame, plan: DataFrame, strength: Column, k: int) -> DataFrame:
+    floor = _floor(postings, _scored(postings, plan.filter("seed"), strength), plan, strength, k)
     marked = stage(
-        plan.join(_kth(complete, "partial", k), QID, "left")
+        plan.join(floor, QID, "left")
         .withColumn("weak", F.col("weak_sum") < F.coalesce("floor", F.lit(0.0)) - SLACK)
         .select(*QID, "term", "rows", "weight", "best", "floor", "weak"),
         "term-roles",
@@ -184,8 +190,8 @@ def _pruned_scores(postings: DataFrame, plan: DataFrame, strength: Column, k: in
         .join(weak.drop("rest"), QID, "left").filter(reachable).select(*QID, "doc_id", "partial"),
         "candidates",
     )
-    # The k-th best partial score is a higher floor still: what stays is closer to k per query.
-    limits = _kth(candidates, "partial", k).join(weak.drop("floor"), QID, "left")
+    # The best candidates give a higher floor still: what stays is closer to k per query.
+    limits = _floor(postings, candidates, plan, strength, k).join(weak.drop("floor"), QID, "left")
     none = F.array().cast("array<struct<term:string,weight:double>>")
     return (
         candidates.join(limits, QID).filter(reachable)
