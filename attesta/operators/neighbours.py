@@ -96,8 +96,8 @@ def nearest_vectors(queries: DataFrame, vectors: DataFrame, k: int, on: tuple[st
     return best.withColumn("dist_rank", F.row_number().over(ranked)).filter(F.col("dist_rank") <= k)
 
 
-def nearest_by_projection(queries: DataFrame, vectors: DataFrame, k: int, dims: int, tables: int = 12,
-                          bits: int = 5, skip_self: bool = False) -> DataFrame:
+def nearest_by_projection(queries: DataFrame, vectors: DataFrame, k: int, dims: int, tables: int = 16,
+                          bits: int = 4, skip_self: bool = False) -> DataFrame:
     """Approximate k nearest: only vectors sharing a projection bucket are compared.
 
     A bucket holding much of the data is cut into tiles like any group, so it
