@@ -176,3 +176,10 @@ def test_entity_groups_join_neighbours(spark):
     text = "We met Ada Lovelace. Then Ada Lovelace left. It rained in Rome. In old Rome it was wet."
     df = spark.createDataFrame([(1, text)], "doc_id int, text string")
     assert values(sg.entity_groups(df, ["doc_id"]), "i", "group_id") == [(0, 0), (1, 0), (2, 1), (3, 1)]
+
+
+def test_clause_and_discourse_cuts(spark):
+    df = spark.createDataFrame([("It rained. However, we left because it ended; all went home, and he slept.",)], "text string")
+    row = df.select(sg.discourse_pieces(F.col("text")).alias("d"), sg.clause_claims(F.col("text"), 2).alias("c")).first()
+    assert row["d"] == ["It rained.", "However we left", "because it ended; all went home, and he slept."]
+    assert row["c"] == ["It rained.", "However, we left because it ended", "all went home", "he slept."]
