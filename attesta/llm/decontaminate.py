@@ -7,7 +7,7 @@ comparing all words of the window. Explode, probe and verification are one
 code-generated stage without a shuffle; only verified hits are shuffled.
 
 The set is broadcast only when its size has been counted and is within
-``broadcast_rows``; beyond that the same join is left to Spark's own choice.
+``broadcast_rows``; beyond that single words join the set by shuffle and candidates are verified in a second join.
 
 Defined cases: null or empty texts have no words and are never hit; items without words give no
 window; equal windows of several items are one entry with all their ids; null item ids are not listed;
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.words import GAPS, lower_words, raw_words, whole
+from attesta.llm.words import GAPS, fresh, lower_words, raw_words, whole
 
 WINDOW = 10
 BROADCAST_ROWS = 1_000_000
@@ -47,18 +47,21 @@ def item_windows(items: DataFrame, size: int = WINDOW, id_col: str = "item_id",
 def window_hits(docs: DataFrame, windows: DataFrame, broadcast_rows: int = BROADCAST_ROWS,
                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Verified occurrences: doc_id, text_hash, start, n, item_ids."""
-    if windows.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        windows = F.broadcast(windows)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(whole(text_col)).alias("text_hash"),
                         lower_words(whole(text_col)).alias("words"))
     start = F.col("p") - F.col("place")
-    return (
-        texts.select("doc_id", "text_hash", "words", F.posexplode("words").alias("p", "word"))
-        .join(windows, F.col("word") == F.col("filed"))
-        .filter((start >= 0) & (start + F.col("n") <= F.size("words")))
-        .filter(F.slice("words", F.greatest(start + 1, F.lit(1)), F.col("n")) == F.col("gram"))
-        .select("doc_id", "text_hash", start.alias("start"), "n", "item_ids")
-    )
+    here = F.slice("words", F.greatest(start + 1, F.lit(1)), F.col("n")) == F.col("gram")
+    fits = (start >= 0) & (start + F.col("n") <= F.size("words"))
+    found = ["doc_id", "text_hash", start.alias("start"), "n", "item_ids"]
+    if windows.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        # the word list is not copied: explode, probe and comparison run in one generated loop per document
+        probed = texts.select("doc_id", "text_hash", "words", F.posexplode("words").alias("p", "word"))
+        return probed.join(F.broadcast(windows), F.col("word") == F.col("filed")).filter(fits).filter(here).select(*found)
+    # too many to broadcast: join single words, then bring the candidates back to their texts
+    single = texts.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("h"), F.posexplode("words").alias("p", "word"))
+    candidates = single.join(windows, F.col("word") == F.col("filed")).drop("word", "filed").distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("h"))
+    return candidates.join(texts, same).filter(fits).filter(here).select(*found)
 
 
 def merged(hits: Column) -> Column:
@@ -98,20 +101,21 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, broadca
 def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, mode: str = "documents",
                   broadcast_rows: int = BROADCAST_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows without benchmark passages: drop hit documents, or (``mode="spans"``) only the hit words."""
+    key, digest, cut = fresh(docs, "__id", "__hash", "__spans")
     found = hit_spans(window_hits(docs, item_windows(items, size), broadcast_rows, id_col, text_col)).select(
-        F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("spans").alias("__spans"))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(whole(text_col)) == F.col("__hash"))
+        F.col("doc_id").alias(key), F.col("text_hash").alias(digest), F.col("spans").alias(cut))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(key)) & (F.xxhash64(whole(text_col)) == F.col(digest))
     if mode == "documents":
         return docs.join(found, same, "left_anti")
     if mode != "spans":
         raise ValueError(f"unknown mode {mode!r}")
     word_class = "[^" + GAPS[1:-2] + "]+"
     pieces = F.regexp_extract_all(whole(text_col), F.lit(f"{GAPS[:-1]}*{word_class}"), F.lit(0))
-    kept = F.filter(pieces, lambda x, i: ~F.exists("__spans", lambda s: (s["start"] <= i) & (i < s["end"])))
+    kept = F.filter(pieces, lambda x, i: ~F.exists(cut, lambda s: (s["start"] <= i) & (i < s["end"])))
     tail = F.regexp_extract(whole(text_col), f"{GAPS}$", 0)
     return (
         docs.join(found, same, "left")
-        .withColumn(text_col, F.when(F.col("__spans").isNull(), F.col(text_col))
+        .withColumn(text_col, F.when(F.col(cut).isNull(), F.col(text_col))
                     .otherwise(F.concat(F.array_join(kept, ""), tail)))
-        .drop("__id", "__hash", "__spans")
+        .drop(key, digest, cut)
     )

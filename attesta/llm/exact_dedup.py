@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.words import whole
+from attesta.llm.words import fresh, whole
 
 WHITE_SPACE = " \t\n\x0b\x0c\r"
 LAST_ID = 2**63 - 1
@@ -68,12 +68,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 hash_of=content_hash) -> DataFrame:
     """The rows that stay, with all their columns; of repeated rows one stays."""
-    keys = ["__h", "__sha", "__id", "__n"]
+    keys = h, sha, key, n = fresh(docs, "__h", "__sha", "__id", "__n")
     norm = normalised(whole(text_col))
-    named = docs.withColumns({"__h": hash_of(norm), "__sha": F.sha2(norm, 256),
-                              "__id": F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("")),
-                              "__n": F.length(whole(text_col))})
+    named = docs.withColumns({h: hash_of(norm), sha: F.sha2(norm, 256), n: F.length(whole(text_col)),
+                              key: F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit(""))})
     keep = _groups(_keyed(docs, id_col, text_col, hash_of)).select(
-        F.col("h").alias("__h"), F.col("text_sha256").alias("__sha"),
-        F.coalesce(F.col("keep_id").cast("string"), F.lit("")).alias("__id"), F.col("keep_n").alias("__n"))
+        F.col("h").alias(h), F.col("text_sha256").alias(sha),
+        F.coalesce(F.col("keep_id").cast("string"), F.lit("")).alias(key), F.col("keep_n").alias(n))
     return named.dropDuplicates(keys).join(keep, keys, "left_semi").drop(*keys)

@@ -19,7 +19,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.words import lower_words, raw_words, whole
+from attesta.llm.words import fresh, lower_words, raw_words, whole
 
 RESULT = ["n_words", "base_starts", "base_labels", "detections", "labels", "score"]
 BEFORE, AFTER = 10, 14
@@ -69,7 +69,6 @@ CC_NAMES = {"by": "attribution", "nc": "non ?commercial", "nd": "no ?deriv(?:ati
 CC_VERSIONS = ["1 0", "2 0", "2 5", "3 0", "4 0"]
 LICENSE = "licen[cs]ed?"
 FORMS = [  # lead-in, tail, confidence
-    ("spdx license identifier ", "", 1.0),
     (f"(?:{LICENSE}|released|distributed|available|provided) under (?:the )?(?:terms of )?(?:the )?", f"(?: {LICENSE})?", 0.95),
     ("(?:subject to|governed by|covered by) (?:the )?(?:terms of )?(?:the )?", f"(?: {LICENSE})?", 0.9),
     ("", f" {LICENSE}", 0.7),
@@ -98,6 +97,8 @@ def rules() -> list[Rule]:
             found.append(Rule(f"{label}-{dotted}", f"\\bspdx license identifier {label} {v}(?: 0)?(?: only| or later)?\\b", "spdx", 1.0))
             found.append(Rule(f"{label}-{dotted}", f"\\b{label} ?v?{v}\\b", label, 0.8))
         found.append(Rule(label, f"\\b{name} {LICENSE}\\b", keyword, 0.8))
+    for label, _, _ in NAMES:
+        found.append(Rule(label, f"\\bspdx license identifier {label.replace('-', ' ').replace('.', ' ')}\\b", "spdx", 1.0))
     for lead, tail, confidence in FORMS:
         found += [Rule(label, f"\\b{lead}{name}{tail}\\b", keyword, confidence) for label, name, keyword in NAMES]
     return found
@@ -163,10 +164,10 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", ruled: list[Rule] | N
     """``docs`` with the columns in ``RESULT`` added (replacing columns of these names)."""
     ruled = rules() if ruled is None else ruled
     base_type = "array<struct<start:int,label:string>>"
-    text, gated = whole(text_col), F.col("__gated")
-    words = F.col("__words")
-    kept = docs.drop(*RESULT).withColumn("__gated", text.rlike(TEXT_GATE))
-    kept = kept.withColumn("__words", F.when(gated, lower_words(text)))
+    gate, split = fresh(docs, "__gated", "__words")
+    text, gated, words = whole(text_col), F.col(gate), F.col(split)
+    kept = docs.drop(*RESULT).withColumn(gate, text.rlike(TEXT_GATE))
+    kept = kept.withColumn(split, F.when(gated, lower_words(text)))
     kept = kept.withColumn("n_words", F.when(gated, F.size(words)).otherwise(F.size(raw_words(text))).cast("long"))
     places = F.filter(F.transform(words, lambda w, i: F.when(w.isin(*GATE), i)), lambda i: i.isNotNull())
     found = F.array_distinct(F.flatten(F.transform(places, lambda i: _hits(words, i, ruled))))
@@ -177,4 +178,4 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", ruled: list[Rule] | N
     sure = F.concat(F.transform("detections", lambda d: d["confidence"]), F.transform("base_starts", lambda b: F.lit(0.7)))
     return kept.withColumns({
         "base_labels": base, "labels": F.array_sort(F.array_distinct(F.concat(base, own))),
-        "score": F.coalesce(F.array_max(sure), F.lit(0.0))}).drop("__gated", "__words")
+        "score": F.coalesce(F.array_max(sure), F.lit(0.0))}).drop(gate, split)

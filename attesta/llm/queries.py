@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm import checks, decontaminate, exact_dedup, license_rules, reply_trees, sketch_join
+from attesta.llm import (bpe_chunks, checks, decontaminate, exact_dedup, html_blocks, license_rules, quality_net, reply_trees,
+                         shards, sketch_join, token_counts)
+from attesta.llm.words import whole
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 CHECKS: dict[str, str] = {}
+BYTE_VOCABULARY = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 DIGEST_TEXT = r"\### Assistant: </turn> ok"
 
 
@@ -28,6 +32,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str = BYTE_VOCABULARY) -> str:
+    """Definition of a public tokenizer, read on the driver."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name), encoding="utf-8") as f:
+        return f.read()
+
+
+def unigrams(name: str = PIECES) -> list[tuple[str, float]]:
+    """Pieces and scores of a public vocabulary, read on the driver."""
+    import public_tokenizers
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(name))
+    return [(model.id_to_piece(i), model.get_score(i)) for i in range(model.get_piece_size())]
+
+
+@query("op1_html_blocks")
+def op1_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_blocks.extract(pages, html_blocks.fit(pages)).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("op2_token_counts")
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram token count of every document."""
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), unigrams())
+
+
+@query("op3_quality_net")
+def op3_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; held-out rows are never learned from."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality_net.score(docs, quality_net.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", quality_net.held_out().alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @query("op4_reply_trees", checks.REPLY_TREES)
 def op4_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one that holds the template's own marks, formatted and read back."""
@@ -58,12 +101,30 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+@query("op6_bpe_chunks")
+def op6_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded again."""
+    definition = vocabulary()
+    encoded = bpe_chunks.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), definition)
+    decoded = bpe_chunks.decode(encoded.select("doc_id", "n_tokens", "ids"), definition)
+    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 @query("op7_exact_dedup", checks.EXACT_DEDUP)
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its group of equal texts."""
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+@query("op8_shards")
+def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shuffled shards."""
+    done = shards.shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select(
+        "doc_id", "size", F.crc32(whole("text").cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"),
+        "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 @query("op9_license_rules")
 def op9_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and rule labels of every document."""

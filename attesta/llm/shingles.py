@@ -56,22 +56,32 @@ def text_blocks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]
         at = to
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of a block in order, and the number of words before each row."""
+def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of a block; no word crosses a row."""
     n = len(data)
-    if n == 0:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
     solid = ~_IS_SPACE[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     first, last = solid.copy(), solid.copy()
     first[1:] &= ~solid[:-1] | edge[1:n]
     last[:-1] &= ~solid[1:] | edge[1:n]
-    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    up, down = _power(n)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTES[data] * up, out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts]), np.searchsorted(starts, offsets)
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Polynomial hashes of spans of a block, from one prefix sum."""
+    up, down = _power(len(values))
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * up, out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * down[starts])
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of a block in order, and the number of words before each row."""
+    if len(data) == 0:
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+    starts, ends = word_bounds(data, offsets)
+    return span_hashes(_BYTES[data], starts, ends), np.searchsorted(starts, offsets)
 
 
 def shingle_sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attesta.llm import shingles
-from attesta.llm.words import whole
+from attesta.llm.words import fresh, whole
 from attesta.operators.staging import stage
 
 GROUP = 32
@@ -324,8 +324,9 @@ def _across(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component: the one with the smallest id (rows without shingles all stay)."""
+    [name] = fresh(docs, "__key")
     found = near_components(docs, id_col, text_col)
     lost = stage(found.filter(F.col("cls").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id")))
-                 .select(F.col("key").alias("__key")).distinct(), "lost")
+                 .select(F.col("key").alias(name)).distinct(), "lost")
     key = F.coalesce(F.col(id_col).cast("long"), F.xxhash64(whole(text_col)))
-    return docs.withColumn("__key", key).join(lost, "__key", "left_anti").drop("__key")
+    return docs.withColumn(name, key).join(lost, name, "left_anti").drop(name)

@@ -28,3 +28,14 @@ def raw_words(text: Column) -> Column:
 
 def lower_words(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(text), GAPS), "")
+
+
+def fresh(df, *names: str) -> list[str]:
+    """Column names that ``df`` does not have, one for each given."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
