@@ -10,11 +10,13 @@ each set sends its sketch under its own band and the one below. Linked sets a, b
 
 Frequent words. A sketch word in more than ``GROUP`` sets makes no pairs. That loses nothing while a set keeps enough
 other words (more than its differences). Sets that do not are sketched again among themselves, one shingle a word;
-those still without enough are compared through their frequent words: first with the ends of each group, then across
-what is not yet connected.
+those still without enough are compared through their frequent words: first with the most central set of each group, then
+across what is not yet connected.
 
-Verification. Equal sets are one class. Members of a word's group are linked to the first one where the
-exact similarity allows; then pairs across components are verified. Pairs inside a component are never made.
+Verification. Equal sets are one class. Members of a word's group are paired with its ends; what is linked is one component,
+then pairs across components follow. Pairs inside a component are never made. A pair is first tried on parity
+sketches of about one bit a shingle: if their Hamming distance exceeds the differences allowed, it cannot link. The rest is
+decided on the whole sets.
 
 Scale. Sketch words travel packed by hash bucket; the number of buckets follows the bytes of text. A frequent word is
 cut to ``GROUP + 1`` sets per map task, the rest bypasses its bucket. Shingles and sets are compared by 64-bit hashes.
@@ -65,29 +67,50 @@ def keys_of(n: int) -> list[tuple[int, int, int]]:
     return found
 
 
-def sketch(found: np.ndarray, band: int, end: int, fine: bool) -> np.ndarray:
+def sketch(found: np.ndarray, band: int, end: int) -> np.ndarray:
     """Non-empty sketch words under a band, with their places mixed in. ``found`` is sorted."""
-    tag = np.uint64((band * 2 + fine + 1) * _TAG % 2**64)
-    if fine or end < FINE_BELOW:
+    tag = np.uint64((band + 1) * _TAG % 2**64)
+    if end < FINE_BELOW:
         return shingles.mix(found + tag)
     places = ((found >> np.uint64(32)) * np.uint64((end + 1) // 2)) >> np.uint64(32)
     cut = np.flatnonzero(np.concatenate([[True], places[1:] != places[:-1]]))
     return shingles.mix(np.bitwise_xor.reduceat(found, cut) + shingles.mix(places[cut] + tag))
 
 
-def _slack(found: np.ndarray, fine: bool) -> int:
+def slack(found: np.ndarray) -> int:
     """How many of a set's sketch words may be too frequent before a link could be missed."""
-    return min(len(sketch(found, band, end, fine)) - most - 1 for band, end, most in keys_of(len(found)))
+    return min(len(sketch(found, band, end)) - most - 1 for band, end, most in keys_of(len(found)))
+
+
+def fine_slack(n: int) -> int:
+    """The same with one shingle a word: a partner lacks a quarter of a set's own shingles at most."""
+    return n - n // 4 - 1
+
+
+def parity(found: np.ndarray) -> bytes:
+    """Bit sketch: each shingle flips one of m bits, m the power of two from the set's size up (64 at least)."""
+    m = 1 << max(6, int(len(found) - 1).bit_length())
+    return np.packbits((np.bincount((found & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1).astype(np.uint8)).tobytes()
+
+
+def hamming(x: bytes, y: bytes) -> int:
+    """Differing bits; a longer sketch is folded to the shorter one's length. Never above the symmetric difference."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    while len(a) > len(b):
+        a = a[:len(a) // 2] ^ a[len(a) // 2:]
+    while len(b) > len(a):
+        b = b[:len(b) // 2] ^ b[len(b) // 2:]
+    return int(np.bitwise_count(a ^ b).sum())
 
 
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [(int(shingles.fingerprint(s)) if len(s) else None, len(s), _slack(s, False) if len(s) else 0,
-                 _slack(s, True) if len(s) else 0) for _, s in shingles.shingle_sets(batch.column("text"))]
-        cls, n, slack, fine = zip(*rows) if rows else ((), (), (), ())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("key"), batch.column("doc_id"), pa.array(cls, pa.int64()), pa.array(n, pa.int64()),
-             pa.array(slack, pa.int64()), pa.array(fine, pa.int64())], names=["key", "doc_id", "cls", "n", "slack", "fine_slack"])
+        rows = [(shingles.fingerprint(s), len(s), slack(s), fine_slack(len(s)), parity(s)) if len(s) else (None, 0, 0, 0, None)
+                for _, s in shingles.shingle_sets(batch.column("text"))]
+        columns = list(zip(*rows)) if rows else [()] * 5
+        kinds = [pa.int64()] * 4 + [pa.binary()]
+        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("doc_id"), *[pa.array(c, k) for c, k in zip(columns, kinds)]],
+                                         names=["key", "doc_id", "cls", "n", "slack", "fine_slack", "bits"])
 
 
 def _packed(words: np.ndarray, owner: np.ndarray, classes: np.ndarray, bits: int, salt: int) -> Iterator[tuple]:
@@ -136,8 +159,8 @@ def _sketches(bits: int, fine: bool) -> Callable:
                     continue
                 seen[cls] = len(classes)
                 classes.append(cls)
-                for band, end, _ in keys_of(len(found)):
-                    words.append(sketch(found, band, end, fine))
+                for made in [shingles.mix(found)] if fine else [sketch(found, band, end) for band, end, _ in keys_of(len(found))]:
+                    words.append(made)
                     owners.append(np.full(len(words[-1]), seen[cls], np.int32))
                     size += len(words[-1])
                 if size >= FLUSH:
@@ -202,32 +225,48 @@ def _shared(texts: DataFrame, total: int, fine: bool) -> DataFrame:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [(shingles.fingerprint(s), len(s), s.tobytes()) for _, s in shingles.shingle_sets(batch.column("text")) if len(s)]
+        rows = [(shingles.fingerprint(s), s.tobytes()) for _, s in shingles.shingle_sets(batch.column("text")) if len(s)]
         if rows:
-            cls, n, found = zip(*rows)
-            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(n, pa.int64()), pa.array(found, pa.binary())],
-                                             names=["cls", "n", "found"])
+            cls, found = zip(*rows)
+            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(found, pa.binary())], names=["cls", "found"])
 
 
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        a, b = [], []
-        for x, y, fx, fy in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "fa", "fb"))):
-            fx, fy = np.frombuffer(fx, np.uint64), np.frombuffer(fy, np.uint64)
-            both = len(np.intersect1d(fx, fy, assume_unique=True))
-            if 100 * both >= 75 * (len(fx) + len(fy) - both):
-                a.append(x)
-                b.append(y)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+def _passed(test: Callable, *names: str) -> Callable:
+    """Pairs (a, b) for which ``test`` of the named columns' values holds."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = [test(*values) for values in zip(*(batch.column(c).to_pylist() for c in names))]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+    return run
+
+
+def _may_link(na: int, nb: int, x: bytes, y: bytes) -> bool:
+    return 7 * hamming(x, y) <= na + nb
+
+
+def _link(x: bytes, y: bytes) -> bool:
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= 75 * (len(a) + len(b) - both)
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes that link, by their whole sets."""
-    left = sets.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("found").alias("fa"))
-    right = sets.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("found").alias("fb"))
-    sized = (pairs.join(left.drop("fa"), "a").join(right.drop("fb"), "b")
-             .filter((F.col("na") * 4 >= F.col("nb") * 3) & (F.col("nb") * 4 >= F.col("na") * 3)).select("a", "b"))
-    return sized.join(left, "a").join(right, "b").select("a", "b", "fa", "fb").mapInArrow(_linked, "a long, b long")
+def _beside(pairs: DataFrame, facts: DataFrame, *names: str) -> DataFrame:
+    """Pairs with the named columns of both classes (suffixed by side)."""
+    for side in ("a", "b"):
+        pairs = pairs.join(facts.select(F.col("cls").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in names]), side)
+    return pairs
+
+
+def verified(pairs: DataFrame, known: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes that link: by size, then by bit sketch, then by their whole sets."""
+    sized = (_beside(pairs, known.select("cls", "n"), "n")
+             .filter((F.col("n_a") * 4 >= F.col("n_b") * 3) & (F.col("n_b") * 4 >= F.col("n_a") * 3)))
+    left = stage(_beside(sized, known.select("cls", "bits"), "bits").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
+                 .mapInArrow(_passed(_may_link, "n_a", "n_b", "bits_a", "bits_b"), "a long, b long"), "near-pairs")
+    named = left.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    keys = stage(known.join(named, "cls", "left_semi").select("key").distinct(), "keys")
+    sets = stage(texts.join(keys, "key", "left_semi").select("text").mapInArrow(_sets, "cls long, found binary").dropDuplicates(["cls"]), "sets")
+    return _beside(left, sets, "found").select("a", "b", "found_a", "found_b").mapInArrow(_passed(_link, "found_a", "found_b"), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -261,13 +300,13 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Every document: doc_id, key (the id, or a hash of the text for a null id), n_shingles, cls (null: no shingles), component_id."""
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.xxhash64(whole(text_col))).alias("key"),
                         F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text"))
-    profiles = stage(texts.mapInArrow(_profiles, "key long, doc_id long, cls long, n long, slack long, fine_slack long"), "profiles")
+    profiles = stage(texts.mapInArrow(_profiles, "key long, doc_id long, cls long, n long, slack long, fine_slack long, bits binary"), "profiles")
     total = docs.select(F.sum(F.octet_length(whole(text_col)))).first()[0] or 0
     shared = _shared(texts.select("text"), total, False)
     groups, hot = _split(shared)
 
     def keys(classes: DataFrame) -> DataFrame:
-        return profiles.join(classes, "cls", "left_semi").groupBy("cls").agg(F.min("key").alias("key")).select("key").distinct()
+        return stage(profiles.join(classes, "cls", "left_semi").groupBy("cls").agg(F.min("key").alias("key")).select("key").distinct(), "keys")
 
     def short(hot: DataFrame, slack: str) -> DataFrame:
         """Classes that may not have enough words left for every link to be found by them."""
@@ -287,19 +326,20 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = _ends(groups)
     named = groups.select(F.explode("members").alias("cls"))
     if crowded is not None:
-        ends = crowded.groupBy("word").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"))
-        hub = crowded.join(ends, "word")
-        pairs = pairs.unionByName(_ordered(hub.select(F.explode(F.array("lo", "hi")).alias("a"), F.col("cls").alias("b")))).distinct()
+        # the member with the most frequent words is the most central one of its family
+        weight = crowded.groupBy("cls").agg(F.count(F.lit(1)).alias("weight"))
+        hubs = crowded.join(weight, "cls").groupBy("word").agg(F.max("cls").alias("last"), F.max_by("cls", F.struct("weight", "cls")).alias("hub"))
+        star = crowded.join(hubs, "word").select(F.explode(F.array("hub", "last")).alias("a"), F.col("cls").alias("b"))
+        pairs = pairs.unionByName(_ordered(star)).distinct()
         named = named.unionByName(crowded.select("cls"))
-    sets = stage(texts.join(keys(named.distinct()), "key", "left_semi").select("text")
-                 .mapInArrow(_sets, "cls long, n long, found binary").dropDuplicates(["cls"]), "sets")
+    known = stage(profiles.join(named.distinct(), "cls", "left_semi").select("cls", "key", "n", "bits").dropDuplicates(["cls"]), "known")
     pairs = stage(pairs, "pairs")
-    links = stage(verified(pairs, sets), "links")
+    links = stage(verified(pairs, known, texts), "links")
     labels = components(links)
     across = _across(groups.withColumn("g", F.xxhash64("members")).select("g", F.explode("members").alias("cls")), labels)
     if crowded is not None:
-        across = across.unionByName(_across(crowded.select(F.col("word").alias("g"), "cls"), labels)).distinct()
-    second = stage(verified(across.join(pairs, ["a", "b"], "left_anti"), sets), "links")
+        across = across.unionByName(_between(crowded, labels)).distinct()
+    second = stage(verified(across.join(pairs, ["a", "b"], "left_anti"), known, texts), "links")
     if not second.isEmpty():
         labels = components(links.unionByName(second))
     rooted = profiles.join(labels, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
@@ -322,6 +362,16 @@ def _across(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return _ordered(left.join(right, "g").filter("root < root2").select(F.col("cls").alias("a"), F.col("cls2").alias("b")))
 
 
+def _between(crowded: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs across every two components that share a frequent word: words meet as component pairs, which then open up."""
+    named = crowded.join(labels, "cls", "left").select("word", "cls", F.coalesce("root", "cls").alias("root"))
+    met = named.select("word", "root").distinct()
+    two = (met.join(met.select("word", F.col("root").alias("root2")), "word").filter("root < root2").select("root", "root2").distinct())
+    members = stage(named.select("root", "cls").distinct(), "members")
+    right = members.select(F.col("root").alias("root2"), F.col("cls").alias("b"))
+    return _ordered(two.join(members, "root").join(right, "root2").select(F.col("cls").alias("a"), "b"))
+
+
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component: the one with the smallest id (rows without shingles all stay)."""
     [name] = fresh(docs, "__key")

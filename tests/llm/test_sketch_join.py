@@ -80,5 +80,5 @@ def test_differing_sketch_words_never_exceed_the_symmetric_difference():
     for _ in range(200):
         a = {draw.randrange(2**64) for _ in range(draw.randrange(40, 300))}
         b = set(draw.sample(sorted(a), len(a) - draw.randrange(10))) | {draw.randrange(2**64) for _ in range(draw.randrange(10))}
-        x, y = (set(sketch_join.sketch(shingles.np.array(sorted(s), shingles.np.uint64), 17, 300, False).tolist()) for s in (a, b))
+        x, y = (set(sketch_join.sketch(shingles.np.array(sorted(s), shingles.np.uint64), 17, 300).tolist()) for s in (a, b))
         assert max(len(x - y), len(y - x)) <= len(a ^ b)
