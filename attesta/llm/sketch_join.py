@@ -10,8 +10,8 @@ each set sends its sketch under its own band and the one below. Linked sets a, b
 
 Frequent words. A sketch word in more than ``GROUP`` sets makes no pairs. That loses nothing while a set keeps enough
 other words (more than its differences). Sets that do not are sketched again among themselves, one shingle a word;
-those still without enough are compared through their frequent words: first with the most central set of each group, then
-across what is not yet connected.
+those still without enough are compared through the rarest of their frequent words, as many as it takes: first with the most central
+sets of each group, then across what is not yet connected.
 
 Verification. Equal sets are one class. Members of a word's group are paired with its ends; what is linked is one component,
 then pairs across components follow. Pairs inside a component are never made. A pair is first tried on parity
@@ -34,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from attesta.llm import shingles
 from attesta.llm.words import fresh, whole
@@ -308,11 +309,13 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def keys(classes: DataFrame) -> DataFrame:
         return stage(profiles.join(classes, "cls", "left_semi").groupBy("cls").agg(F.min("key").alias("key")).select("key").distinct(), "keys")
 
+    def had(slack: str) -> DataFrame:
+        return profiles.filter(F.col("cls").isNotNull()).groupBy("cls").agg(F.min(slack).alias("slack"))
+
     def short(hot: DataFrame, slack: str) -> DataFrame:
         """Classes that may not have enough words left for every link to be found by them."""
-        had = profiles.filter(F.col("cls").isNotNull()).groupBy("cls").agg(F.min(slack).alias("slack"))
         counts = hot.groupBy("cls").agg(F.count(F.lit(1)).alias("hot"))
-        return had.join(counts, "cls", "left").filter(F.coalesce("hot", F.lit(0)) > F.col("slack")).select("cls")
+        return had(slack).join(counts, "cls", "left").filter(F.coalesce("hot", F.lit(0)) > F.col("slack")).select("cls")
 
     few = stage(short(hot, "slack"), "short")
     crowded = None
@@ -321,15 +324,15 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         more, hot = _split(_shared(again, total, True))
         groups = groups.unionByName(more).distinct()
         rest = short(hot, "fine_slack").join(few, "cls", "left_semi")
-        crowded = stage(hot.join(rest, "cls", "left_semi"), "crowded")
+        crowded = stage(_rarest(hot, rest.join(had("fine_slack"), "cls")), "crowded")
     groups = stage(groups, "groups")
     pairs = _ends(groups)
     named = groups.select(F.explode("members").alias("cls"))
     if crowded is not None:
         # the member with the most frequent words is the most central one of its family
         weight = crowded.groupBy("cls").agg(F.count(F.lit(1)).alias("weight"))
-        hubs = crowded.join(weight, "cls").groupBy("word").agg(F.max("cls").alias("last"), F.max_by("cls", F.struct("weight", "cls")).alias("hub"))
-        star = crowded.join(hubs, "word").select(F.explode(F.array("hub", "last")).alias("a"), F.col("cls").alias("b"))
+        hubs = crowded.join(weight, "cls").groupBy("word").agg(F.max("cls").alias("last"), F.max_by("cls", F.xxhash64("cls")).alias("other"), F.max_by("cls", F.struct("weight", "cls")).alias("hub"))
+        star = crowded.join(hubs, "word").select(F.explode(F.array("hub", "last", "other")).alias("a"), F.col("cls").alias("b"))
         pairs = pairs.unionByName(_ordered(star)).distinct()
         named = named.unionByName(crowded.select("cls"))
     known = stage(profiles.join(named.distinct(), "cls", "left_semi").select("cls", "key", "n", "bits").dropDuplicates(["cls"]), "known")
@@ -348,6 +351,17 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "doc_id", "key", F.col("n").alias("n_shingles"), "cls", F.coalesce("least", "doc_id").alias("component_id"))
 
 
+def _rarest(hot: DataFrame, rest: DataFrame) -> DataFrame:
+    """Of the sets in ``rest`` (with their ``slack``) as many of their rarest frequent words as they lack others: linked
+    sets share one of their n//4 + 1 rarest words, in one order for all."""
+    mine = hot.join(rest, "cls")
+    frequency = hot.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    order = W.partitionBy("cls").orderBy("df", "word")
+    ranked = mine.join(frequency, "word").withColumns({
+        "rank": F.row_number().over(order), "hot": F.count(F.lit(1)).over(W.partitionBy("cls"))})
+    return ranked.filter(F.col("rank") <= F.col("hot") - F.col("slack")).select("word", "cls")
+
+
 def _split(shared: DataFrame) -> tuple[DataFrame, DataFrame]:
     return (shared.filter(F.col("members").isNotNull()).select("members").distinct(),
             shared.filter(F.col("word").isNotNull()).select("word", "cls").distinct())
