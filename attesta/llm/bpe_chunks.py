@@ -20,6 +20,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 WINDOW, AVERAGE, LONGEST = 8, 512, 8192
-CACHE = 20_000
+CACHE = 5_000
+ROWS = 500
 _SHIFT = np.random.default_rng(6).integers(1, 2**63, WINDOW, dtype=np.uint64) | np.uint64(1)
 _FAR = re.compile("[^\x00-ɏ]")
 
@@ -38,25 +40,16 @@ class Codec:
     def __init__(self, definition: str) -> None:
         import json
 
-        import tiktoken
-        from tokenizers import Tokenizer
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.exact = Tokenizer.from_str(definition)
-        self.exact.no_truncation()
-        self.exact.no_padding()
+        self.definition = definition
         read = json.loads(definition)
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         chars = {b: chr(b) for b in printable} | {
             b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in set(printable))}
         byte_of = {c: b for b, c in chars.items()}
         added = {t["id"]: t["content"] for t in read["added_tokens"]}
-        ranks = {bytes(byte_of[c] for c in t): i for t, i in read["model"]["vocab"].items() if i not in added}
-        pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # fixed value of this kind of vocabulary
-        self.fast = tiktoken.Encoding("fast", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        top = max([*ranks.values(), *added]) + 1
-        self.pieces = np.full(top, b"", object)
-        for piece, i in ranks.items():
+        self.ranks = {bytes(byte_of[c] for c in t): i for t, i in read["model"]["vocab"].items() if i not in added}
+        self.pieces = np.full(max([*self.ranks.values(), *added]) + 1, b"", object)
+        for piece, i in self.ranks.items():
             self.pieces[i] = piece
         for i, content in added.items():
             self.pieces[i] = content.encode()
@@ -64,6 +57,23 @@ class Codec:
         self.special = re.compile("|".join(re.escape(c) for c in added.values()) or "(?!)")
         self.cache: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
+    @cached_property
+    def exact(self):
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        found = Tokenizer.from_str(self.definition)
+        found.no_truncation()
+        found.no_padding()
+        return found
+
+    @cached_property
+    def fast(self):
+        import tiktoken
+
+        pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # fixed value of this kind of vocabulary
+        return tiktoken.Encoding("fast", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})
+
     def _ids(self, text: str) -> np.ndarray:
         if _FAR.search(text) or self.special.search(text):
             return np.array(self.exact.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -74,7 +84,7 @@ class Codec:
         found = self.cache.get(text)
         if found is None:
             ids = self._ids(text)
-            found = ids, np.cumsum(self.sizes[ids])
+            found = ids, np.cumsum(self.sizes[ids]).astype(np.uint32)
             if len(self.cache) >= CACHE:
                 self.cache.clear()
             self.cache[text] = found
@@ -164,6 +174,12 @@ def certain_after(text: str, place: int) -> int:
     return p if p >= 0 else len(text)
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, len(batch), ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def _over(column: pa.Array) -> Iterator[str]:
     for value in column:
         yield value.as_py() or ""
@@ -184,7 +200,7 @@ def encode(docs: DataFrame, definition: str, text_col: str = "text") -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(shared.value)
-        for batch in batches:
+        for batch in _parts(batches):
             found = [codec.encode(text) for text in _over(batch.column(text_col))]
             kept = [(n, c) for n, c in zip(batch.schema.names, batch.columns) if n not in ("ids", "n_tokens")]
             yield pa.RecordBatch.from_arrays(
@@ -199,7 +215,7 @@ def decode(encoded: DataFrame, definition: str, ids_col: str = "ids") -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(shared.value)
-        for batch in batches:
+        for batch in _parts(batches):
             texts = [codec.decode(np.frombuffer(v.as_py() or b"", "<u4")) for v in batch.column(ids_col)]
             kept = [(n, c) for n, c in zip(batch.schema.names, batch.columns) if n != "decoded"]
             yield pa.RecordBatch.from_arrays([*[c for _, c in kept], pa.array(texts, pa.string())], names=[*[n for n, _ in kept], "decoded"])

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 WIDTH = 5
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 _rng = np.random.default_rng(20)
 _BYTES = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _PLACES = _rng.integers(1, 2**63, WIDTH, dtype=np.uint64) | np.uint64(1)

@@ -41,8 +41,8 @@ from attesta.llm.words import fresh, whole
 from attesta.operators.staging import stage
 
 GROUP = 32
-BUCKET_WORDS = 2_000_000
-FLUSH = 4_000_000
+BUCKET_WORDS = 1_000_000
+FLUSH = 1_000_000
 FINE_BELOW = 32
 _TAG = 0xD6E8FEB86659FD93
 
@@ -225,7 +225,7 @@ def _shared(texts: DataFrame, total: int, fine: bool) -> DataFrame:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (b.slice(at, 1000) for b in batches for at in range(0, len(b), 1000)):
         rows = [(shingles.fingerprint(s), s.tobytes()) for _, s in shingles.shingle_sets(batch.column("text")) if len(s)]
         if rows:
             cls, found = zip(*rows)
@@ -235,7 +235,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _passed(test: Callable, *names: str) -> Callable:
     """Pairs (a, b) for which ``test`` of the named columns' values holds."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, 500) for b in batches for at in range(0, len(b), 500)):
             ok = [test(*values) for values in zip(*(batch.column(c).to_pylist() for c in names))]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
     return run
