@@ -34,7 +34,10 @@ class Verified:
 
 
 def extract_claims(articles: DataFrame, config: VerifyConfig) -> DataFrame:
-    """``article_id, url, claim_id, claim`` (and chunk columns when chunking is on)."""
+    """``article_id, url, claim_id, claim`` (and chunk columns when chunking is on and claims stay as they are).
+
+    One chain whatever makes the claims: chunk, extract, clean, rewrite, filter.
+    """
     keys = ["article_id", "url"]
     if config.extractor is not None:
         chunked = sg.chunk_table(articles, keys, size=config.chunk_size, overlap=config.chunk_overlap)
@@ -42,10 +45,16 @@ def extract_claims(articles: DataFrame, config: VerifyConfig) -> DataFrame:
     elif config.split_chunks:
         claims = sg.claims_with_chunks(articles, keys, size=config.chunk_size, overlap=config.chunk_overlap)
     else:
-        found = tx.sentences("text")
+        claims = None
+        arrays = articles.select(*keys, tx.sentences("text").alias("claims"))
+    if claims is not None and (config.clean_prefixes or config.decontextualise):
+        # both read an article's claims as one list; an article's list is bounded by its text
+        listed = F.array_sort(F.collect_list(F.struct("claim_id", "claim")))
+        arrays = claims.groupBy(*keys).agg(F.transform(listed, lambda c: c["claim"]).alias("claims"))
+        claims = None
+    if claims is None:
         if config.clean_prefixes:
-            found = quality.clean_claims(found)
-        arrays = articles.select(*keys, found.alias("claims"))
+            arrays = arrays.withColumn("claims", quality.clean_claims("claims"))
         if config.decontextualise:
             arrays = cx.rewrite_in_order(arrays, rewriter=config.rewriter).select(*keys, F.col("rewritten").alias("claims"))
         claims = arrays.select(*keys, F.posexplode("claims").alias("claim_id", "claim"))
@@ -73,7 +82,7 @@ def verify(articles: DataFrame, sources: DataFrame, config: VerifyConfig = Verif
             raise ValueError("require_reliable needs a table of reliable sites")
         hits = st.top_then_reliable(hits, sites)
     hits = stage(hits, "hits")
-    compared = hits.join(claims.select(*CLAIM, F.col("url").alias("_own")), CLAIM).filter("url <> _own").drop("_own")
+    compared = hits.join(claims.select(*CLAIM, F.col("url").alias("_own")), CLAIM).filter("NOT (url <=> _own)").drop("_own")
     sizes = {"tile_rows": config.tile_rows, "hot_key_rows": config.hot_key_rows}
     if config.embed_source_claims:
         pairs = evidence.nearest(compared, claims, sources, k=config.nearest_k, **sizes)
@@ -82,6 +91,12 @@ def verify(articles: DataFrame, sources: DataFrame, config: VerifyConfig = Verif
             with_text = evidence.with_source_text(stage(pairs.drop("relation"), "pairs"), sources)
             pairs = relation.with_model_relation(
                 with_text.join(claims.select(*CLAIM, "claim"), CLAIM), config.scorer, config.labels)
+    elif config.scorer is not None:
+        # a plugged model sees every sentence of every hit, in Arrow batches
+        sentences = evidence.source_claims(sources.join(compared.select("doc_id").distinct(), "doc_id", "left_semi"), ["doc_id"])
+        rows = compared.join(claims.select(*CLAIM, "claim"), CLAIM).join(sentences, "doc_id")
+        pairs = relation.with_model_relation(rows, config.scorer, config.labels)
+        order = ["search_rank", "source_claim_id"]
     else:
         tiles = evidence.exhaustive(compared, claims, sources, **sizes)
         pairs = tiles.filter("at IS NOT NULL").withColumnRenamed("at", "source_claim_id")

@@ -14,9 +14,9 @@ TEMPLATES = {
     "claims": "List every distinct, self-contained claim in the text below as JSON with one key, claims."
               "\n\nText:\n{text}\n",
     "propositions": "Split each marked sentence into simple statements.\n\n{marked}",
-    "selection": "Headline:\n{headline}\n\nExcerpt:\n{excerpt}\n\nSentence:\n{sentence}\n",
-    "decontextualise": "Return decontextualise(context={context}, claim={claim})\n",
-    "grading": 'Proposition: "{proposition}"\nOriginal Text: "{original_text}"\n',
+    "selection": "Does the marked sentence state something that can be checked?\nTopic: {headline}\nAround it: {excerpt}\nMarked: {sentence}\n",
+    "decontextualise": "Rewrite the claim so that it can be read alone.\nClaim: {claim}\nWhat came before: {context}\n",
+    "grading": "Grade how well the statement renders its passage.\nStatement: {proposition}\nPassage: {original_text}\n",
 }
 
 # The formats replies come in.
@@ -30,6 +30,8 @@ UNCHANGED, NOTHING = "remains unchanged", "None"
 CLEAR_HEADER = "DecontextualizedSentence:"
 UNCLEAR = "Cannot be decontextualized"
 NO_CLAIMS, AMBIGUOUS, KEPT, REWRITTEN = "No verifiable claims", "Cannot be disambiguated", "kept", "rewritten"
+VERIFIABLE = "Contains a specific and verifiable proposition"
+NOT_VERIFIABLE = "Does NOT contain a specific and verifiable proposition"
 GRADES = ["accuracy", "clarity", "completeness", "conciseness"]
 
 
@@ -105,12 +107,17 @@ def after(reply, header: str) -> Column:
     return F.when(F.contains(tx.col(reply), F.lit(header)), tx.strip(F.regexp_replace(body, r"(?s)\n---.*$", "")))
 
 
+def bare(said: Column) -> Column:
+    """A short answer without bold marks and a final dot."""
+    return F.regexp_replace(said, r"^[*\s]+|[*.\s]+$", "")
+
+
 def selection(reply, sentence) -> tuple[Column, Column]:
     """(outcome, text): dropped, unchanged or rewritten; both null when unreadable."""
     said = after(reply, SENTENCE_HEADER)
     ok = said.isNotNull() & (said != "") & F.contains(tx.col(reply), F.lit(VERDICT_HEADER))
-    outcome = F.when(ok, F.when(said == NOTHING, NO_CLAIMS).when(said == UNCHANGED, KEPT).otherwise(REWRITTEN))
-    text = F.when(ok & (said != NOTHING), F.when(said == UNCHANGED, tx.col(sentence)).otherwise(said))
+    outcome = F.when(ok, F.when(bare(said) == NOTHING, NO_CLAIMS).when(bare(said) == UNCHANGED, KEPT).otherwise(REWRITTEN))
+    text = F.when(ok & (bare(said) != NOTHING), F.when(bare(said) == UNCHANGED, tx.col(sentence)).otherwise(said))
     return outcome, text
 
 
@@ -118,8 +125,8 @@ def disambiguation(reply) -> tuple[Column, Column]:
     """(outcome, text): resolved text, or labelled and dropped."""
     said = after(reply, CLEAR_HEADER)
     ok = said.isNotNull() & (said != "")
-    outcome = F.when(ok, F.when(said == UNCLEAR, AMBIGUOUS).otherwise(REWRITTEN))
-    return outcome, F.when(ok & (said != UNCLEAR), said)
+    outcome = F.when(ok, F.when(bare(said) == UNCLEAR, AMBIGUOUS).otherwise(REWRITTEN))
+    return outcome, F.when(ok & (bare(said) != UNCLEAR), said)
 
 
 def parse(replies: DataFrame, requests: DataFrame) -> DataFrame:

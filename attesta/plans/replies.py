@@ -46,8 +46,7 @@ def saved_replies(spark, sf) -> DataFrame:
     also = F.concat(F.lit("Also: "), s)
     as_json = F.to_json(F.struct(F.array(s, also).alias("claims")))
     verdict = F.concat(F.lit("Sentence:\nx\n\nFinal submission:\n"),
-                       F.when(i % 3 == 2, "Does NOT contain a specific and verifiable proposition")
-                       .otherwise("Contains a specific and verifiable proposition"),
+                       F.when(i % 3 == 2, rq.NOT_VERIFIABLE).otherwise(rq.VERIFIABLE),
                        F.lit("\n\nSentence with only verifiable information:\n"))
     body = (
         F.when(F.col("kind") == "json", as_json)
@@ -150,8 +149,8 @@ def t05_marked_sentences(spark, sf):
     return documents(spark, sf).select("doc_id", rq.marked_sentences(F.col("text")).alias("marked"))
 
 
-_SELECT_PROMPT = ("'Headline:' || chr(10) || headline || chr(10) || chr(10) || 'Excerpt:' || chr(10) || excerpt "
-                  "|| chr(10) || chr(10) || 'Sentence:' || chr(10) || sentence || chr(10)")
+_SELECT_PROMPT = ("'Does the marked sentence state something that can be checked?' || chr(10) || 'Topic: ' || headline || chr(10) "
+                  "|| 'Around it: ' || excerpt || chr(10) || 'Marked: ' || sentence || chr(10)")
 _SENTENCES_PROMPT = ("'Split each marked sentence into simple statements.' || chr(10) || chr(10) || '<s> ' || sentence "
                      "|| ' </s>'")
 
@@ -230,8 +229,8 @@ def p09_failing(spark, sf):
 
 
 @query("j08_graded_with_chunk", with_ctes(
-    "SELECT p.doc_id, p.chunk_id, p.pos, 'Proposition: \"' || proposition || '\"' || chr(10) || 'Original Text: \"' || chunk "
-    "|| '\"' || chr(10) AS prompt FROM props p JOIN windows w ON w.doc_id = p.doc_id AND w.chunk_id = p.chunk_id",
+    "SELECT p.doc_id, p.chunk_id, p.pos, 'Grade how well the statement renders its passage.' || chr(10) || 'Statement: ' || proposition "
+    "|| chr(10) || 'Passage: ' || chunk || chr(10) AS prompt FROM props p JOIN windows w ON w.doc_id = p.doc_id AND w.chunk_id = p.chunk_id",
     "props", "windows"))
 def j08_graded_with_chunk(spark, sf):
     props = grade_replies(spark, sf).drop("reply")

@@ -114,12 +114,12 @@ def x01_streamed_verdicts(spark, sf):
     """Articles arrive in several files; the collected verdicts equal the batch run."""
     incoming, sink = stage_path(spark, "articles"), stage_path(spark, "verdicts")
     arts = tb.articles(spark, sf)
-    arts.repartition(3, "article_id").write.parquet(incoming)
+    arts.repartition("article_id").write.parquet(incoming)
     docs = tb.sources(spark, sf)
     running = inc.verify_stream(spark, incoming, arts.schema, docs, search.build_index(docs), sink,
                                 stage_path(spark, "offsets"), files_per_batch=2)
     running.awaitTermination()
-    return spark.read.parquet(sink).drop("batch")
+    return spark.read.parquet(sink).drop("run", "batch")
 
 
 @query("x02_streamed_store", STORE_SQL)
@@ -136,9 +136,10 @@ def x02_streamed_store(spark, sf):
     first = pages.select("*", at(minute))
     soon = pages.filter(F.length("url") % 2 == 0).select("*", at(minute + 5))
     late = pages.filter(F.length("url") % 3 == 0).select("*", at(minute + 100000))
-    first.unionByName(soon).coalesce(1).write.parquet(f"{incoming}")
-    late.coalesce(1).write.mode("append").parquet(f"{incoming}")
+    first.unionByName(soon).write.parquet(incoming)
+    in_time = len(spark.read.parquet(incoming).inputFiles())
+    late.write.mode("append").parquet(incoming)
     repeated = stage(pg.boilerplate(pg.page_blocks(pages)), "boilerplate")
     inc.store_stream(spark, incoming, first.schema, web.suffix_rules(spark, sf), store,
-                     stage_path(spark, "offsets"), repeated, files_per_batch=1).awaitTermination()
+                     stage_path(spark, "offsets"), repeated, files_per_batch=in_time).awaitTermination()
     return cs.load(spark, store).select(*STORE_COLS)

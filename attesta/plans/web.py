@@ -99,7 +99,8 @@ cte("page_main", """SELECT b.page_id, b.url, coalesce(string_agg(e.block, chr(10
       LEFT JOIN (SELECT page_id, host, generate_subscripts(blocks, 1) AS pos, unnest(blocks) AS block FROM page_blocks) e
         USING (page_id)
       LEFT JOIN (SELECT host, block FROM (SELECT DISTINCT page_id, host, unnest(blocks) AS block FROM page_blocks)
-        GROUP BY ALL HAVING count(*) >= 3) r ON r.host = e.host AND r.block = e.block
+        JOIN (SELECT host, count(*) AS pages FROM page_blocks GROUP BY host) USING (host)
+        GROUP BY host, block, pages HAVING count(*) >= 3 AND count(*) >= 0.2 * pages) r ON r.host = e.host AND r.block = e.block
       GROUP BY b.page_id, b.url""", "page_blocks")
 _T = ("trim(regexp_replace({0}, '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g'), " + WS + ")").format(
     _decode("regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '(?s)<[^>]*>', '', 'g')"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +16,7 @@ BUCKETS = 64        # folder count; a folder per domain would mean millions of t
 STORE = T.StructType([
     T.StructField("domain", T.StringType()), T.StructField("url", T.StringType()),
     T.StructField("claim_id", T.IntegerType()), T.StructField("claim", T.StringType()),
-    T.StructField("batch", T.LongType()), T.StructField("bucket", T.IntegerType()),
+    T.StructField("run", T.StringType()), T.StructField("batch", T.LongType()), T.StructField("bucket", T.IntegerType()),
 ])
 
 
@@ -30,12 +32,15 @@ def claims_of(content: DataFrame, domains: DataFrame) -> DataFrame:
     )
 
 
-def append(claims: DataFrame, path: str, batch: int = 0) -> None:
-    """Add one batch. Writing the same batch again replaces it, so a retry adds nothing twice."""
-    (claims.select("domain", "url", "claim_id", "claim", F.lit(batch).cast("long").alias("batch"),
+def append(claims: DataFrame, path: str, batch: int = 0, run: str | None = None) -> None:
+    """Add one batch. Writing the same batch of the same run again replaces it, so a retry adds nothing twice.
+
+    Without a ``run`` every call is a run of its own and replaces nothing.
+    """
+    (claims.select("domain", "url", "claim_id", "claim", F.lit(run or uuid.uuid4().hex).alias("run"), F.lit(batch).cast("long").alias("batch"),
                    bucket_of("domain").alias("bucket"))
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("batch", "bucket").parquet(path))
+     .partitionBy("run", "batch", "bucket").parquet(path))
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:

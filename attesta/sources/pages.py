@@ -36,19 +36,21 @@ def _block_hashes(blocks: DataFrame) -> DataFrame:
     return blocks.select("page_id", "host", F.explode(hashes).alias("block"))
 
 
-def boilerplate(blocks: DataFrame, min_pages: int = 3) -> DataFrame:
-    """``host, block`` hashes found on ``min_pages`` or more pages of one host.
+def boilerplate(blocks: DataFrame, min_pages: int = 3, share: float = 0.2) -> DataFrame:
+    """``host, block`` hashes found on ``share`` of a host's pages, and on ``min_pages`` of them at least.
+
+    A share, so that a passage copied to a few pages of a large host stays text.
 
     Counted with a map-side combine: a block on every page of a huge host is
     one row per task in the shuffle.
     """
-    return (
-        _block_hashes(blocks).groupBy("host", "block").agg(F.count(F.lit(1)).alias("n"))
-        .filter(F.col("n") >= min_pages).drop("n")
-    )
+    pages = blocks.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    counts = (_block_hashes(blocks).groupBy("host", "block").agg(F.count(F.lit(1)).alias("n"))
+              .filter(F.col("n") >= min_pages))
+    return counts.join(pages, "host").filter(F.col("n") >= F.col("pages") * share).select("host", "block")
 
 
-def main_content(pages: DataFrame, min_pages: int = 3, repeated: DataFrame | None = None) -> DataFrame:
+def main_content(pages: DataFrame, min_pages: int = 3, repeated: DataFrame | None = None, share: float = 0.2) -> DataFrame:
     """``page_id, url, title, text``: content blocks without what a host repeats.
 
     Texts are not regrouped: each page gets back the few hashes to leave out.
@@ -56,7 +58,7 @@ def main_content(pages: DataFrame, min_pages: int = 3, repeated: DataFrame | Non
     a host's pages at a time.
     """
     blocks = page_blocks(pages)
-    known = boilerplate(blocks, min_pages) if repeated is None else repeated
+    known = boilerplate(blocks, min_pages, share) if repeated is None else repeated
     drop = (
         _block_hashes(blocks).join(known, ["host", "block"], "left_semi")
         .groupBy("page_id").agg(F.collect_list("block").alias("drop"))

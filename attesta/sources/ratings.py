@@ -14,7 +14,7 @@ def read_ratings(spark: SparkSession, path: str) -> DataFrame:
     """``row_no, url, bias_rating, factual_reporting_rating``.
 
     A column the file lacks reads as 'N/A'; empty cells stay null. ``row_no``
-    is the file's own column when it has one, otherwise an ordering key that
+    is the file's own column when it has one, otherwise a number that
     grows along each file (not dense; only its order means anything).
     """
     header = spark.read.option("header", True).csv(path).columns
@@ -24,7 +24,6 @@ def read_ratings(spark: SparkSession, path: str) -> DataFrame:
     if "row_no" in header:
         order = F.col("row_no")
     else:
-        raw = raw.select("*", "_metadata.file_path", "_metadata.file_block_start")
-        order = F.struct("file_path", "file_block_start", F.monotonically_increasing_id())
+        order = F.monotonically_increasing_id()
     return raw.select(order.alias("row_no"), *[
         F.col(c) if c in header else F.lit(MISSING_COLUMN).alias(c) for c in COLUMNS])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
@@ -15,17 +17,24 @@ from attesta.sources import pages as pg
 VERDICT_COLUMNS = ["article_id", "claim_id", "claim", "verdict", "source_url", "source_claim"]
 
 
+def run_name(checkpoint: str) -> str:
+    """A stream keeps its name as long as it keeps its checkpoint; batch numbers start again with a new one."""
+    return hashlib.md5(checkpoint.rstrip("/").encode()).hexdigest()
+
+
 def verify_stream(spark: SparkSession, article_dir: str, schema: StructType, sources: DataFrame,
                   index: search.SearchIndex, sink: str, checkpoint: str,
                   config: VerifyConfig = VerifyConfig(), files_per_batch: int = 1000):
-    """Verify each new article file once; verdicts land in ``sink/batch=<n>``.
+    """Verify each new article file once; verdicts land in ``sink/run=<checkpoint>/batch=<n>``.
 
     A batch that is run again after a failure overwrites its own folder, so
     every claim gets exactly one verdict. Returns the running query.
     """
+    name = run_name(checkpoint)
+
     def run(batch: DataFrame, batch_id: int) -> None:
         done = verify(batch, sources, config, index=index).verdicts
-        done.select(*VERDICT_COLUMNS).write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+        done.select(*VERDICT_COLUMNS).write.mode("overwrite").parquet(f"{sink}/run={name}/batch={batch_id}")
 
     arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(article_dir)
     return (
@@ -45,13 +54,15 @@ def store_stream(spark: SparkSession, page_dir: str, schema: StructType, suffixe
     Repeats that arrive within ``lateness`` are dropped by URL in the stream
     state; later ones by an anti join with what is stored.
     """
+    name = run_name(checkpoint)
+
     def run(batch: DataFrame, batch_id: int) -> None:
         # Store rows are looked up by the batch's few URLs, so the store itself is never shuffled.
         asked = batch.select("url").distinct()
-        known = cs.load(spark, store).filter(f"batch <> {batch_id}").select("url").join(asked, "url", "left_semi")
+        known = cs.load(spark, store).filter(f"run <> '{name}' OR batch <> {batch_id}").select("url").join(asked, "url", "left_semi")
         new = cs.missing(batch, known)
         content = pg.main_content(new, repeated=repeated).filter("text <> ''")
-        cs.append(cs.claims_of(content, st.registrable_domains(new, suffixes)), store, batch_id)
+        cs.append(cs.claims_of(content, st.registrable_domains(new, suffixes)), store, batch_id, name)
 
     arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(page_dir)
     return (

@@ -2,11 +2,8 @@ from pyspark.sql import functions as F
 
 from attesta.functions import text as tx
 
-SMOKE = ("NASA confirmed that the Apollo 11 mission landed on the Moon on July 20, 1969. "
-         "Neil Armstrong became the first human to walk on the lunar surface. "
-         "Multiple scientific studies have found no link between vaccines and autism. "
-         "Climate scientists report that global temperatures have increased by approximately "
-         "1.1°C above pre-industrial levels.")
+SMOKE = ("The bridge was opened on May 3, 1904. It carries two tracks and a footpath. "
+         "Nobody has measured its sway in a storm. Engineers say that it lengthens by about 1.1 cm in hot summers.")
 
 
 def one(spark, value, fn):
@@ -16,7 +13,7 @@ def one(spark, value, fn):
 def test_sentences_do_not_cut_numbers(spark):
     found = one(spark, SMOKE, tx.sentences)
     assert len(found) == 4
-    assert "1.1°C" in found[3]
+    assert "1.1 cm" in found[3]
 
 
 def test_sentences_trim_and_drop_blanks(spark):
