@@ -40,7 +40,7 @@ def test_store_append_is_idempotent_and_reads_back(spark, tmp_path):
                                  "domain string, url string, claim_id int, claim string")
     cs.append(rows, path, batch=0, run="r")
     cs.append(rows, path, batch=0, run="r")
-    cs.append(rows.filter("domain = 'a.org'", run="r").withColumn("url", F.lit("https://a.org/2")), path, batch=1)
+    cs.append(rows.filter("domain = 'a.org'").withColumn("url", F.lit("https://a.org/2")), path, batch=1, run="r")
     assert cs.load(spark, path).count() == 3
     only = spark.createDataFrame([("a.org",)], "domain string")
     assert values(cs.load_domains(spark, path, only), "url") == [("https://a.org/1",), ("https://a.org/2",)]
