@@ -11,7 +11,7 @@ each set sends its sketch under its own band and the one below. Linked sets a, b
 Frequent words. A sketch word in more than ``GROUP`` sets makes no pairs. That loses nothing while a set keeps enough
 other words (more than its differences). Sets that do not are sketched again among themselves, one shingle a word;
 those still without enough are compared through the rarest of their frequent words, as many as it takes: first with the most central
-sets of each group, then across what is not yet connected.
+sets of each group, then across what is not yet connected, where the numbers of frequent words allow a link.
 
 Verification. Equal sets are one class. Members of a word's group are paired with its ends; what is linked is one component,
 then pairs across components follow. Pairs inside a component are never made. A pair is first tried on parity
@@ -44,6 +44,7 @@ GROUP = 32
 BUCKET_WORDS = 1_000_000
 FLUSH = 1_000_000
 FINE_BELOW = 32
+MARGIN = 2
 _TAG = 0xD6E8FEB86659FD93
 
 
@@ -325,6 +326,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         groups = groups.unionByName(more).distinct()
         rest = short(hot, "fine_slack").join(few, "cls", "left_semi")
         crowded = stage(_rarest(hot, rest.join(had("fine_slack"), "cls")), "crowded")
+        reach = stage(_reach(hot, profiles.filter(F.col("cls").isNotNull()).select("cls", "n").dropDuplicates(["cls"])), "reach")
     groups = stage(groups, "groups")
     pairs = _ends(groups)
     named = groups.select(F.explode("members").alias("cls"))
@@ -341,7 +343,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = components(links)
     across = _across(groups.withColumn("g", F.xxhash64("members")).select("g", F.explode("members").alias("cls")), labels)
     if crowded is not None:
-        across = across.unionByName(_between(crowded, labels)).distinct()
+        across = across.unionByName(_between(crowded.join(reach, "cls"), labels)).distinct()
     second = stage(verified(across.join(pairs, ["a", "b"], "left_anti"), known, texts), "links")
     if not second.isEmpty():
         labels = components(links.unionByName(second))
@@ -376,14 +378,29 @@ def _across(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return _ordered(left.join(right, "g").filter("root < root2").select(F.col("cls").alias("a"), F.col("cls2").alias("b")))
 
 
+def _reach(hot: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(cls, n, reach): ``reach`` is the size of the largest set that a class may link with by frequent words alone.
+
+    A pair with a rarer word in common meets in a group. Any other pair shares at most the frequent words of either set,
+    and a link needs 3/7 of both sizes. Words are cut to 40 bits and more, so two of a set may fall together: hence the margin.
+    """
+    counts = hot.groupBy("cls").agg(F.count(F.lit(1)).alias("hot"))
+    return counts.join(sizes, "cls").select("cls", "n", (F.floor((F.col("hot") + MARGIN) * 7 / 3) - F.col("n")).alias("reach"))
+
+
 def _between(crowded: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs across every two components that share a frequent word: words meet as component pairs, which then open up."""
-    named = crowded.join(labels, "cls", "left").select("word", "cls", F.coalesce("root", "cls").alias("root"))
-    met = named.select("word", "root").distinct()
-    two = (met.join(met.select("word", F.col("root").alias("root2")), "word").filter("root < root2").select("root", "root2").distinct())
-    members = stage(named.select("root", "cls").distinct(), "members")
-    right = members.select(F.col("root").alias("root2"), F.col("cls").alias("b"))
-    return _ordered(two.join(members, "root").join(right, "root2").select(F.col("cls").alias("a"), "b"))
+    """Pairs across every two components that share a frequent word and may link by frequent words alone (``reach``):
+    words meet as component pairs, which then open up."""
+    named = crowded.join(labels, "cls", "left").select("word", "cls", "n", "reach", F.coalesce("root", "cls").alias("root"))
+    met = named.groupBy("word", "root").agg(F.min("n").alias("n"), F.max("reach").alias("reach"))
+    fits = (F.col("reach") >= F.col("n2")) & (F.col("reach2") >= F.col("n"))
+    two = (met.join(_second(met), ["word"]).filter((F.col("root") < F.col("root2")) & fits).select("root", "root2").distinct())
+    members = stage(named.select("root", "cls", "n", "reach").distinct(), "members")
+    return _ordered(two.join(members, "root").join(_second(members), "root2").filter(fits).select(F.col("cls").alias("a"), F.col("cls2").alias("b")))
+
+
+def _second(rows: DataFrame) -> DataFrame:
+    return rows.select([F.col(c) if c == "word" else F.col(c).alias(f"{c}2") for c in rows.columns])
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

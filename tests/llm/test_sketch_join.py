@@ -59,6 +59,23 @@ def test_components_match_brute_force(spark, monkeypatch, group):
         assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()), key=str) == brute(rows)
 
 
+def test_family_with_texts_just_below_the_threshold(spark, monkeypatch):
+    """Most link to one centre; the rest share only frequent words with them, and some link among themselves or by a bridge."""
+    monkeypatch.setattr(sketch_join, "GROUP", 4)
+    draw = random.Random(5)
+    base = [f"b{i}" for i in range(80)]
+    rows = []
+    for k in range(150):
+        w = list(base)
+        for at in draw.sample(range(80), draw.choice([0, 1, 1, 2, 3, 4])):
+            w[at] = f"x{draw.randrange(10**6)}"
+        if k % 5 == 0:
+            w = w[:draw.choice([56, 62, 66, 72])]
+        rows.append((k, " ".join(w)))
+    got = sketch_join.near_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()), key=str) == brute(rows)
+
+
 def test_odd_rows(odd_docs, no_docs):
     rows = [(r.doc_id, r.text) for r in odd_docs.collect()]
     got = sketch_join.near_components(odd_docs)
