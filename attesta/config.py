@@ -29,7 +29,7 @@ class VerifyConfig:
     search_results: int = 10
     bm25_k1: float = 1.2
     bm25_b: float = 0.75
-    max_df_share: float = 0.2
+    max_df_share: float | None = None   # None: no search term is dropped for being frequent
     seed_docs: int = 100
 
     # evidence

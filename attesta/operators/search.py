@@ -90,13 +90,13 @@ def _kth(scores: DataFrame, by: str, k: int) -> DataFrame:
 
 def top_k_search(index: SearchIndex, queries: DataFrame, keys: list[str], text: str,
                  k: int = 10, scheme: str = "bm25", k1: float = 1.2, b: float = 0.75,
-                 max_df_share: float | None = 0.2, seed_docs: int = 100,
+                 max_df_share: float | None = None, seed_docs: int = 100,
                  prune_above: int | None = None) -> DataFrame:
     """``keys, search_rank, doc_id, score``: the k best documents per query.
 
-    Ties go to the lower document id. ``max_df_share`` drops terms found in a
-    larger share of the corpus, which is part of the scoring rule, not a
-    sample; None keeps every term. Documents sharing no kept term are absent.
+    Ties go to the lower document id (a long or a struct of parts). Every term
+    counts unless ``max_df_share`` is set, which leaves out terms found in a
+    larger share of the corpus. Documents sharing no kept term are absent.
     """
     asked = queries.select(*keys, F.array_sort(F.array_distinct(tx.tokens(text))).alias("_t")).select(
         *keys, F.xxhash64("_t").alias("_q1"), F.xxhash64(F.lit("2"), "_t").alias("_q2"), "_t")

@@ -83,8 +83,8 @@ def overlap_sql(units: str, key: str, k: int) -> str:
 
 
 cte("windows", window_sql(200, 50))
-cte("chunk_units", "SELECT doc_id * 1000000 + chunk_id AS unit_id, chunk AS unit FROM windows", "windows")
-cte("prop_units", "SELECT (doc_id * 1000000 + chunk_id) * 1000000 + pos AS unit_id, proposition AS unit FROM (" + exploded(
+cte("chunk_units", "SELECT {'doc_id': doc_id, 'chunk_id': chunk_id} AS unit_id, chunk AS unit FROM windows", "windows")
+cte("prop_units", "SELECT {'doc_id': doc_id, 'chunk_id': chunk_id, 'pos': pos} AS unit_id, proposition AS unit FROM (" + exploded(
     sents("chunk"), "doc_id, chunk_id", "windows", "proposition") + ")", "windows")
 cte("chunk_top", overlap_sql("chunk_units", "unit_id", 4), "claims", "chunk_units")
 cte("prop_top", overlap_sql("prop_units", "unit_id", 4), "claims", "prop_units")
@@ -92,12 +92,12 @@ cte("prop_top", overlap_sql("prop_units", "unit_id", 4), "claims", "prop_units")
 
 def chunk_units(spark, sf):
     cut = documents(spark, sf).select("doc_id", F.posexplode(sg.word_windows(F.col("text"))).alias("_p", "unit"))
-    return cut.select((F.col("doc_id") * 1000000 + F.col("_p") + 1).alias("unit_id"), "unit")
+    return cut.select(F.struct("doc_id", (F.col("_p") + 1).alias("chunk_id")).alias("unit_id"), "unit")
 
 
 def prop_units(spark, sf):
     return chunk_units(spark, sf).select("unit_id", F.posexplode(tx.sentences("unit")).alias("_p", "unit")).select(
-        (F.col("unit_id") * 1000000 + F.col("_p")).alias("unit_id"), "unit")
+        F.struct("unit_id.doc_id", "unit_id.chunk_id", F.col("_p").alias("pos")).alias("unit_id"), "unit")
 
 
 def overlap_top(spark, sf, units, k=4):
@@ -107,20 +107,20 @@ def overlap_top(spark, sf, units, k=4):
 
 
 @query("k02_top_chunks", with_ctes(
-    "SELECT article_id, claim_id, unit_id, search_rank, score FROM chunk_top", "chunk_top"))
+    "SELECT article_id, claim_id, unit_id.doc_id AS doc_id, unit_id.chunk_id AS chunk_id, search_rank, score FROM chunk_top", "chunk_top"))
 def k02_top_chunks(spark, sf):
-    return overlap_top(spark, sf, chunk_units(spark, sf)).withColumnRenamed("doc_id", "unit_id")
+    return overlap_top(spark, sf, chunk_units(spark, sf)).select(*CLAIM, "doc_id.doc_id", "doc_id.chunk_id", "search_rank", "score")
 
 
 @query("a07_retrieval_comparison", with_ctes("""
     SELECT article_id, claim_id, count(p) AS n_by_proposition, count(c) AS n_by_chunk, count(*) FILTER (WHERE p AND c) AS common,
       round(count(*) FILTER (WHERE p AND c) / count(*), 6) AS jaccard FROM (
-      SELECT DISTINCT article_id, claim_id, unit_id // 1000000 AS chunk, true AS p FROM prop_top)
+      SELECT DISTINCT article_id, claim_id, {'doc_id': unit_id.doc_id, 'chunk_id': unit_id.chunk_id} AS chunk, true AS p FROM prop_top)
     FULL JOIN (SELECT article_id, claim_id, unit_id AS chunk, true AS c FROM chunk_top) USING (article_id, claim_id, chunk)
     GROUP BY ALL""", "prop_top", "chunk_top"))
 def a07_retrieval_comparison(spark, sf):
     by_prop = overlap_top(spark, sf, prop_units(spark, sf)).withColumn(
-        "chunk", F.floor(F.col("doc_id") / 1000000))
+        "chunk", F.struct("doc_id.doc_id", "doc_id.chunk_id"))
     by_chunk = overlap_top(spark, sf, chunk_units(spark, sf)).withColumnRenamed("doc_id", "chunk")
     return retrieval.compare(by_prop, by_chunk, CLAIM, "chunk")
 

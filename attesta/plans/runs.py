@@ -43,7 +43,7 @@ def e1_reliable_verdicts(spark, sf):
     return run.verdicts.select(*VERDICT_COLS)
 
 
-cte("passed_units", "SELECT (doc_id * 1000000 + chunk_id) * 1000000 + pos AS unit_id, proposition AS unit FROM grades "
+cte("passed_units", "SELECT {'doc_id': doc_id, 'chunk_id': chunk_id, 'pos': pos} AS unit_id, proposition AS unit FROM grades "
     "WHERE passed", "grades")
 cte("passed_top", overlap_sql("passed_units", "unit_id", 4), "claims", "passed_units")
 
@@ -51,15 +51,15 @@ cte("passed_top", overlap_sql("passed_units", "unit_id", 4), "claims", "passed_u
 @query("e3_gated_retrieval", with_ctes("""
     SELECT article_id, claim_id, count(p) AS n_by_proposition, count(c) AS n_by_chunk, count(*) FILTER (WHERE p AND c) AS common,
       round(count(*) FILTER (WHERE p AND c) / count(*), 6) AS jaccard FROM (
-      SELECT DISTINCT article_id, claim_id, unit_id // 1000000 AS chunk, true AS p FROM passed_top)
+      SELECT DISTINCT article_id, claim_id, {'doc_id': unit_id.doc_id, 'chunk_id': unit_id.chunk_id} AS chunk, true AS p FROM passed_top)
     FULL JOIN (SELECT article_id, claim_id, unit_id AS chunk, true AS c FROM chunk_top) USING (article_id, claim_id, chunk)
     GROUP BY ALL""", "passed_top", "chunk_top"))
 def e3_gated_retrieval(spark, sf):
     """Word windows, propositions, the grade gate, and both retrievals compared."""
     passed = rq.graded(grade_replies(spark, sf)).filter("passed").select(
-        ((F.col("doc_id") * 1000000 + F.col("chunk_id")) * 1000000 + F.col("pos")).alias("unit_id"),
+        F.struct("doc_id", "chunk_id", "pos").alias("unit_id"),
         F.col("proposition").alias("unit"))
-    by_prop = overlap_top(spark, sf, passed).withColumn("chunk", F.floor(F.col("doc_id") / 1000000))
+    by_prop = overlap_top(spark, sf, passed).withColumn("chunk", F.struct("doc_id.doc_id", F.col("doc_id.chunk_id").cast("int").alias("chunk_id")))
     by_chunk = overlap_top(spark, sf, chunk_units(spark, sf)).withColumnRenamed("doc_id", "chunk")
     return retrieval.compare(by_prop, by_chunk, CLAIM, "chunk")
 

@@ -97,7 +97,7 @@ def bm25(queries: str, keys: str, text: str, postings: str = "postings", corpus:
                / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
         FROM (SELECT DISTINCT {keys}, unnest({toks(text)}) AS term FROM {queries}) q
         JOIN (SELECT *, count(*) OVER (PARTITION BY term) AS df FROM {postings}) p USING (term)
-        CROSS JOIN {corpus} c WHERE df <= 0.2 * n GROUP BY {keys}, {doc})) WHERE search_rank <= {k}"""
+        CROSS JOIN {corpus} c GROUP BY {keys}, {doc})) WHERE search_rank <= {k}"""
 
 
 cte("hits", "SELECT h.*, s.url FROM (" + bm25("claims", "article_id, claim_id", "claim")
