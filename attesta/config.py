@@ -30,7 +30,6 @@ class VerifyConfig:
     bm25_k1: float = 1.2
     bm25_b: float = 0.75
     max_df_share: float | None = None   # None: no search term is dropped for being frequent
-    seed_docs: int = 100
 
     # evidence
     nearest_k: int = 5

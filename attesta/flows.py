@@ -75,7 +75,7 @@ def verify(articles: DataFrame, sources: DataFrame, config: VerifyConfig = Verif
     claims = extract_claims(articles, config)
     index = index or search.build_index(sources)
     hits = search.top_k_search(index, claims, CLAIM, "claim", k=config.search_results, k1=config.bm25_k1,
-                               b=config.bm25_b, max_df_share=config.max_df_share, seed_docs=config.seed_docs)
+                               b=config.bm25_b, max_df_share=config.max_df_share)
     hits = hits.join(sources.select("doc_id", "url"), "doc_id")
     if config.require_reliable:
         if sites is None:

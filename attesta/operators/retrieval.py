@@ -49,9 +49,7 @@ def expand(index: SearchIndex, queries: DataFrame, hits: DataFrame, keys: list[s
         .select("doc_id", F.inline("terms"))
     )
     counts = (
-        index.forward.select(F.explode("terms.term").alias("term"))
-        .join(found.select("term").distinct(), "term", "left_semi")
-        .groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        index.terms.join(found.select("term").distinct(), "term", "left_semi")
         .filter(F.col("df") <= max_df_share * index.n_docs)
     )
     own = queries.select(*keys, F.explode(F.array_distinct(tx.tokens(text))).alias("term"))

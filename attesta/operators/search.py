@@ -1,37 +1,40 @@
-"""Ranked corpus search: exact top-k by BM25 or token overlap, pruned before it shuffles.
+"""Ranked corpus search: exact top-k by BM25 or token overlap, in bounded tiles.
 
 Copies are searched once: documents with the same tokens are one document with
 a count, queries with the same tokens are one query, and both are expanded at
 the end.
 
-A query's k-th best score over a few promising documents is a floor for the
-final k-th score. Terms whose best possible contributions together stay below
-that floor cannot bring a new document into the top k, so their (long) posting
-lists are never joined with the queries; they are only looked up inside the
-few documents that survive. The result equals scoring every document, and when
-the postings to join are few that is what is done.
+The index is inverted and written once: documents are dealt into tiles of about
+``TILE``, and a posting row holds one term's entries in one tile. A search joins
+its terms with those rows, so only postings of its own terms move. Queries are
+dealt into blocks of about ``BLOCK``; each (tile, block) is scored term by term in
+numpy and returns k rows a query, whatever the size of the corpus. Terms are added in one
+fixed order, so scores do not depend on how rows were shuffled. A frequent term
+is many rows (one a tile), and no (query, document) pair is ever a row.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from attesta.functions import text as tx
-from attesta.operators.skew import MAX_HOT_KEYS, hot_keys, salted_join
+from attesta.operators.skew import hot_keys, salted_join
 from attesta.operators.staging import stage
 
-# Scores are rounded to this many digits before ranking; floors give way by SLACK.
-DIGITS = 6
-SLACK = 1e-5
-HOT_POSTINGS = 500_000      # postings of one term in one join partition
+DIGITS = 6                  # scores are rounded to this many digits before ranking
+TILE = 2048                 # documents of a tile
+BLOCK = 512                 # queries of a block
 HOT_QUERIES = 200_000       # copies of one query in one join partition
-PRUNE_ABOVE = 20_000_000    # postings to join before pruning pays for its extra passes
 
 QID = ["_q1", "_q2"]       # two 64-bit hashes of a query's terms
+SCORED = "_q1 long, _q2 long, tile long, pos int, score double"
 
 
 @dataclass(frozen=True)
@@ -40,11 +43,15 @@ class SearchIndex:
 
     ``forward``: ``doc_id, dl, digest, terms array<struct<term, tf>>``;
     ``groups``: the lowest ``doc_id`` of each distinct token sequence, its
-    ``digest`` and number of copies ``n``.
+    ``digest``, number of copies ``n``, ``tile`` and ``pos`` (by id in the tile);
+    ``postings``: ``term, tile, copies, posts array<struct<pos, tf, dl>>``;
+    ``terms``: ``term, df`` with copies counted.
     """
 
     forward: DataFrame
     groups: DataFrame
+    postings: DataFrame
+    terms: DataFrame
     n_docs: int
     avg_len: float
     has_copies: bool
@@ -59,22 +66,32 @@ def build_index(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
                 tx.term_counts(toks).alias("terms")),
         "forward",
     )
-    groups = stage(
+    distinct = stage(
         forward.groupBy("digest", "dl").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n")),
         "copies",
     )
-    sizes = groups.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("dl")).alias("len"), F.max("n").alias("top")).first()
+    sizes = distinct.agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("dl")).alias("len"),
+                         F.max("n").alias("top")).first()
     n_docs = sizes["n"] or 0
-    return SearchIndex(forward, groups, n_docs, (sizes["len"] or 0) / n_docs if sizes["len"] else 1.0,
+    in_tile = W.partitionBy("tile").orderBy("doc_id")
+    groups = stage(
+        distinct.select("doc_id", "digest", "n", _dealt("digest", sizes["groups"], TILE).alias("tile"))
+        .withColumn("pos", F.row_number().over(in_tile) - 1),
+        "groups",
+    )
+    postings = stage(
+        forward.select("doc_id", "dl", "terms").join(groups.select("doc_id", "n", "tile", "pos"), "doc_id")
+        .select("tile", "pos", "dl", "n", F.inline("terms"))
+        .groupBy("term", "tile").agg(F.sum("n").alias("copies"), F.collect_list(F.struct("pos", "tf", "dl")).alias("posts")),
+        "postings",
+    )
+    terms = stage(postings.groupBy("term").agg(F.sum("copies").alias("df")), "terms")
+    return SearchIndex(forward, groups, postings, terms, n_docs, (sizes["len"] or 0) / n_docs if sizes["len"] else 1.0,
                        (sizes["top"] or 0) > 1)
 
 
-def _saturation(scheme: str, index: SearchIndex, k1: float, b: float) -> Column:
-    """What tf and dl make of one match; a term's score is its weight times this."""
-    if scheme == "overlap":
-        return F.lit(1.0)
-    norm = F.lit(1.0 - b) + F.lit(b) * F.col("dl") / F.lit(index.avg_len)
-    return (F.col("tf") * F.lit(k1 + 1.0)) / (F.col("tf") + F.lit(k1) * norm)
+def _dealt(key: str, rows: int, size: int):
+    return F.pmod(F.xxhash64(F.lit("deal"), key), F.lit(max(1, -(-rows // size))))
 
 
 def _best(scores: DataFrame, by: str, k: int, keys: list[str]) -> DataFrame:
@@ -82,16 +99,9 @@ def _best(scores: DataFrame, by: str, k: int, keys: list[str]) -> DataFrame:
     return scores.withColumn("search_rank", F.row_number().over(ranked)).filter(F.col("search_rank") <= k)
 
 
-def _kth(scores: DataFrame, by: str, k: int) -> DataFrame:
-    """Per query the k-th best score, 0 with fewer than k documents."""
-    full = F.count(F.lit(1)) == k
-    return _best(scores, by, k, QID).groupBy(*QID).agg(F.when(full, F.min(by)).otherwise(F.lit(0.0)).alias("floor"))
-
-
 def top_k_search(index: SearchIndex, queries: DataFrame, keys: list[str], text: str,
                  k: int = 10, scheme: str = "bm25", k1: float = 1.2, b: float = 0.75,
-                 max_df_share: float | None = None, seed_docs: int = 100,
-                 prune_above: int | None = None) -> DataFrame:
+                 max_df_share: float | None = None) -> DataFrame:
     """``keys, search_rank, doc_id, score``: the k best documents per query.
 
     Ties go to the lower document id (a long or a struct of parts). Every term
@@ -100,25 +110,15 @@ def top_k_search(index: SearchIndex, queries: DataFrame, keys: list[str], text:
     """
     asked = queries.select(*keys, F.array_sort(F.array_distinct(tx.tokens(text))).alias("_t")).select(
         *keys, F.xxhash64("_t").alias("_q1"), F.xxhash64(F.lit("2"), "_t").alias("_q2"), "_t")
-    wanted = (
-        asked.groupBy(*QID).agg(F.first("_t").alias("_t"))
-        .select(*QID, F.size("_t").alias("n_terms"), F.explode("_t").alias("term"))
-    )
-    postings = stage(
-        index.forward.select("doc_id", "dl", "terms").join(index.groups.select("doc_id", "n"), "doc_id")
-        .select("doc_id", "dl", "n", F.explode("terms").alias("_p"))
-        .select("doc_id", "dl", "n", F.col("_p.term").alias("term"), F.col("_p.tf").alias("tf"))
-        .join(wanted.select("term").distinct(), "term", "left_semi"),
-        "postings",
-    )
-    plan = _term_plan(index, wanted, postings, scheme, k1, b, max_df_share, seed_docs)
-    strength = _saturation(scheme, index, k1, b)
-    to_join = plan.agg(F.sum("rows").alias("rows")).first()["rows"] or 0
-    if to_join <= (PRUNE_ABOVE if prune_above is None else prune_above):
-        scores = _scored(postings, plan, strength).withColumnRenamed("partial", "total")
-    else:
-        scores = _pruned_scores(postings, plan, strength, k)
-    best = _best(scores.select(*QID, "doc_id", F.round("total", DIGITS).alias("score")), "score", k, QID)
+    wanted = stage(asked.groupBy(*QID).agg(F.first("_t").alias("_t")), "queries")
+    met = index.postings.join(_block_terms(index, wanted, scheme, max_df_share), "term").select(
+        "tile", "_block", "term", *[F.col(f"posts.{c}").alias(c) for c in ("pos", "tf", "dl")],
+        *[F.col(f"askers.{c}").alias(c) for c in ("_qn", *QID, "weight")])
+    found = met.groupBy("tile", "_block").applyInArrow(_tile_best(k, scheme, k1, b, index.avg_len), SCORED)
+    # ties stay until the ids are known
+    near = found.withColumn("_r", F.rank().over(W.partitionBy(*QID).orderBy(F.desc("score")))).filter(F.col("_r") <= k)
+    best = _best(near.join(index.groups.select("tile", "pos", "doc_id"), ["tile", "pos"]).select(*QID, "doc_id", "score"),
+                 "score", k, QID)
     if index.has_copies:
         best = _with_copies(index, stage(best.drop("search_rank"), "best"), k)
     copies = asked.select(*keys, *QID)
@@ -126,82 +126,58 @@ def top_k_search(index: SearchIndex, queries: DataFrame, keys: list[str], text:
     return found.select(*keys, "search_rank", "doc_id", "score")
 
 
-def _term_plan(index, wanted, postings, scheme, k1, b, max_df_share, seed_docs) -> DataFrame:
-    """Query terms with weight, best contribution, whether rare enough to seed the
-    floor, and the running sum of best contributions from the weakest term up."""
-    stats = postings.groupBy("term").agg(
-        F.sum("n").alias("df"), F.count(F.lit(1)).alias("rows"), F.max(_saturation(scheme, index, k1, b)).alias("top"))
+def _block_terms(index: SearchIndex, wanted: DataFrame, scheme: str, max_df_share: float | None) -> DataFrame:
+    """``term, _block, askers``: the queries of a block that hold a term (``_qn`` in the block), with its weight."""
+    numbered = wanted.withColumn("_block", _dealt("_q1", wanted.count(), BLOCK)).withColumn(
+        "_qn", F.row_number().over(W.partitionBy("_block").orderBy(*QID)) - 1)
+    terms = index.terms
     if max_df_share is not None:
-        stats = stats.filter(F.col("df") <= F.lit(max_df_share) * F.lit(index.n_docs))
+        terms = terms.filter(F.col("df") <= F.lit(max_df_share) * F.lit(index.n_docs))
     if scheme == "overlap":
         weight = F.lit(1.0) / F.col("n_terms")
     else:
         weight = F.log(F.lit(1.0) + (F.lit(float(index.n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    rare_first = W.partitionBy(*QID).orderBy(F.asc("rows"), "term").rowsBetween(W.unboundedPreceding, -1)
-    weak_first = W.partitionBy(*QID).orderBy(F.asc("best"), F.desc("rows"), F.desc("term")) \
-        .rowsBetween(W.unboundedPreceding, W.currentRow)
-    return stage(
-        wanted.join(stats, "term")
-        .withColumn("weight", weight)
-        .withColumn("best", F.col("weight") * F.col("top"))
-        .withColumn("seed", F.coalesce(F.sum("rows").over(rare_first), F.lit(0)) < seed_docs)
-        .withColumn("weak_sum", F.sum("best").over(weak_first)),
-        "term-plan",
-    )
-
-
-def _scored(postings: DataFrame, terms: DataFrame, strength: Column) -> DataFrame:
-    """Score of the given query terms per (query, document); frequent terms are salted."""
-    hot = (
-        terms.filter(F.col("rows") > HOT_POSTINGS).select("term", "rows").distinct()
-        .orderBy(F.desc("rows"), "term").limit(MAX_HOT_KEYS)
-        .select("term", F.ceil(F.col("rows") / HOT_POSTINGS).cast("int").alias("_parts"))
-    )
-    pairs = salted_join(postings, terms.select(*QID, "term", "weight"), ["term"], hot, spread=["doc_id"])
-    return pairs.groupBy(*QID, "doc_id").agg(F.sum(F.col("weight") * strength).alias("partial"))
-
-
-def _floor(postings: DataFrame, scores: DataFrame, terms: DataFrame, strength: Column, k: int) -> DataFrame:
-    """Per query the k-th best complete score among its most promising documents:
-    the true k-th score is at least that."""
-    complete = (
-        _best(scores, "partial", 4 * k, QID).select(*QID, "doc_id")
-        .join(terms.select(*QID, "term", "weight"), QID).join(postings, ["doc_id", "term"])
-        .groupBy(*QID, "doc_id").agg(F.sum(F.col("weight") * strength).alias("partial"))
+    return (
+        numbered.select(*QID, "_block", "_qn", F.size("_t").alias("n_terms"), F.explode("_t").alias("term"))
+        .join(terms, "term")
+        .groupBy("term", "_block").agg(F.collect_list(F.struct("_qn", *QID, weight.alias("weight"))).alias("askers"))
     )
-    return _kth(complete, "partial", k)
 
 
-def _pruned_scores(postings: DataFrame, plan: DataFrame, strength: Column, k: int) -> DataFrame:
-    floor = _floor(postings, _scored(postings, plan.filter("seed"), strength), plan, strength, k)
-    marked = stage(
-        plan.join(floor, QID, "left")
-        .withColumn("weak", F.col("weak_sum") < F.coalesce("floor", F.lit(0.0)) - SLACK)
-        .select(*QID, "term", "rows", "weight", "best", "floor", "weak"),
-        "term-roles",
-    )
-    # One row per query: what its weak terms could add, and the terms themselves.
-    weak = marked.filter("weak").groupBy(*QID).agg(
-        F.sum("best").alias("rest_best"), F.max("floor").alias("floor"),
-        F.collect_list(F.struct("term", "weight")).alias("rest"))
-    reachable = F.col("partial") + F.coalesce("rest_best", F.lit(0.0)) >= F.coalesce("floor", F.lit(0.0)) - SLACK
-    candidates = stage(
-        _scored(postings, marked.filter("NOT weak"), strength)
-        .join(weak.drop("rest"), QID, "left").filter(reachable).select(*QID, "doc_id", "partial"),
-        "candidates",
-    )
-    # The best candidates give a higher floor still: what stays is closer to k per query.
-    limits = _floor(postings, candidates, plan, strength, k).join(weak.drop("floor"), QID, "left")
-    none = F.array().cast("array<struct<term:string,weight:double>>")
-    return (
-        candidates.join(limits, QID).filter(reachable)
-        .select(*QID, "doc_id", "partial", F.explode_outer(F.coalesce("rest", none)).alias("_q"))
-        .select(*QID, "doc_id", "partial", F.col("_q.term").alias("term"), F.col("_q.weight").alias("weight"))
-        .join(postings, ["doc_id", "term"], "left")
-        .groupBy(*QID, "doc_id")
-        .agg((F.max("partial") + F.coalesce(F.sum(F.when(F.col("tf").isNotNull(), F.col("weight") * strength)), F.lit(0.0)))
-             .alias("total"))
-    )
+def _tile_best(k: int, scheme: str, k1: float, b: float, avg_len: float) -> Callable:
+    """Scores of one block of queries in one tile; the k best of each query, ties to the lower position."""
+    def run(met: pa.Table) -> pa.Table:
+        met = met.sort_by("term")
+        flat = {c: met.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+                for c in ("pos", "tf", "dl", "_qn", *QID, "weight")}
+        ends = {c: np.cumsum(met.column(c).combine_chunks().value_lengths().to_numpy(zero_copy_only=False)) for c in ("pos", "_qn")}
+        pos, who, weight = flat["pos"], flat["_qn"], flat["weight"]
+        if scheme == "overlap":
+            gain = np.ones(len(pos))
+        else:
+            tf, norm = flat["tf"].astype(float), 1.0 - b + b * flat["dl"] / avg_len
+            gain = tf * (k1 + 1.0) / (tf + k1 * norm)
+        n, width = int(who.max()) + 1, int(pos.max()) + 1
+        scores, line = np.zeros((n, width)), np.zeros(width)
+        for p0, p1, q0, q1 in zip(np.r_[0, ends["pos"][:-1]], ends["pos"], np.r_[0, ends["_qn"][:-1]], ends["_qn"]):
+            at, rows, w = pos[p0:p1], who[q0:q1], weight[q0:q1, None]
+            if 8 * len(at) >= width:
+                line[:] = 0.0
+                line[at] = gain[p0:p1]
+                scores[rows] += w * line
+            else:
+                scores[rows[:, None], at] += w * gain[p0:p1]
+        places = np.floor(scores * 10.0**DIGITS + 0.5).astype(np.int64)
+        order = np.where(scores > 0, places * width + np.arange(width)[::-1], -1)
+        top = np.argpartition(-order, min(k, width) - 1, axis=1)[:, :k]
+        row, col = np.repeat(np.arange(n), top.shape[1]), top.ravel()
+        hit = order[row, col] >= 0
+        row, col = row[hit], col[hit]
+        ids = np.zeros((2, n), np.int64)
+        ids[0, who], ids[1, who] = flat["_q1"], flat["_q2"]
+        return pa.table({"_q1": ids[0, row], "_q2": ids[1, row], "tile": np.full(len(row), met.column("tile")[0].as_py(), np.int64),
+                         "pos": col.astype(np.int32), "score": places[row, col] / 10.0**DIGITS})
+    return run
 
 
 def _with_copies(index: SearchIndex, best: DataFrame, k: int) -> DataFrame:

@@ -8,20 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-MAX_HOT_KEYS = 20_000
-
 
 def hot_keys(rows: DataFrame, keys: list[str], rows_per_part: int) -> DataFrame:
     """Keys with more than ``rows_per_part`` rows and the number of parts to cut them into.
 
-    At most ``MAX_HOT_KEYS`` rows leave here (the largest first), so the
-    result is safe to broadcast whatever the input size; a key beyond that
-    still joins correctly, only unsalted.
+    There are at most (rows / ``rows_per_part``) of them; how they are joined is left to Spark's size-checked choice.
     """
     return (
         rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
         .filter(F.col("_n") > rows_per_part)
-        .orderBy(F.desc("_n"), *keys).limit(MAX_HOT_KEYS)
         .select(*keys, F.ceil(F.col("_n") / rows_per_part).cast("int").alias("_parts"))
     )
 
@@ -33,14 +28,13 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFra
     The salt is a hash of ``spread`` (never random, so a recomputed task gives
     the same rows), and only the right rows of hot keys are repeated.
     """
-    small = F.broadcast(hot)
     lhs = (
-        left.join(small, keys, "left")
+        left.join(hot, keys, "left")
         .withColumn("_salt", F.pmod(F.xxhash64(*spread), F.coalesce("_parts", F.lit(1))).cast("int"))
         .drop("_parts")
     )
     rhs = (
-        right.join(small, keys, "left")
+        right.join(hot, keys, "left")
         .withColumn("_salt", F.explode(
             F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1)))
         .drop("_parts")

@@ -102,8 +102,7 @@ def prop_units(spark, sf):
 
 def overlap_top(spark, sf, units, k=4):
     index = search.build_index(units, text="unit", doc_id="unit_id")
-    return search.top_k_search(index, tb.claims(spark, sf), CLAIM, "claim", k=k, scheme="overlap", max_df_share=None,
-                               seed_docs=1000)
+    return search.top_k_search(index, tb.claims(spark, sf), CLAIM, "claim", k=k, scheme="overlap")
 
 
 @query("k02_top_chunks", with_ctes(
@@ -143,7 +142,7 @@ def n02_fused_ranking(spark, sf):
     index = search.build_index(docs)
     ours = tb.claims(spark, sf)
     sparse = search.top_k_search(index, ours, CLAIM, "claim")
-    overlap = search.top_k_search(index, ours, CLAIM, "claim", scheme="overlap", max_df_share=None)
+    overlap = search.top_k_search(index, ours, CLAIM, "claim", scheme="overlap")
     return retrieval.reciprocal_rank_fusion(sparse, overlap, CLAIM, "doc_id", k=10)
 
 

@@ -51,16 +51,15 @@ def corpus(seed, n_docs=80, n_queries=12, vocabulary=60):
     return docs, queries + [(90, 0, ""), (91, 0, "unseen words")]
 
 
-@pytest.mark.parametrize("scheme, share, seed_docs, hot", [
-    ("bm25", 0.2, 5, 500_000), ("bm25", None, 1, 10), ("overlap", None, 5, 500_000), ("overlap", None, 10_000, 3)])
-@pytest.mark.parametrize("prune_above", [0, 10**9])
-def test_search_equals_brute_force(spark, monkeypatch, scheme, share, seed_docs, hot, prune_above):
-    monkeypatch.setattr(search, "HOT_POSTINGS", hot)
+@pytest.mark.parametrize("scheme, share", [("bm25", 0.2), ("bm25", None), ("overlap", None)])
+@pytest.mark.parametrize("tile, block, hot", [(2048, 512, 200_000), (7, 3, 3), (3, 20, 10)])
+def test_search_equals_brute_force(spark, monkeypatch, scheme, share, tile, block, hot):
+    monkeypatch.setattr(search, "TILE", tile)
+    monkeypatch.setattr(search, "BLOCK", block)
     monkeypatch.setattr(search, "HOT_QUERIES", hot)
-    docs, queries = corpus(seed_docs + (scheme == "overlap"))
+    docs, queries = corpus(tile + (scheme == "overlap"))
     index = search.build_index(spark.createDataFrame(docs, "doc_id long, text string"))
     asked = spark.createDataFrame(queries, "article_id long, claim_id int, claim string")
-    found = search.top_k_search(index, asked, KEYS, "claim", k=5, scheme=scheme, max_df_share=share,
-                                seed_docs=seed_docs, prune_above=prune_above)
+    found = search.top_k_search(index, asked, KEYS, "claim", k=5, scheme=scheme, max_df_share=share)
     got = sorted((a, c, r, d, round(s, 5)) for a, c, r, d, s in values(found, *KEYS, "search_rank", "doc_id", "score"))
     assert got == brute(docs, queries, 5, scheme, share)
