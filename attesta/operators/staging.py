@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@functools.cache
+def _local_root() -> str:
+    """One folder for this process; the setting itself cannot be changed in a running session."""
+    return tempfile.mkdtemp(prefix="attesta-")
+
+
 def scratch_root(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; local runs get a fresh folder.
 
@@ -19,9 +26,7 @@ def scratch_root(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a shared folder before running on a cluster")
-    root = tempfile.mkdtemp(prefix="attesta-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    return _local_root()
 
 
 def stage_path(spark: SparkSession, label: str) -> str:
