@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm import (bpe_chunks, checks, decontaminate, exact_dedup, html_blocks, license_rules, quality_net, reply_trees,
-                         shards, sketch_join, token_counts)
+from attesta.llm import (bpe_chunks, checks, decontaminate, divergence, exact_dedup, html_blocks, license_rules, quality_net, reply_trees,
+                         shards, sketch_join, spelling, token_counts, url_trie)
 from attesta.llm.words import whole
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -140,3 +140,29 @@ def op9_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its shingle count and the component of its links."""
     return sketch_join.near_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+#: host, path and verdict of the entries that ``op11`` judges by
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
+             ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+@query("op11_url_trie", checks.URL_TRIE)
+def op11_url_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's URL judged by the longest rule."""
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    judged = url_trie.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op12_spelling_variants", checks.SPELLING)
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frequent words of the documents with their near words, forms and roots; one run in 199 is misspelt first."""
+    words = spelling.vocabulary(table(spark, sf_dir, "documents"), every=199)
+    return spelling.variants(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+@query("op13_source_divergence", checks.DIVERGENCE)
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every source against the others of its language, and the terms it uses more than its language does."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
