@@ -9,9 +9,10 @@ from dataclasses import dataclass, field
 class VerifyConfig:
     """Which stage variant to use and with which sizes.
 
-    Defaults give the deterministic native run; ``scorer``, ``extractor`` and
-    ``rewriter`` accept a plugged model (see ``attesta.operators.relation``,
-    ``attesta.operators.segment`` and ``attesta.operators.context``).
+    Defaults give the deterministic native run; ``scorer``, ``extractor``,
+    ``rewriter`` and ``encoder`` accept a plugged model (see ``attesta.operators.relation``,
+    ``attesta.operators.segment``, ``attesta.operators.context`` and
+    ``attesta.operators.dense``); ``encoder="hashed"`` ranks source claims by hashed vectors.
     """
 
     # segmentation
@@ -35,11 +36,14 @@ class VerifyConfig:
     nearest_k: int = 5
     embed_source_claims: bool = True    # False: every claim of a hit is compared
     tile_rows: int = 256                # source claims held by one row of the join
-    hot_key_rows: int = 200_000         # join keys above this are salted
+    hot_key_rows: int = 1_000           # hits on one source that travel together
+    wave_ranks: tuple = (3,)            # last search ranks of the waves in which hits are compared; () compares all at once
+    extract_sources: bool = False       # True: sources go through the same chain as articles, not only the sentence cut
     require_reliable: bool = False
 
     # plug points
     extractor: object = None
     rewriter: object = None
     scorer: object = None
+    encoder: object = None              # None: source claims are ranked by shared words
     labels: tuple = field(default=("contradiction", "entailment", "neutral"))

@@ -8,8 +8,11 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from attesta.functions import text as tx
+from attesta.operators.similar_sets import similar_components
+from attesta.operators.staging import stage
 
 # Labels, word lists of the rules, prefixes cut from claim lists (in this order).
 CHECKWORTHY, OPINION, PERSONAL, NOT_A_CLAIM = "checkworthy", "opinion", "personal statement", "not a claim"
@@ -81,38 +84,27 @@ def unique_claims(claims: DataFrame, ids: list[str], text: str) -> DataFrame:
     )
 
 
-def near_unique(claims: DataFrame, ids: list[str], text: str, bands: int = 8, rows: int = 2,
-                threshold: float = 0.7) -> DataFrame:
-    """Claims that repeat a kept one in other words, with the lowest such claim.
+def near_unique(claims: DataFrame, ids: list[str], text: str, threshold: float = 0.7) -> DataFrame:
+    """Claims that repeat another in other words, with the lowest claim of all that repeat each other.
 
-    Exact copies go first. Token sets are min-hashed into bands; every member
-    of a bucket is compared with the bucket's lowest claim only, so a bucket
-    of n claims costs n comparisons, never n squared.
+    Exact copies go first. Token sets are linked where their Jaccard similarity reaches ``threshold``; linked sets are one
+    group, whose lowest claim is kept, so no claim points at one that is itself a repeat. ``jaccard`` is the similarity to
+    the kept claim, lower than ``threshold`` where only claims between them link the two.
     """
-    key = F.struct(*ids)
     sets = (
         unique_claims(claims, ids, text)
-        .select(key.alias("id"), F.array_distinct(tx.tokens(text)).alias("toks"))
+        .select(F.struct(*ids).alias("id"), F.array_sort(F.array_distinct(tx.tokens(text))).alias("toks"))
         .filter(F.size("toks") > 0)
     )
-    mins = [_min_hash(seed) for seed in range(bands * rows)]
-    keys = F.array(*[F.xxhash64(F.lit(b), *mins[b * rows:(b + 1) * rows]) for b in range(bands)])
-    banded = sets.select("id", "toks", F.posexplode(keys).alias("band", "bucket"))
-    heads = banded.groupBy("band", "bucket").agg(
-        F.min(F.struct("id", "toks")).alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    linked = banded.join(heads.drop("n"), ["band", "bucket"]).filter("id <> head.id")
-    both = F.size(F.array_intersect("toks", "head.toks"))
-    either = F.size("toks") + F.size("head.toks") - both
-    return (
-        linked.withColumn("jaccard", F.round(both / either, 6)).filter(F.col("jaccard") >= threshold)
-        .groupBy("id").agg(F.min(F.struct(F.col("head.id").alias("repeats"), "jaccard")).alias("m"))
-        .select(*[F.col(f"id.{i}").alias(i) for i in ids],
-                *[F.col(f"m.repeats.{i}").alias(f"repeats_{i}") for i in ids], "m.jaccard")
-    )
-
-
-def _min_hash(seed: int) -> Column:
-    return F.array_min(F.transform("toks", lambda t: F.xxhash64(t, F.lit(seed))))
+    named = stage(sets.withColumn("first", F.min("id").over(W.partitionBy("toks"))), "claims")
+    distinct = named.filter("id = first").select("id", "toks")
+    labels = similar_components(distinct, threshold).withColumnRenamed("node", "first")
+    rooted = (named.join(labels, "first", "left").withColumn("root", F.coalesce("root", "first")).filter("id <> root")
+              .join(distinct.select(F.col("id").alias("root"), F.col("toks").alias("kept")), "root"))
+    both = F.size(F.array_intersect("toks", "kept"))
+    return rooted.select(
+        *[F.col(f"id.{i}").alias(i) for i in ids], *[F.col(f"root.{i}").alias(f"repeats_{i}") for i in ids],
+        F.round(both / (F.size("toks") + F.size("kept") - both), 6).alias("jaccard"))
 
 
 def criteria(claims: DataFrame, article: str, text: str) -> DataFrame:

@@ -1,97 +1,46 @@
-"""Ranked corpus search: exact top-k by BM25 or token overlap, in bounded tiles.
-
-Copies are searched once: documents with the same tokens are one document with
-a count, queries with the same tokens are one query, and both are expanded at
-the end.
-
-The index is inverted and written once: documents are dealt into tiles of about
-``TILE``, and a posting row holds one term's entries in one tile. A search joins
-its terms with those rows, so only postings of its own terms move. Queries are
-dealt into blocks of about ``BLOCK``; each (tile, block) is scored term by term in
-numpy and returns k rows a query, whatever the size of the corpus. Terms are added in one
-fixed order, so scores do not depend on how rows were shuffled. A frequent term
-is many rows (one a tile), and no (query, document) pair is ever a row.
+"""Ranked corpus search: exact top-k by BM25 or token overlap, pruned by score bounds.
+
+A search has three steps, and no result depends on how far it prunes.
+
+1. Threshold. Some documents that hold a query's rarest terms are scored; the k-th best score of these is one that
+   the k-th best of all cannot fall below.
+2. Candidates. A query's terms are put in order of the highest gain they can bring. Those that together stay below the threshold
+   cannot lift a document into the result, so a document without any other term is never looked at. The postings of the
+   other, mostly rare, terms are added up per tile, and a document goes on if what the common terms may still bring can reach the threshold.
+3. Scores. Candidates are scored whole, from the postings of their tiles.
+
+Queries with the same tokens are searched once; documents with the same tokens are one document of the index. Both are
+expanded at the end. Queries are dealt into blocks, and each (tile, block) is one numpy call on bounded rows: no table of all (query,
+document) pairs exists, only of those that are scored. Terms are added in one fixed order, so scores do not depend on how rows were
+shuffled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from attesta.functions import text as tx
+from attesta.operators.search_index import B, K1, SearchIndex, build_index, dealt, open_index
 from attesta.operators.skew import hot_keys, salted_join
 from attesta.operators.staging import stage
 
+__all__ = ["DIGITS", "QID", "SearchIndex", "build_index", "identified", "open_index", "scored_pairs", "top_k_search"]
+
 DIGITS = 6                  # scores are rounded to this many digits before ranking
-TILE = 2048                 # documents of a tile
-BLOCK = 512                 # queries of a block
+BLOCK = 256                 # queries of a block
+LEAD = 4                    # this many times k documents give a query its threshold
+SLACK = 1e-5                # more than rounding and the order of additions can change
 HOT_QUERIES = 200_000       # copies of one query in one join partition
 
 QID = ["_q1", "_q2"]       # two 64-bit hashes of a query's terms
-SCORED = "_q1 long, _q2 long, tile long, pos int, score double"
-
-
-@dataclass(frozen=True)
-class SearchIndex:
-    """Tokenised corpus, written once.
-
-    ``forward``: ``doc_id, dl, digest, terms array<struct<term, tf>>``;
-    ``groups``: the lowest ``doc_id`` of each distinct token sequence, its
-    ``digest``, number of copies ``n``, ``tile`` and ``pos`` (by id in the tile);
-    ``postings``: ``term, tile, copies, posts array<struct<pos, tf, dl>>``;
-    ``terms``: ``term, df`` with copies counted.
-    """
-
-    forward: DataFrame
-    groups: DataFrame
-    postings: DataFrame
-    terms: DataFrame
-    n_docs: int
-    avg_len: float
-    has_copies: bool
-
-
-def build_index(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> SearchIndex:
-    """Tokenise every document once and stage the result; collection sizes come from it."""
-    toks = F.col("_toks")
-    forward = stage(
-        docs.select(F.col(doc_id).alias("doc_id"), tx.tokens(text).alias("_toks"))
-        .select("doc_id", F.size(toks).alias("dl"), F.md5(F.array_join(toks, " ")).alias("digest"),
-                tx.term_counts(toks).alias("terms")),
-        "forward",
-    )
-    distinct = stage(
-        forward.groupBy("digest", "dl").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n")),
-        "copies",
-    )
-    sizes = distinct.agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("dl")).alias("len"),
-                         F.max("n").alias("top")).first()
-    n_docs = sizes["n"] or 0
-    in_tile = W.partitionBy("tile").orderBy("doc_id")
-    groups = stage(
-        distinct.select("doc_id", "digest", "n", _dealt("digest", sizes["groups"], TILE).alias("tile"))
-        .withColumn("pos", F.row_number().over(in_tile) - 1),
-        "groups",
-    )
-    postings = stage(
-        forward.select("doc_id", "dl", "terms").join(groups.select("doc_id", "n", "tile", "pos"), "doc_id")
-        .select("tile", "pos", "dl", "n", F.inline("terms"))
-        .groupBy("term", "tile").agg(F.sum("n").alias("copies"), F.collect_list(F.struct("pos", "tf", "dl")).alias("posts")),
-        "postings",
-    )
-    terms = stage(postings.groupBy("term").agg(F.sum("copies").alias("df")), "terms")
-    return SearchIndex(forward, groups, postings, terms, n_docs, (sizes["len"] or 0) / n_docs if sizes["len"] else 1.0,
-                       (sizes["top"] or 0) > 1)
-
-
-def _dealt(key: str, rows: int, size: int):
-    return F.pmod(F.xxhash64(F.lit("deal"), key), F.lit(max(1, -(-rows // size))))
+PLACE = [*QID, "_block", "_qn", "tile", "pos"]
+PLACED = "_q1 long, _q2 long, _block long, _qn int, tile long, pos int"
 
 
 def _best(scores: DataFrame, by: str, k: int, keys: list[str]) -> DataFrame:
@@ -99,8 +48,14 @@ def _best(scores: DataFrame, by: str, k: int, keys: list[str]) -> DataFrame:
     return scores.withColumn("search_rank", F.row_number().over(ranked)).filter(F.col("search_rank") <= k)
 
 
+def identified(queries: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """Queries with their sorted distinct terms (``_t``) and two hashes of these."""
+    return queries.select(*keys, F.array_sort(F.array_distinct(tx.tokens(text))).alias("_t")).select(
+        *keys, F.xxhash64("_t").alias("_q1"), F.xxhash64(F.lit("2"), "_t").alias("_q2"), "_t")
+
+
 def top_k_search(index: SearchIndex, queries: DataFrame, keys: list[str], text: str,
-                 k: int = 10, scheme: str = "bm25", k1: float = 1.2, b: float = 0.75,
+                 k: int = 10, scheme: str = "bm25", k1: float = K1, b: float = B,
                  max_df_share: float | None = None) -> DataFrame:
     """``keys, search_rank, doc_id, score``: the k best documents per query.
 
@@ -108,13 +63,8 @@ def top_k_search(index: SearchIndex, queries: DataFrame, keys: list[str], text:
     counts unless ``max_df_share`` is set, which leaves out terms found in a
     larger share of the corpus. Documents sharing no kept term are absent.
     """
-    asked = queries.select(*keys, F.array_sort(F.array_distinct(tx.tokens(text))).alias("_t")).select(
-        *keys, F.xxhash64("_t").alias("_q1"), F.xxhash64(F.lit("2"), "_t").alias("_q2"), "_t")
-    wanted = stage(asked.groupBy(*QID).agg(F.first("_t").alias("_t")), "queries")
-    met = index.postings.join(_block_terms(index, wanted, scheme, max_df_share), "term").select(
-        "tile", "_block", "term", *[F.col(f"posts.{c}").alias(c) for c in ("pos", "tf", "dl")],
-        *[F.col(f"askers.{c}").alias(c) for c in ("_qn", *QID, "weight")])
-    found = met.groupBy("tile", "_block").applyInArrow(_tile_best(k, scheme, k1, b, index.avg_len), SCORED)
+    asked = identified(queries, keys, text)
+    found = scored_pairs(index, asked, k, scheme, k1, b, max_df_share)
     # ties stay until the ids are known
     near = found.withColumn("_r", F.rank().over(W.partitionBy(*QID).orderBy(F.desc("score")))).filter(F.col("_r") <= k)
     best = _best(near.join(index.groups.select("tile", "pos", "doc_id"), ["tile", "pos"]).select(*QID, "doc_id", "score"),
@@ -122,61 +72,152 @@ def top_k_search(index: SearchIndex, queries: DataFrame, keys: list[str], text:
     if index.has_copies:
         best = _with_copies(index, stage(best.drop("search_rank"), "best"), k)
     copies = asked.select(*keys, *QID)
-    found = salted_join(copies, best, QID, hot_keys(copies, QID, HOT_QUERIES), spread=keys)
-    return found.select(*keys, "search_rank", "doc_id", "score")
+    hits = salted_join(copies, best, QID, hot_keys(copies, QID, HOT_QUERIES), spread=keys)
+    return hits.select(*keys, "search_rank", "doc_id", "score")
+
 
+def scored_pairs(index: SearchIndex, asked: DataFrame, k: int, scheme: str = "bm25", k1: float = K1, b: float = B,
+                 max_df_share: float | None = None) -> DataFrame:
+    """Every (query, document) pair that had to be scored, once: ``_q1, _q2, tile, pos, score``.
 
-def _block_terms(index: SearchIndex, wanted: DataFrame, scheme: str, max_df_share: float | None) -> DataFrame:
-    """``term, _block, askers``: the queries of a block that hold a term (``_qn`` in the block), with its weight."""
-    numbered = wanted.withColumn("_block", _dealt("_q1", wanted.count(), BLOCK)).withColumn(
+    ``asked`` has ``_q1, _q2, _t`` (the query's sorted distinct terms). Among the pairs are each query's k best.
+    """
+    gain = _gain(scheme, k1, b, index.avg_len)
+    terms = _asked_terms(index, asked, scheme, k1, b, max_df_share, LEAD * k)
+    lead = _pairs(index, terms.filter("lead"), LEAD * k)
+    first = _scores(index, lead, terms, gain)
+    worst = W.partitionBy(*QID).orderBy(F.desc("score"))
+    theta = (first.withColumn("_r", F.row_number().over(worst)).filter(F.col("_r") == k)
+             .select(*QID, F.col("score").alias("theta")))
+    bounded = terms.join(theta, QID, "left").withColumn("theta", F.coalesce("theta", F.lit(0.0)))
+    minor = F.col("below") + SLACK < F.col("theta")
+    rest = F.coalesce(F.max(F.when(minor, F.col("below"))).over(W.partitionBy(*QID)), F.lit(0.0))
+    major = bounded.withColumn("need", F.col("theta") - rest - SLACK).filter(~minor)
+    askers = _askers(major, ["_block"], "need")
+    placed, postings = index.shelved(askers)
+    met = postings.join(placed, ["shelf", "term"]).select(
+        "tile", "_block", "term", *_flat("posts", "pos", "tf", "dl"), *_flat("askers", "_qn", *QID, "weight", "need"))
+    survivors = met.groupBy("tile", "_block").applyInArrow(_surviving(gain), PLACED)
+    more = stage(survivors.join(lead.select(*QID, "tile", "pos"), [*QID, "tile", "pos"], "left_anti"), "candidates")
+    return first.unionByName(_scores(index, more, terms, gain))
+
+
+def _asked_terms(index: SearchIndex, asked: DataFrame, scheme: str, k1: float, b: float, max_df_share: float | None,
+                 lead: int) -> DataFrame:
+    """One row per query and term of the index: ``_block, _qn`` (the query in its block), ``weight``, ``n`` documents,
+    ``below`` (what this and all weaker terms can bring) and ``lead`` (among the rarest terms, up to ``lead`` documents)."""
+    wanted = stage(asked.groupBy(*QID).agg(F.first("_t").alias("_t")), "queries")
+    numbered = wanted.withColumn("_block", dealt("_q1", wanted.count(), BLOCK)).withColumn(
         "_qn", F.row_number().over(W.partitionBy("_block").orderBy(*QID)) - 1)
     terms = index.terms
     if max_df_share is not None:
         terms = terms.filter(F.col("df") <= F.lit(max_df_share) * F.lit(index.n_docs))
     if scheme == "overlap":
-        weight = F.lit(1.0) / F.col("n_terms")
+        weight, top = F.lit(1.0) / F.col("n_terms"), F.lit(1.0)
     else:
         weight = F.log(F.lit(1.0) + (F.lit(float(index.n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return (
-        numbered.select(*QID, "_block", "_qn", F.size("_t").alias("n_terms"), F.explode("_t").alias("term"))
-        .join(terms, "term")
-        .groupBy("term", "_block").agg(F.collect_list(F.struct("_qn", *QID, weight.alias("weight"))).alias("askers"))
-    )
+        top = F.col("top") if (k1, b) == (K1, B) else F.lit(k1 + 1.0)
+    rows = (numbered.select(*QID, "_block", "_qn", F.size("_t").alias("n_terms"), F.explode("_t").alias("term"))
+            .join(terms, "term").select(*QID, "_block", "_qn", "term", "n", weight.alias("weight"), top.alias("top")))
+    mine = W.partitionBy(*QID)
+    rarer = F.sum("n").over(mine.orderBy("n", "term").rowsBetween(W.unboundedPreceding, -1))
+    strength = F.col("weight") * F.col("top")
+    below = F.sum(strength).over(mine.orderBy(strength, "term").rowsBetween(W.unboundedPreceding, W.currentRow))
+    return stage(rows.withColumns({"lead": F.coalesce(rarer, F.lit(0)) < lead, "below": below}).drop("top"), "terms")
 
 
-def _tile_best(k: int, scheme: str, k1: float, b: float, avg_len: float) -> Callable:
-    """Scores of one block of queries in one tile; the k best of each query, ties to the lower position."""
-    def run(met: pa.Table) -> pa.Table:
-        met = met.sort_by("term")
-        flat = {c: met.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False)
-                for c in ("pos", "tf", "dl", "_qn", *QID, "weight")}
-        ends = {c: np.cumsum(met.column(c).combine_chunks().value_lengths().to_numpy(zero_copy_only=False)) for c in ("pos", "_qn")}
-        pos, who, weight = flat["pos"], flat["_qn"], flat["weight"]
+def _flat(rows: str, *names: str) -> list[Column]:
+    return [F.col(f"{rows}.{c}").alias(c) for c in names]
+
+
+def _askers(terms: DataFrame, by: list[str], *carry: str) -> DataFrame:
+    """The queries of a block that ask for a term; a block's size bounds the list."""
+    return terms.groupBy("term", *by).agg(F.collect_list(F.struct("_qn", *QID, "weight", *carry)).alias("askers"))
+
+
+def _pairs(index: SearchIndex, lead: DataFrame, most: int) -> DataFrame:
+    """Documents of the leading terms. Of a term with more than enough, the first tiles and entries do: any real
+    document's score is a safe threshold."""
+    tiles = F.ceil(F.least(F.lit(1.0), F.lit(2.0 * most) / F.col("n")) * index.n_tiles)
+    placed, postings = index.shelved(lead.select("term", *QID, "_block", "_qn", tiles.alias("tiles")))
+    met = postings.select("shelf", "term", "tile", F.slice("posts.pos", 1, 2 * most).alias("pos")).join(placed, ["shelf", "term"])
+    return stage(met.filter(F.col("tile") < F.col("tiles")).select(*QID, "_block", "_qn", "tile", F.explode("pos").alias("pos")).distinct(), "lead")
+
+
+def _scores(index: SearchIndex, pairs: DataFrame, terms: DataFrame, gain: Callable) -> DataFrame:
+    """Whole scores of chosen pairs, each from its tile's postings of all terms of the query."""
+    near = pairs.select(*QID, "tile").distinct().join(terms.select(*QID, "_block", "_qn", "term", "weight"), QID)
+    placed, postings = index.shelved(near.groupBy("term", "_block", "tile").agg(F.collect_list(F.struct("_qn", "weight")).alias("askers")))
+    met = postings.join(placed, ["shelf", "term", "tile"]).select(
+        "tile", "_block", "term", *_flat("posts", "pos", "tf", "dl"), *_flat("askers", "_qn", "weight"))
+    scored = met.groupBy("tile", "_block").cogroup(pairs.groupBy("tile", "_block")).applyInArrow(
+        _tile_scores(gain), "_q1 long, _q2 long, tile long, pos int, score double")
+    return stage(scored, "scores")
+
+
+def _gain(scheme: str, k1: float, b: float, avg_len: float) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    def gain(tf: np.ndarray, dl: np.ndarray) -> np.ndarray:
         if scheme == "overlap":
-            gain = np.ones(len(pos))
-        else:
-            tf, norm = flat["tf"].astype(float), 1.0 - b + b * flat["dl"] / avg_len
-            gain = tf * (k1 + 1.0) / (tf + k1 * norm)
-        n, width = int(who.max()) + 1, int(pos.max()) + 1
+            return np.ones(len(tf))
+        tf = tf.astype(float)
+        return tf * (k1 + 1.0) / (tf + k1 * (1.0 - b + b * dl / avg_len))
+    return gain
+
+
+def _columns(met: pa.Table, posts: list[str], askers: list[str]) -> tuple[dict[str, np.ndarray], list[tuple]]:
+    """Flattened list columns of the rows by term, and each row's bounds in both kinds."""
+    met = met.sort_by("term")
+    flat = {c: met.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in (*posts, *askers)}
+    ends = [np.cumsum(met.column(c[0]).combine_chunks().value_lengths().to_numpy(zero_copy_only=False)) for c in (posts, askers)]
+    return flat, list(zip(np.r_[0, ends[0][:-1]], ends[0], np.r_[0, ends[1][:-1]], ends[1]))
+
+
+def _surviving(gain: Callable) -> Callable:
+    """Documents of a tile that a block's queries may still want, given what their stronger terms bring."""
+    def run(met: pa.Table) -> pa.Table:
+        flat, rows = _columns(met, ["pos", "tf", "dl"], ["_qn", *QID, "weight", "need"])
+        pos, who, gains = flat["pos"], flat["_qn"], gain(flat["tf"], flat["dl"])
+        asked, who = np.unique(who, return_inverse=True)
+        n, width = len(asked), int(pos.max()) + 1
         scores, line = np.zeros((n, width)), np.zeros(width)
-        for p0, p1, q0, q1 in zip(np.r_[0, ends["pos"][:-1]], ends["pos"], np.r_[0, ends["_qn"][:-1]], ends["_qn"]):
-            at, rows, w = pos[p0:p1], who[q0:q1], weight[q0:q1, None]
+        for p0, p1, q0, q1 in rows:
+            at, mine, weight = pos[p0:p1], who[q0:q1], flat["weight"][q0:q1, None]
             if 8 * len(at) >= width:
                 line[:] = 0.0
-                line[at] = gain[p0:p1]
-                scores[rows] += w * line
+                line[at] = gains[p0:p1]
+                scores[mine] += weight * line
             else:
-                scores[rows[:, None], at] += w * gain[p0:p1]
-        places = np.floor(scores * 10.0**DIGITS + 0.5).astype(np.int64)
-        order = np.where(scores > 0, places * width + np.arange(width)[::-1], -1)
-        top = np.argpartition(-order, min(k, width) - 1, axis=1)[:, :k]
-        row, col = np.repeat(np.arange(n), top.shape[1]), top.ravel()
-        hit = order[row, col] >= 0
-        row, col = row[hit], col[hit]
-        ids = np.zeros((2, n), np.int64)
-        ids[0, who], ids[1, who] = flat["_q1"], flat["_q2"]
-        return pa.table({"_q1": ids[0, row], "_q2": ids[1, row], "tile": np.full(len(row), met.column("tile")[0].as_py(), np.int64),
-                         "pos": col.astype(np.int32), "score": places[row, col] / 10.0**DIGITS})
+                scores[mine[:, None], at] += weight * gains[p0:p1]
+        ids, need = np.zeros((2, n), np.int64), np.zeros(n)
+        ids[0, who], ids[1, who], need[who] = flat["_q1"], flat["_q2"], flat["need"]
+        row, col = np.nonzero((scores > 0) & (scores >= need[:, None]))
+        return pa.table({"_q1": ids[0, row], "_q2": ids[1, row], "_block": np.full(len(row), met.column("_block")[0].as_py(), np.int64),
+                         "_qn": asked[row].astype(np.int32), "tile": np.full(len(row), met.column("tile")[0].as_py(), np.int64),
+                         "pos": col.astype(np.int32)})
+    return run
+
+
+def _tile_scores(gain: Callable) -> Callable:
+    def run(met: pa.Table, pairs: pa.Table) -> pa.Table:
+        qn, pos = (pairs.column(c).to_numpy() for c in ("_qn", "pos"))
+        order = np.argsort(qn, kind="stable")
+        qn, pos = qn[order], pos[order]
+        scores = np.zeros(len(qn))
+        if len(qn) and met.num_rows:
+            flat, rows = _columns(met, ["pos", "tf", "dl"], ["_qn", "weight"])
+            gains = gain(flat["tf"], flat["dl"])
+            first, n = np.searchsorted(qn, flat["_qn"]), np.searchsorted(qn, flat["_qn"], side="right")
+            n = n - first
+            for p0, p1, q0, q1 in rows:
+                size = n[q0:q1]
+                mine = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first[q0:q1], size)
+                posts = flat["pos"][p0:p1]
+                at = np.minimum(np.searchsorted(posts, pos[mine]), len(posts) - 1)
+                has = posts[at] == pos[mine]
+                scores[mine[has]] += np.repeat(flat["weight"][q0:q1], size)[has] * gains[p0:p1][at[has]]
+        q1, q2, tile = (pairs.column(c).to_numpy()[order] for c in (*QID, "tile"))
+        places = np.floor(scores * 10.0**DIGITS + 0.5)
+        return pa.table({"_q1": q1, "_q2": q2, "tile": tile, "pos": pos, "score": places / 10.0**DIGITS})
     return run
 
 

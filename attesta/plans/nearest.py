@@ -9,6 +9,7 @@ from attesta.functions import vectors as vx
 from attesta.operators import evidence, retrieval, search
 from attesta.operators import neighbours as nb
 from attesta.operators import segment as sg
+from attesta.operators import vector_index as vi
 from attesta.operators.staging import spread, stage
 from attesta.plans import tables as tb
 from attesta.plans.registry import query
@@ -61,6 +62,28 @@ def m07_projection_recall(spark, sf):
     return nb.recall(nb.nearest_by_projection(as_queries(rows), rows, 5, DIMS, skip_self=True), exact)
 
 
+def _indexed(spark, sf):
+    """A stored index of the table, searched for every vector of it."""
+    rows = vectors(spark, sf).drop("label")
+    index = vi.build(rows)
+    return index, rows, vi.search(index, as_queries(rows), skip_self=True)
+
+
+@query("m07_nearest_by_index")
+def m07_nearest_by_index(spark, sf):
+    return _indexed(spark, sf)[2]
+
+
+@query("m07_index_recall")
+def m07_index_recall(spark, sf):
+    """Recall at 5 against the exact form, and what a search opens and ranks."""
+    index, rows, found = _indexed(spark, sf)
+    exact = nb.nearest_vectors(as_queries(rows), rows, 5, skip_self=True)
+    return nb.recall(found, exact).select(
+        "n_exact", "n_found", "recall", F.lit(len(index.model.centres)).alias("cells"), F.lit(index.probes).alias("cells_read"),
+        F.lit(index.rerank).alias("reranked"))
+
+
 @query("m07_text_vectors", f"""
     SELECT doc_id, bucket, round(tf / sqrt(sum(tf * tf) OVER (PARTITION BY doc_id)::DOUBLE), 6) AS value FROM (
       SELECT doc_id, (('0x' || substr(md5(t), 1, 4))::INT % {vx.BUCKETS}) AS bucket, count(*) AS tf
@@ -138,8 +161,7 @@ def n01_sparse_scores(spark, sf):
 @query("n02_fused_ranking", with_ctes(f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY article_id, claim_id
       ORDER BY fused DESC, doc_id) AS fused_rank FROM ({RRF})) WHERE fused_rank <= 10""", "hits", "doc_overlap"))
 def n02_fused_ranking(spark, sf):
-    docs = tb.sources(spark, sf)
-    index = search.build_index(docs)
+    index = tb.corpus_index(spark, sf)
     ours = tb.claims(spark, sf)
     sparse = search.top_k_search(index, ours, CLAIM, "claim")
     overlap = search.top_k_search(index, ours, CLAIM, "claim", scheme="overlap")
@@ -167,7 +189,7 @@ cte("expanded_claims", """SELECT c.article_id, c.claim_id, claim || coalesce(' '
 @query("n04_expanded_search", with_ctes(
     bm25("expanded_claims", "article_id, claim_id", "claim"), "expanded_claims", "postings", "corpus"))
 def n04_expanded_search(spark, sf):
-    index = search.build_index(tb.sources(spark, sf))
+    index = tb.corpus_index(spark, sf)
     ours = tb.claims(spark, sf)
     found = stage(search.top_k_search(index, ours, CLAIM, "claim"), "first-round")
     return search.top_k_search(index, retrieval.expand(index, ours, found, CLAIM), CLAIM, "claim")

@@ -6,14 +6,15 @@ from pyspark.sql import functions as F
 
 from attesta.config import VerifyConfig
 from attesta.flows import verify
-from attesta.operators import retrieval, search
+from attesta.operators import retrieval
 from attesta.operators.staging import stage, stage_path
 from attesta.plans import tables as tb
+from attesta.plans import claims as claims_plan
 from attesta.plans import web
 from attesta.plans.nearest import chunk_units, overlap_sql, overlap_top
 from attesta.plans.registry import query
 from attesta.plans.replies import grade_replies
-from attesta.plans.sqlkit import cte, exploded, sents, with_ctes
+from attesta.plans.sqlkit import cte, exploded, sents, toks, with_ctes
 from attesta.plans.verify import VERDICT_COLS, source_sites, title_hits
 from attesta.operators import requests as rq
 from attesta.sources import claim_store as cs
@@ -43,6 +44,71 @@ def e1_reliable_verdicts(spark, sf):
     return run.verdicts.select(*VERDICT_COLS)
 
 
+cte("first_by_vector", f"""SELECT * FROM (SELECT p.*, s.source_claim, s.url, row_number() OVER (PARTITION BY article_id, claim_id ORDER BY search_rank, dist_rank) AS rn
+      FROM vector_pairs p JOIN (SELECT article_id, claim_id, doc_id, source_claim_id, relation FROM pairs_all) r
+        USING (article_id, claim_id, doc_id, source_claim_id) JOIN source_claims s USING (doc_id, source_claim_id)
+      WHERE relation <> 'neutral') JOIN (SELECT article_id, claim_id, doc_id, source_claim_id, relation FROM pairs_all)
+      USING (article_id, claim_id, doc_id, source_claim_id) WHERE rn = 1""", "vector_pairs", "pairs_all", "source_claims")
+DECIDED_BY = """SELECT c.article_id, c.claim_id, CASE relation WHEN 'entailment' THEN 'supported'
+      WHEN 'contradiction' THEN 'contradicted' ELSE 'unverified' END AS verdict, f.url AS source_url, f.source_claim,
+      f.search_rank, f.dist_rank FROM ({claims}) c LEFT JOIN {first} f USING (article_id, claim_id)
+    WHERE len(list_filter(regexp_split_to_array(lower(c.claim), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')) > 0"""
+RUN_COLS = ["article_id", "claim_id", "verdict", "source_url", "source_claim", "search_rank", "dist_rank"]
+
+
+@query("e1_encoded_verdicts", with_ctes(DECIDED_BY.format(claims="SELECT * FROM claims", first="first_by_vector"), "claims", "first_by_vector"))
+def e1_encoded_verdicts(spark, sf):
+    """The whole run with source claims ranked by hashed vectors."""
+    run = verify(tb.articles(spark, sf), tb.sources(spark, sf), VerifyConfig(encoder="hashed"), index=tb.corpus_index(spark, sf))
+    return run.verdicts.select(RUN_COLS)
+
+
+cte("given_hits", """SELECT article_id, claim_id, search_rank, doc_id, url FROM hits WHERE search_rank % 2 = 0
+    UNION ALL SELECT article_id, claim_id, 1, NULL, 'https://elsewhere.example.org/' || claim_id FROM claims""", "hits", "claims")
+cte("first_given", """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY article_id, claim_id
+      ORDER BY search_rank, dist_rank) AS rn FROM pairs WHERE relation <> 'neutral' AND search_rank % 2 = 0) WHERE rn = 1""", "pairs")
+
+
+@query("e1_given_hits", with_ctes(DECIDED_BY.format(claims="SELECT * FROM claims", first="first_given"), "claims", "first_given"))
+def e1_given_hits(spark, sf):
+    """Hits of another search drive the run: every second one of ours, behind an address that is no source."""
+    ours = tb.claims(spark, sf)
+    theirs = ours.select(*CLAIM, F.lit(1).alias("search_rank"), F.concat(F.lit("https://elsewhere.example.org/"), "claim_id").alias("url"))
+    given = tb.hits(spark, sf).filter("search_rank % 2 = 0").select(*CLAIM, "search_rank", "url").unionByName(theirs)
+    return verify(tb.articles(spark, sf), tb.sources(spark, sf), hits=given).verdicts.select(RUN_COLS)
+
+
+cte("claim_labels", "SELECT article_id, claim_id, claim, " + claims_plan.LABEL.replace("sentence", "claim")
+    + " AS label FROM (SELECT *, " + toks("claim") + " AS t FROM claims)", "claims")
+cte("source_labels", "SELECT doc_id, source_claim_id, " + claims_plan.LABEL.replace("sentence", "source_claim")
+    + " AS label FROM (SELECT *, " + toks("source_claim") + " AS t FROM source_claims)", "source_claims")
+cte("first_checkworthy", """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY article_id, claim_id ORDER BY search_rank, dist_rank) AS rn
+      FROM (SELECT *, row_number() OVER (PARTITION BY article_id, claim_id, doc_id ORDER BY dist, source_claim_id) AS dist_rank
+        FROM pairs_all JOIN source_labels USING (doc_id, source_claim_id) WHERE label = 'checkworthy')
+      WHERE dist_rank <= 5 AND relation <> 'neutral') WHERE rn = 1""", "pairs_all", "source_labels")
+
+
+@query("e1_source_extraction", with_ctes(DECIDED_BY.format(
+    claims="SELECT * FROM claim_labels WHERE label = 'checkworthy'", first="first_checkworthy"), "claim_labels", "first_checkworthy"))
+def e1_source_extraction(spark, sf):
+    """Sources go through the chain that makes an article's claims, here with the falsifiability filter."""
+    config = VerifyConfig(extract_sources=True, check_falsifiability=True)
+    return verify(tb.articles(spark, sf), tb.sources(spark, sf), config, index=tb.corpus_index(spark, sf)).verdicts.select(RUN_COLS)
+
+
+@query("e1_stored_sources", with_ctes("""SELECT article_id, claim_id, verdict, source_url, source_claim, search_rank, dist_rank, 0 AS added FROM decided
+    WHERE len(list_filter(regexp_split_to_array(lower(claim), '[^\\p{L}\\p{N}]+'), lambda t: t <> '')) > 0""", "decided"))
+def e1_stored_sources(spark, sf):
+    """A second run over the same sources reads their claims from the store and adds none (``added``)."""
+    store, index = stage_path(spark, "store"), tb.corpus_index(spark, sf)
+    articles, docs = tb.articles(spark, sf), tb.sources(spark, sf)
+    verify(articles, docs, index=index, store=store)
+    cs.compact(spark, store)
+    before = cs.last_commit(spark, store)
+    again = verify(articles, docs, index=index, store=store)
+    return again.verdicts.select(*RUN_COLS, F.lit(cs.last_commit(spark, store) - before).cast("int").alias("added"))
+
+
 cte("passed_units", "SELECT {'doc_id': doc_id, 'chunk_id': chunk_id, 'pos': pos} AS unit_id, proposition AS unit FROM grades "
     "WHERE passed", "grades")
 cte("passed_top", overlap_sql("passed_units", "unit_id", 4), "claims", "passed_units")
@@ -116,7 +182,7 @@ def x01_streamed_verdicts(spark, sf):
     arts = tb.articles(spark, sf)
     arts.repartition("article_id").write.parquet(incoming)
     docs = tb.sources(spark, sf)
-    running = inc.verify_stream(spark, incoming, arts.schema, docs, search.build_index(docs), sink,
+    running = inc.verify_stream(spark, incoming, arts.schema, docs, tb.corpus_index(spark, sf), sink,
                                 stage_path(spark, "offsets"), files_per_batch=2)
     running.awaitTermination()
     return spark.read.parquet(sink).drop("run", "batch")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attesta.functions import text as tx
 from attesta.operators import evidence, search, verdict
-from attesta.operators.staging import spread, stage
+from attesta.operators.staging import spread, stage, stage_path
 
 CLAIM = ["article_id", "claim_id"]
 
@@ -39,11 +40,26 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         "text", "source", "lang")
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def corpus_index(spark: SparkSession, sf_dir: str) -> search.SearchIndex:
+    """The search index of the documents: written once per application and folder, then opened."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key in _STORED:
+        try:
+            return search.open_index(spark, _STORED[key])
+        except AnalysisException as e:      # the scratch folder was cleared
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+    _STORED[key] = stage_path(spark, "corpus-index")
+    return search.build_index(sources(spark, sf_dir), path=_STORED[key])
+
+
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top-10 documents per claim, staged: later stages read it more than once."""
     docs = sources(spark, sf_dir)
-    index = search.build_index(docs)
-    found = search.top_k_search(index, claims(spark, sf_dir), CLAIM, "claim")
+    found = search.top_k_search(corpus_index(spark, sf_dir), claims(spark, sf_dir), CLAIM, "claim")
     return stage(found.join(docs.select("doc_id", "url"), "doc_id"), "hits")
 
 
@@ -53,9 +69,10 @@ def pairs(spark: SparkSession, sf_dir: str, found: DataFrame | None = None) -> D
 
 
 def first_hit(spark: SparkSession, sf_dir: str, found: DataFrame | None = None) -> DataFrame:
-    first = stage(evidence.first_decisive(
-        pairs(spark, sf_dir, found), ["search_rank", "dist_rank"],
-        ["search_rank", "dist_rank", "doc_id", "source_claim_id", "dist", "relation"]), "first")
+    found = hits(spark, sf_dir) if found is None else found
+    first, _ = evidence.in_waves(
+        found, lambda some: pairs(spark, sf_dir, some), ["search_rank", "dist_rank"],
+        ["search_rank", "dist_rank", "doc_id", "source_claim_id", "dist", "relation"])
     return evidence.with_source_text(first, sources(spark, sf_dir))
 
 

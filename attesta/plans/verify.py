@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from attesta.operators import evidence, search, verdict
+from attesta.operators import dense, evidence, search, verdict
 from attesta.operators import sites as st
 from attesta.operators.staging import spread, stage
 from attesta.plans import tables as tb
@@ -37,8 +37,19 @@ def source_sites(spark, sf):
 
 @query("m09_corpus_search", with_ctes("SELECT article_id, claim_id, search_rank, doc_id, score FROM hits", "hits"))
 def m09_corpus_search(spark, sf):
-    index = search.build_index(tb.sources(spark, sf))
-    return search.top_k_search(index, tb.claims(spark, sf), CLAIM, "claim")
+    return search.top_k_search(tb.corpus_index(spark, sf), tb.claims(spark, sf), CLAIM, "claim")
+
+
+@query("m09_scored_share")
+def m09_scored_share(spark, sf):
+    """How many (query, document) pairs the search scores of those that exist; copies and equal queries count once."""
+    index = tb.corpus_index(spark, sf)
+    asked = search.identified(tb.claims(spark, sf), CLAIM, "claim")
+    pairs = search.scored_pairs(index, asked, 10)
+    queries = asked.select(*search.QID).distinct().count()
+    return pairs.agg(F.count(F.lit(1)).alias("scored")).select(
+        F.lit(queries).cast("long").alias("queries"), F.lit(index.n_groups).cast("long").alias("documents"), "scored",
+        F.round(F.col("scored") / max(1, queries * index.n_groups), 6).alias("share"))
 
 
 @query("k03_reliable_hits", with_ctes(
@@ -152,10 +163,53 @@ def k04_first_by_distance(spark, sf):
 @query("k05_first_in_order", with_ctes(
     "SELECT article_id, claim_id, search_rank, doc_id, source_claim_id, relation FROM first_any", "first_any"))
 def k05_first_in_order(spark, sf):
-    tiles = evidence.exhaustive(tb.hits(spark, sf), tb.claims(spark, sf), tb.sources(spark, sf))
-    decisive = tiles.filter("at IS NOT NULL").withColumnRenamed("at", "source_claim_id")
-    return evidence.first_decisive(decisive, ["search_rank", "source_claim_id"],
-                                   ["search_rank", "source_claim_id", "doc_id", "relation"])
+    return _in_order(spark, sf)[0]
+
+
+def _in_order(spark, sf):
+    claims, sources = tb.claims(spark, sf), tb.sources(spark, sf)
+
+    def compare(some):
+        tiles = evidence.exhaustive(some, claims, sources)
+        return tiles.filter("at IS NOT NULL").withColumnRenamed("at", "source_claim_id")
+    return evidence.in_waves(tb.hits(spark, sf), compare, ["search_rank", "source_claim_id"],
+                             ["search_rank", "source_claim_id", "doc_id", "relation"])
+
+
+@query("k05_hits_by_wave", with_ctes("""
+    SELECT CASE WHEN h.search_rank <= 3 THEN 1 ELSE 2 END AS wave, count(*) AS hits FROM hits h
+    LEFT JOIN first_any f USING (article_id, claim_id)
+    WHERE h.search_rank <= 3 OR f.search_rank IS NULL OR f.search_rank > 3 GROUP BY 1""", "hits", "first_any"))
+def k05_hits_by_wave(spark, sf):
+    """Hits compared in each wave: the second has only claims that the first left open."""
+    return _in_order(spark, sf)[1].filter("hits > 0")
+
+
+# the numbers below follow hashed vectors: token counts in 64 buckets, of unit length
+cte("said", f"""SELECT 'c' AS side, article_id, claim_id, NULL AS doc_id, NULL AS source_claim_id, {toks('claim')} AS t FROM claims
+    UNION ALL SELECT 's', NULL, NULL, doc_id, source_claim_id, {toks('source_claim')} FROM source_claims""", "claims", "source_claims")
+cte("hashed", """SELECT side, article_id, claim_id, doc_id, source_claim_id, bucket, tf / sqrt(sum(tf * tf) OVER (
+      PARTITION BY side, article_id, claim_id, doc_id, source_claim_id)::DOUBLE) AS v FROM (
+      SELECT side, article_id, claim_id, doc_id, source_claim_id, ('0x' || substr(md5(w), 1, 4))::INT % 64 AS bucket, count(*) AS tf
+      FROM (SELECT *, unnest(t) AS w FROM said) GROUP BY ALL)""", "said")
+cte("vector_pairs", """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY article_id, claim_id, doc_id ORDER BY dist, source_claim_id) AS dist_rank
+      FROM (SELECT h.article_id, h.claim_id, h.search_rank, h.doc_id, s.source_claim_id,
+        round((CASE WHEN len(c.t) > 0 THEN 1 ELSE 0 END) + (CASE WHEN len(s.t) > 0 THEN 1 ELSE 0 END) - 2 * coalesce(dot, 0), 6) + 0.0::DOUBLE AS dist
+        FROM hits h JOIN said c ON c.side = 'c' AND c.article_id = h.article_id AND c.claim_id = h.claim_id
+        JOIN said s ON s.side = 's' AND s.doc_id = h.doc_id
+        LEFT JOIN (SELECT h.article_id, h.claim_id, h.doc_id, b.source_claim_id, sum(a.v * b.v) AS dot FROM hits h
+          JOIN hashed a ON a.side = 'c' AND a.article_id = h.article_id AND a.claim_id = h.claim_id
+          JOIN hashed b ON b.side = 's' AND b.doc_id = h.doc_id AND b.bucket = a.bucket GROUP BY ALL) d
+        ON d.article_id = h.article_id AND d.claim_id = h.claim_id AND d.doc_id = h.doc_id AND d.source_claim_id = s.source_claim_id))
+      WHERE dist_rank <= 5""", "hits", "said", "hashed")
+
+
+@query("j04_nearest_by_vector", with_ctes(
+    "SELECT article_id, claim_id, search_rank, doc_id, source_claim_id, dist, dist_rank FROM vector_pairs", "vector_pairs"))
+def j04_nearest_by_vector(spark, sf):
+    """The closest source claims of each hit by hashed vectors."""
+    said = evidence.source_claims(tb.sources(spark, sf), ["doc_id"])
+    return dense.nearest(tb.hits(spark, sf), tb.claims(spark, sf), said)
 
 
 # ---- verdicts and reports ----------------------------------------------------------

@@ -57,9 +57,8 @@ def store_stream(spark: SparkSession, page_dir: str, schema: StructType, suffixe
     name = run_name(checkpoint)
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        # Store rows are looked up by the batch's few URLs, so the store itself is never shuffled.
-        asked = batch.select("url").distinct()
-        known = cs.load(spark, store).filter(f"run <> '{name}' OR batch <> {batch_id}").select("url").join(asked, "url", "left_semi")
+        # only the store's files that may hold one of the batch's URLs are opened
+        known = cs.of_urls(spark, store, batch).filter(f"run <> '{name}' OR batch <> {batch_id}").select("url")
         new = cs.missing(batch, known)
         content = pg.main_content(new, repeated=repeated).filter("text <> ''")
         cs.append(cs.claims_of(content, st.registrable_domains(new, suffixes)), store, batch_id, name)

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -47,10 +49,32 @@ def test_unique_and_near_claims(spark):
     rows = [(1, " ".join(words)), (2, " ".join(words).upper() + "!"), (3, " ".join(words[:19] + ["other"])), (4, "short and different")]
     df = spark.createDataFrame(rows, "id int, claim string")
     assert values(ql.unique_claims(df, ["id"], "claim"), "id", "n_copies") == [(1, 2), (3, 1), (4, 1)]
-    near = values(ql.near_unique(df, ["id"], "claim", bands=20, rows=1), "id", "repeats_id", "jaccard")
+    near = values(ql.near_unique(df, ["id"], "claim"), "id", "repeats_id", "jaccard")
     assert near == [(3, 1, round(19 / 21, 6))]
 
 
+def test_near_claims_are_complete_and_point_at_kept_ones(spark):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(12)]
+    claims = [" ".join(rng.sample(words, rng.randint(3, 9))) for _ in range(150)]
+    family = [f"x{i}" for i in range(14)]
+    claims += [" ".join(rng.sample(family, 13)) + f" y{i % 5}" for i in range(60)] + ["", "w1 w1"]
+    df = spark.createDataFrame(list(enumerate(claims)), "id int, claim string")
+    sets = {i: frozenset(c.split()) for i, c in enumerate(claims) if c}
+    root = {i: i for i in sets}
+    for i in sorted(sets):
+        for j in sets:
+            if i < j and round(len(sets[i] & sets[j]) / len(sets[i] | sets[j]), 6) >= 0.7 and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = {k: low if r == high else r for k, r in root.items()}
+    first = {}
+    for i, c in enumerate(claims):
+        first.setdefault(c, i)
+    want = sorted((i, root[i], round(len(sets[i] & sets[root[i]]) / len(sets[i] | sets[root[i]]), 6)) for c, i in first.items() if c and root[i] != i)
+    got = values(ql.near_unique(df, ["id"], "claim"), "id", "repeats_id", "jaccard")
+    assert got == want and not {r[1] for r in got} & {r[0] for r in got}
+
+
 def test_criteria_shares(spark):
     df = spark.createDataFrame([(1, "The text says it works"), (1, "Ann runs and Bob sits")], "a int, c string")
     row = ql.criteria(df, "a", "c").first()

@@ -54,12 +54,33 @@ def corpus(seed, n_docs=80, n_queries=12, vocabulary=60):
 @pytest.mark.parametrize("scheme, share", [("bm25", 0.2), ("bm25", None), ("overlap", None)])
 @pytest.mark.parametrize("tile, block, hot", [(2048, 512, 200_000), (7, 3, 3), (3, 20, 10)])
 def test_search_equals_brute_force(spark, monkeypatch, scheme, share, tile, block, hot):
-    monkeypatch.setattr(search, "TILE", tile)
     monkeypatch.setattr(search, "BLOCK", block)
     monkeypatch.setattr(search, "HOT_QUERIES", hot)
     docs, queries = corpus(tile + (scheme == "overlap"))
-    index = search.build_index(spark.createDataFrame(docs, "doc_id long, text string"))
+    index = search.build_index(spark.createDataFrame(docs, "doc_id long, text string"), tile=tile, shelf_tokens=300 if tile == 7 else 10**9)
     asked = spark.createDataFrame(queries, "article_id long, claim_id int, claim string")
     found = search.top_k_search(index, asked, KEYS, "claim", k=5, scheme=scheme, max_df_share=share)
     got = sorted((a, c, r, d, round(s, 5)) for a, c, r, d, s in values(found, *KEYS, "search_rank", "doc_id", "score"))
     assert got == brute(docs, queries, 5, scheme, share)
+
+
+def test_pruning_falls_with_the_corpus_and_shelves_are_opened_by_term(spark, tmp_path):
+    """A query scores about as many documents whatever the corpus holds besides; a stored index opens again."""
+    rng = random.Random(9)
+    shares = []
+    for n in (300, 3000):
+        docs = [(i, " ".join(["the", "of"] + rng.choices([f"w{j}" for j in range(n // 3)], k=20))) for i in range(n)]
+        path = f"{tmp_path}/index-{n}"
+        search.build_index(spark.createDataFrame(docs, "doc_id long, text string"), path=path, tile=64, shelf_tokens=5_000)
+        index = search.open_index(spark, path)
+        queries = [(i, 0, " ".join(["the of"] + docs[i * 7][1].split()[2:8])) for i in range(20)]
+        asked = search.identified(spark.createDataFrame(queries, "article_id long, claim_id int, claim string"), KEYS, "claim")
+        pairs = search.scored_pairs(index, asked, 5).count()
+        shares.append(pairs / (20 * n))
+        found = search.top_k_search(index, spark.createDataFrame(queries, "article_id long, claim_id int, claim string"), KEYS, "claim", k=5)
+        got = sorted((a, c, r, d, round(s, 5)) for a, c, r, d, s in values(found, *KEYS, "search_rank", "doc_id", "score"))
+        assert got == brute(docs, queries, 5, "bm25", None)
+    assert shares[1] < shares[0] / 3
+    assert index.n_shelves > 10
+    _, opened = index.shelved(spark.createDataFrame([("w1",)], "term string"))
+    assert opened.select("shelf").distinct().count() == 1
