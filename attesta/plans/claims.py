@@ -112,22 +112,23 @@ def n14_unique_claims(spark, sf):
 
 
 # rarest tokens first: a similar set shares one of the first n - ceil(0.7 n) + 1
-cte("claim_sets", f"""SELECT min((doc_id, i)) AS id, t FROM (SELECT doc_id, i, list_sort(list_distinct({toks('sentence')})) AS t FROM doc_sents)
-    WHERE len(t) > 0 GROUP BY t""", "doc_sents")
-cte("claim_prefixes", """SELECT id, t, token FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY df, token) AS r FROM (
-      SELECT *, count(*) OVER (PARTITION BY token) AS df FROM (SELECT id, t, unnest(t) AS token FROM claim_sets)))
-    WHERE r <= len(t) - ceil(0.7 * len(t)) + 1""", "claim_sets")
-cte("claim_links", """SELECT a, b, round(j, 6) AS jaccard FROM (SELECT a, b, common / (na + nb - common) AS j FROM (
-      SELECT DISTINCT x.id AS a, y.id AS b, len(x.t) AS na, len(y.t) AS nb, len(list_intersect(x.t, y.t)) AS common
-      FROM claim_prefixes x JOIN claim_prefixes y USING (token) WHERE x.id <> y.id)) WHERE round(j, 6) >= 0.7""", "claim_prefixes")
-cte("claim_reach", "SELECT id AS a, id AS b FROM claim_sets UNION SELECT r.a, l.b FROM claim_reach r JOIN claim_links l ON r.b = l.a",
-    "claim_sets", "claim_links")
-_NEAR = with_ctes(f"""SELECT u.id[1] AS doc_id, u.id[2] AS i, root[1] AS repeats_doc_id, root[2] AS repeats_i,
-      round(common / (len(u.t) + len(k.t) - common), 6) AS jaccard FROM (
-      SELECT u.id, u.t, k.id AS root, k.t AS kept, len(list_intersect(u.t, k.t)) AS common
-      FROM (SELECT min((doc_id, i)) AS id, list_sort(list_distinct(k)) AS t FROM (SELECT doc_id, i, {toks('sentence')} AS k FROM doc_sents) GROUP BY k) u
-      JOIN claim_sets s USING (t) JOIN (SELECT a, min(b) AS root FROM claim_reach GROUP BY a) r ON r.a = s.id JOIN claim_sets k ON k.id = r.root) u
-    JOIN claim_sets k ON k.id = u.root WHERE u.id <> root""", "doc_sents", "claim_reach", recursive=True).replace("claim_reach AS MATERIALIZED", "claim_reach AS")
+cte("claim_sets", f"""SELECT row_number() OVER (ORDER BY min((doc_id, i))) AS k, min((doc_id, i)) AS id, t, len(t) AS n FROM (
+      SELECT doc_id, i, list_sort(list_distinct({toks('sentence')})) AS t FROM doc_sents) WHERE len(t) > 0 GROUP BY t""", "doc_sents")
+cte("claim_prefixes", """SELECT k, n, token FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY df, token) AS r FROM (
+      SELECT *, count(*) OVER (PARTITION BY token) AS df FROM (SELECT k, n, unnest(t) AS token FROM claim_sets)))
+    WHERE r <= n - ceil(0.7 * n) + 1""", "claim_sets")
+cte("claim_met", """SELECT DISTINCT x.k AS a, y.k AS b FROM claim_prefixes x JOIN claim_prefixes y USING (token)
+    WHERE x.k < y.k AND 10 * x.n >= 7 * y.n AND 10 * y.n >= 7 * x.n""", "claim_prefixes")
+cte("claim_links", """SELECT a, b FROM (SELECT a, b, x.n + y.n AS n, len(list_intersect(x.t, y.t)) AS common FROM claim_met
+      JOIN claim_sets x ON x.k = a JOIN claim_sets y ON y.k = b) WHERE round(common / (n - common), 6) >= 0.7""", "claim_met", "claim_sets")
+cte("claim_edges", "SELECT a, b FROM claim_links UNION ALL SELECT b, a FROM claim_links", "claim_links")
+cte("claim_reach", "SELECT a, a AS b FROM claim_edges UNION SELECT r.a, l.b FROM claim_reach r JOIN claim_edges l ON r.b = l.a", "claim_edges")
+_NEAR = with_ctes(f"""SELECT u.id[1] AS doc_id, u.id[2] AS i, k.id[1] AS repeats_doc_id, k.id[2] AS repeats_i,
+      round(len(list_intersect(u.t, k.t)) / (len(u.t) + k.n - len(list_intersect(u.t, k.t))), 6) AS jaccard
+    FROM (SELECT min((doc_id, i)) AS id, list_sort(list_distinct(w)) AS t FROM (SELECT doc_id, i, {toks('sentence')} AS w FROM doc_sents) GROUP BY w) u
+    JOIN claim_sets s USING (t) LEFT JOIN (SELECT a, min(b) AS root FROM claim_reach GROUP BY a) r ON r.a = s.k
+    JOIN claim_sets k ON k.k = coalesce(root, s.k) WHERE u.id <> k.id""", "doc_sents", "claim_reach", recursive=True).replace(
+    "claim_reach AS MATERIALIZED", "claim_reach AS")
 
 
 @query("n14_near_repeats", _NEAR)
