@@ -1,8 +1,9 @@
 """Chat formatting from reply trees: enumerate root-to-leaf paths, rank them, format the chosen ones.
 
-Paths are found by joining the frontier of paths with its children, one join per level of
-depth, on ids only; every level is written to the shared folder, so lineage stays short. Texts join
-once, at the end. A frontier row carries its path, so a tree with many branches is many small rows.
+Paths are found by doubling, on ids only. The table of (node, node above it) is joined with itself, which gives the nodes
+two above, then four, and so on: a depth of n takes log2(n) joins, each written to the shared folder. Every leaf
+then meets these tables from the farthest to the nearest, and each join doubles what it knows of its path, so a node of a path is one small
+row until the paths are put in order. Texts join once, at the end.
 
 Template: every turn is ``### role``, a line break, the text, a line break, ``</turn>`` and a line break.
 Inside roles and texts the characters backslash, ``#`` and ``<`` get a backslash before them (a role's line break
@@ -10,8 +11,9 @@ becomes backslash n), so no text can hold a marker, and reading back takes exact
 The loss mask is a list of (start, length) spans in code points: the escaped texts of the assistant.
 
 Defined cases: null texts and roles count as empty; a null tree id is a tree of its own; a node whose
-parent is absent is a root; nodes on a cycle belong to no path; equal scores rank by path ids; repeated
-rows are separate turns in ``linear_nodes``; an empty table gives an empty result; other columns are ignored.
+parent is absent is a root; nodes on or below a cycle belong to no path, nor do rows without a node id; of rows with one tree and
+node id the one with the smallest parent, then score, gives the link, and each gives its turn; equal scores rank by path ids; repeated
+rows are separate turns in ``linear_nodes``, where a null turn comes first; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -56,31 +58,35 @@ def linear_nodes(rows: DataFrame, tree: str = "conv_id", order: str = "turn") ->
 
 def ranked_paths(nodes: DataFrame) -> DataFrame:
     """Root-to-leaf paths: tree, path (node ids), score (sum), branch_rank (1 is best)."""
-    links = stage(nodes.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score")), "links")
-    same_tree = F.col("p.tree").eqNullSafe(F.col("c.tree"))
-    up = links.alias("c").join(links.select("tree", "node").distinct().alias("p"),
-                               same_tree & (F.col("c.parent") == F.col("p.node")), "left_anti")
-    inner = links.filter(F.col("parent").isNotNull()).select("tree", F.col("parent").alias("node")).distinct()
-    flagged = (
-        links.alias("c").join(inner.withColumn("more", F.lit(True)).alias("p"),
-                              same_tree & (F.col("c.node") == F.col("p.node")), "left")
-        .select("c.tree", "c.node", "c.parent", "c.score", F.coalesce("more", F.lit(False)).alias("more"))
-    )
-    children = stage(flagged, "children")
-    roots = up.select("tree", "node").distinct()
-    frontier = stage(
-        children.alias("c").join(roots.alias("p"), same_tree & (F.col("c.node") == F.col("p.node")), "left_semi")
-        .select("tree", "node", "more", "score", F.array("node").alias("path")), "paths")
-    done = frontier.filter(~F.col("more")).select("tree", "path", "score")
-    while not frontier.filter("more").isEmpty():
-        open_ = frontier.filter("more").alias("p")
-        frontier = stage(
-            children.alias("c").join(open_, same_tree & (F.col("c.parent") == F.col("p.node")))
-            .select("c.tree", "c.node", "c.more", (F.col("p.score") + F.col("c.score")).alias("score"),
-                    F.concat("p.path", F.array("c.node")).alias("path")), "paths")
-        done = done.unionByName(frontier.filter(~F.col("more")).select("tree", "path", "score"))
+    one = F.min(F.struct("parent", F.coalesce("score", F.lit(0.0)).alias("score"))).alias("m")
+    links = stage(nodes.filter("node IS NOT NULL").groupBy("tree", "node").agg(one).select("tree", "node", "m.*"), "links")
+    same_tree = F.col("a.tree").eqNullSafe(F.col("b.tree"))
+    above = links.select("tree", "node").alias("b")
+    jump = stage(links.filter("parent IS NOT NULL").alias("a")
+                 .join(above, same_tree & (F.col("a.parent") == F.col("b.node")), "left_semi")
+                 .select("tree", "node", F.col("parent").alias("above")), "jump")
+    parents = jump.select("tree", F.col("above").alias("node")).distinct()
+    largest = links.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
+    jumps, width = [], 1
+    while not jump.isEmpty() and width < largest:  # who still has a node this far above in so small a tree is on or below a cycle
+        jumps.append(jump)
+        jump = stage(jump.alias("a").join(jump.alias("b"), same_tree & (F.col("a.above") == F.col("b.node")))
+                     .select("a.tree", "a.node", "b.above"), "jump")
+        width *= 2
+    leaves = links.select("tree", "node").alias("a").join(parents.alias("b"), same_tree & (F.col("a.node") == F.col("b.node")), "left_anti")
+    met = leaves.alias("a").join(jump.alias("b"), same_tree & (F.col("a.node") == F.col("b.node")), "left_anti").select(
+        "tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up"))
+    for level in reversed(range(len(jumps))):
+        both = F.explode(F.array(F.struct("a.node", "a.up"), F.struct(F.col("b.above").alias("node"), (F.col("a.up") + (1 << level)).alias("up"))))
+        met = (met.alias("a").join(jumps[level].alias("b"), same_tree & (F.col("a.node") == F.col("b.node")), "left")
+               .select("a.tree", "a.leaf", both.alias("s")).filter("s.node IS NOT NULL").select("tree", "leaf", "s.node", "s.up"))
+    scored = met.alias("a").join(links.select("tree", "node", "score").alias("b"), same_tree & (F.col("a.node") == F.col("b.node")))
+    steps = F.array_sort(F.collect_list(F.struct((-F.col("a.up")).alias("place"), "a.node", "b.score"))).alias("steps")
+    paths = scored.groupBy("a.tree", "a.leaf").agg(steps).select(
+        "tree", F.transform("steps", lambda x: x["node"]).alias("path"),
+        F.aggregate("steps", F.lit(0.0), lambda total, x: total + x["score"]).alias("score"))
     best = W.partitionBy("tree").orderBy(F.desc("score"), "path")
-    return done.withColumn("branch_rank", F.row_number().over(best))
+    return paths.withColumn("branch_rank", F.row_number().over(best))
 
 
 def format_paths(nodes: DataFrame, paths: DataFrame, per_tree: int = 1) -> DataFrame:
