@@ -8,7 +8,7 @@ ordinal, so no term travels as text. Ordinals break ties, and are spelled out by
 Scale. The sorted vocabulary is cut into transducers of at most ``PART_BYTES`` of terms, each built in one task from
 its own range; all that fit in ``PASS_BYTES`` together are broadcast for one pass over the texts of their
 languages, so a vocabulary of any size takes as many passes as it needs and nothing unbounded reaches the driver or a task.
-Counts are summed per slice of text before they are shuffled. Sources are compared in
+Counts are summed in each task before they are shuffled. Sources are compared in
 (block of ordinals, block of sources, block of sources) tiles that are added up, never as pairs of rows per term.
 
 Defined cases: null text, lang and source count as ''; every occurring (lang, source) is a group, with or without terms;
@@ -38,6 +38,8 @@ TERM = r"[^\x00-\x60\x7B-\x7F]+"
 SCALE = 1_000_000_000
 PART_BYTES, PASS_BYTES, SLICE_BYTES = 4 << 20, 64 << 20, 8 << 20
 TILE_TERMS, TILE_SOURCES = 4_096, 256
+#: Cells of a part's table of arcs, and sums that a task holds.
+TABLE_CELLS, HELD = 8_000_000, 1_000_000
 PARTS = "first binary, keys binary, targets binary, outputs binary, final binary, roots array<struct<lang:string,root:int,n:long>>, size long"
 _IN = np.array([chr(b).isascii() and chr(b).isalpha() or b >= 128 for b in range(256)])
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint8)
@@ -108,17 +110,34 @@ class Part(NamedTuple):
     final: np.ndarray
     roots: dict[str, tuple[int, int, int]]
 
-    def walk(self, data: np.ndarray, start: np.ndarray, length: np.ndarray, state: np.ndarray) -> np.ndarray:
+    def table(self) -> tuple[np.ndarray, np.ndarray] | None:
+        """Arc by (state, class of byte), one past the last where there is none, for a transducer small enough."""
+        used = np.unique(self.keys & 255)
+        if (len(used) + 1) * len(self.final) > TABLE_CELLS:
+            return None
+        classes = np.full(256, len(used), dtype=np.int64)
+        classes[used] = np.arange(len(used))
+        arcs = np.full((len(self.final), len(used) + 1), len(self.keys), dtype=np.int32)
+        arcs[self.keys >> 8, classes[self.keys & 255]] = np.arange(len(self.keys))
+        return classes, arcs
+
+    def walk(self, data: np.ndarray, start: np.ndarray, length: np.ndarray, state: np.ndarray,
+             table: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
         """Ordinal (from this part's root) of each token of ``data``, -1 where it is not accepted. All tokens move together."""
         found, passed = np.full(len(start), -1, dtype=np.int64), np.zeros(len(start), dtype=np.int64)
         moving, state, at = np.arange(len(start)), state.astype(np.int64), 0
         while len(moving) and len(self.keys):
-            key = state << 8 | data[start[moving] + at]
-            place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            on = self.keys[place] == key
-            moving, place, at = moving[on], place[on], at + 1
-            passed[moving] += self.outputs[place]
-            state = self.targets[place].astype(np.int64)
+            byte = data[start[moving] + at]
+            if table:
+                arc = table[1][state, table[0][byte]]
+                on = arc < len(self.keys)
+            else:
+                key = state << 8 | byte
+                arc = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                on = self.keys[arc] == key
+            moving, arc, at = moving[on], arc[on], at + 1
+            passed[moving] += self.outputs[arc]
+            state = self.targets[arc].astype(np.int64)
             done = length[moving] == at
             accepted = done & self.final[state]
             found[moving[accepted]] = passed[moving[accepted]]
@@ -216,28 +235,47 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], list
                 start, held = i + 1, 0
 
 
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    merged, place = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.zeros(len(merged), dtype=np.int64)
+    np.add.at(total, place, np.concatenate(counts))
+    return merged, total
+
+
 def _count(parts) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Texts to (lang, source, ordinal, n), summed per slice."""
+    """Texts to (lang, source, ordinal, n), summed per task as far as ``HELD`` sums."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables, known, keys, counts = [part.table() for part in parts.value], {}, [], []
+
+        def sent() -> pa.RecordBatch:
+            pairs, n = _summed(keys, counts)
+            names = list(known)
+            langs, sources = zip(*(names[g] for g in pairs >> 40)) if len(pairs) else ((), ())
+            keys.clear(), counts.clear(), known.clear()
+            return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(sources, pa.string()),
+                                               pa.array(pairs & ((1 << 40) - 1)), pa.array(n)], ["lang", "source", "ordinal", "n"])
         for langs, sources, texts in _slices(batches):
             data = _LOWER[np.frombuffer(b"\0".join(texts) + b"\0", dtype=np.uint8)]
             edge = np.flatnonzero(np.diff(np.concatenate([[False], _IN[data]]).astype(np.int8)))
             start, length = edge[::2], edge[1::2] - edge[::2]
             row = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), start, side="right")
-            group, names = pd.factorize(pd.MultiIndex.from_arrays([langs, sources]))
-            token_group = group[row]
-            for part in parts.value:
-                root = np.array([part.roots.get(lang, (-1, 0, 0))[0] for lang, _ in names], dtype=np.int64)
-                base = np.array([part.roots.get(lang, (0, 0, 0))[1] for lang, _ in names], dtype=np.int64)
-                known = np.flatnonzero(root[token_group] >= 0)
-                ordinal = part.walk(data, start[known], length[known], root[token_group[known]])
+            group = np.array([known.setdefault(name, len(known)) for name in zip(langs, sources)], dtype=np.int64)[row]
+            for part, table in zip(parts.value, tables):
+                root, base = np.array([part.roots.get(lang, (-1, 0, 0))[:2] for lang, _ in known], dtype=np.int64).T
+                mine = np.flatnonzero(root[group] >= 0)
+                ordinal = part.walk(data, start[mine], length[mine], root[group[mine]], table)
                 met = ordinal >= 0
-                who = token_group[known[met]]
+                who = group[mine[met]]
                 pairs, n = np.unique(who << 40 | (ordinal[met] + base[who]), return_counts=True)
-                who = pairs >> 40
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([names[g][0] for g in who], pa.string()), pa.array([names[g][1] for g in who], pa.string()),
-                     pa.array(pairs & ((1 << 40) - 1)), pa.array(n.astype(np.int64))], ["lang", "source", "ordinal", "n"])
+                keys.append(pairs)
+                counts.append(n.astype(np.int64))
+            if sum(map(len, keys)) > HELD:
+                pairs, n = _summed(keys, counts)
+                keys[:], counts[:] = [pairs], [n]
+                if len(pairs) > HELD // 2:
+                    yield sent()
+        if keys:
+            yield sent()
     return count
 
 
