@@ -6,7 +6,7 @@ sequence and gives each block a probability of being article text, so a block is
 after it. Blocks above one half are joined.
 
 Training needs no labelled pages: a bounded sample (``SAMPLE`` pages, smallest hash of the id, each
-below ``SAMPLE_CHARS``) is labelled by what its markup says (``article`` against ``nav``, ``footer`` and so on),
+below ``SAMPLE_CHARS``, of which the first ``SAMPLE_BLOCKS`` blocks) is labelled by what its markup says (``article`` against ``nav``, ``footer`` and so on),
 then rebuilt in other layouts: other wrappers and notices, forms, sidebars, comments put in at random places.
 
 Defined cases: null and empty pages have an empty text, as do pages without article blocks; a page of any length is read whole; broken markup
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE, SAMPLE_CHARS = 300, 50_000
+SAMPLE, SAMPLE_CHARS, SAMPLE_BLOCKS = 300, 50_000, 400
 PATH_DIM, WORD_DIM, HIDDEN, EPOCHS = 96, 16, 16, 60
 IN = PATH_DIM + WORD_DIM + 4
 
@@ -39,10 +39,12 @@ BREAKS = frozenset(
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|textarea|iframe|svg|object)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|textarea|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-z][a-z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(/?)([a-z][a-z0-9:-]*)([^>]*)>"
     r"|<[!?/][^>]*(?:>|\Z)|<[a-z][^>]*\Z", re.I | re.S)
+#: Elements without article text that end as others do: by a slash, by their end tag, or, without one, not at all.
+SKIPPED = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in ("noscript", "template", "svg", "object")}
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORD = re.compile(r"[a-z]+|[0-9]+")
 
@@ -82,13 +84,13 @@ def blocks(page: str) -> list[Block]:
             in_link -= tag == "a"
         del stack[k:]
 
-    at = 0
-    for m in MARKUP.finditer(page):
+    at, endless = 0, set()
+    while m := MARKUP.search(page, at):
         if m.start() > at:
             pieces.append(page[at:m.start()])
             linked += (m.start() - at) * (in_link > 0)
         at = m.end()
-        tag = (m[3] or m[6] or "").lower()
+        tag, closed = (m[3] or m[6] or "").lower(), (m[4] or m[7] or "").endswith("/")
         if not tag:
             continue
         if m[2] or m[5]:
@@ -99,6 +101,12 @@ def blocks(page: str) -> list[Block]:
                     pop(k)
                     break
             continue
+        if tag in SKIPPED and not closed and tag not in endless:
+            end = SKIPPED[tag].search(page, at)
+            if end:
+                at = end.end()
+                continue
+            endless.add(tag)        # none follows: looked for once
         if tag == "br":
             pieces.append(" ")
             continue
@@ -110,7 +118,7 @@ def blocks(page: str) -> list[Block]:
                     break
                 if stack[k][0] in BREAKS:
                     break
-        if tag not in VOID and not (m[4] or m[7] or "").endswith("/"):
+        if tag not in VOID and not closed:
             names = [tag]
             for a in NAMES.findall(m[4] or m[7] or ""):
                 names += WORD.findall("".join(a).lower())
@@ -184,7 +192,8 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _run(x: np.ndarray, w: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, list]:
+def _run(x: np.ndarray, w: np.ndarray, b: np.ndarray, training: bool = False) -> tuple[np.ndarray, list]:
+    """States of every step and, in training, what the gradients need of it."""
     n, steps, _ = x.shape
     h, c = np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32)
     out, kept = np.zeros((n, steps, HIDDEN), np.float32), []
@@ -197,7 +206,8 @@ def _run(x: np.ndarray, w: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, list]
         c = f * c + i * g
         h = o * np.tanh(c)
         out[:, t] = h
-        kept.append((i, f, o, g, was_h, was_c, c))
+        if training:
+            kept.append((i, f, o, g, was_h, was_c, c))
     return out, kept
 
 
@@ -244,8 +254,8 @@ def train(sequences: list[tuple[list[Block], list[int]]], epochs: int = EPOCHS,
                 y[i, :len(t)] = t
             mask = np.arange(x.shape[1]) < lengths[:, None]
             turned = _turned(x, lengths)
-            one, kept1 = _run(x, w[0], w[1])
-            two, kept2 = _run(turned, w[2], w[3])
+            one, kept1 = _run(x, w[0], w[1], True)
+            two, kept2 = _run(turned, w[2], w[3], True)
             h = np.concatenate([one, _turned(two, lengths)], axis=2)
             d = ((_sigmoid(h @ w[4] + w[5]) - y) * mask / mask.sum()).astype(np.float32)
             dh = d[:, :, None] * w[4]
@@ -302,13 +312,13 @@ def layouts(sequence: list[Block], labels: list[int], draw: random.Random) -> tu
     return [b for b, _ in mixed], [y for _, y in mixed]
 
 
-def fit(pages: DataFrame, sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> Labeller:
+def fit(pages: DataFrame, sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS, sample_blocks: int = SAMPLE_BLOCKS) -> Labeller:
     """A labeller from at most ``sample`` pages; the driver holds ``sample`` x ``sample_chars`` at most."""
     rows = (pages.select(F.col("page_id").cast("long").alias("page_id"), "html").filter(F.length("html").between(1, sample_chars))
             .orderBy(F.xxhash64("page_id", F.lit(29)), "page_id", F.xxhash64("html")).limit(sample).collect())
     draw, found = random.Random(7), []
     for row in rows:
-        seq = blocks(row["html"])[:400]
+        seq = blocks(row["html"])[:sample_blocks]
         labels = said_by_markup(seq)
         found.append((seq, labels))
         found += [layouts(seq, labels, draw) for _ in range(3)]
