@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from attesta.llm.words import row_slices, tidied
+
 WINDOW, AVERAGE, LONGEST = 8, 512, 8192
 CACHE = 5_000
 ROWS = 500
@@ -220,3 +222,19 @@ def decode(encoded: DataFrame, definition: str, ids_col: str = "ids") -> DataFra
             kept = [(n, c) for n, c in zip(batch.schema.names, batch.columns) if n != "decoded"]
             yield pa.RecordBatch.from_arrays([*[c for _, c in kept], pa.array(texts, pa.string())], names=[*[n for n, _ in kept], "decoded"])
     return _with(encoded, {"decoded": T.StringType()}, run)
+
+
+def round_trip(docs: DataFrame, definition: str, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``ids``, ``n_tokens`` and ``decoded`` from one worker per task, which holds one vocabulary."""
+    shared = docs.sparkSession.sparkContext.broadcast(definition)
+    names = {"ids": T.BinaryType(), "n_tokens": T.LongType(), "decoded": T.StringType()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = Codec(shared.value)
+        for batch in row_slices(batches, text_col):
+            ids = [codec.encode(text) for text in _over(batch.column(text_col))]
+            kept = [(n, c) for n, c in zip(batch.schema.names, batch.columns) if n not in names]
+            made = [pa.array([i.astype("<u4").tobytes() for i in ids], pa.binary()), pa.array([len(i) for i in ids], pa.int64()),
+                    pa.array([codec.decode(i) for i in ids], pa.string())]
+            yield pa.RecordBatch.from_arrays([*[c for _, c in kept], *made], names=[*[n for n, _ in kept], *names])
+    return _with(docs, names, tidied(run))

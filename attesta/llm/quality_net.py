@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attesta.llm import shingles
-from attesta.llm.words import whole
+from attesta.llm.words import row_slices, tidied, whole
 
 SAMPLE = 8_000
 BUCKETS, DIM, HIDDEN, REACH = 1 << 14, 32, 32, 2
@@ -160,7 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network | f
     )
     rows = docs.select("doc_id", whole("text").alias("text")).join(chosen, "doc_id").repartition(8, "doc_id")
     sums = sum((np.frombuffer(r["sums"], np.float32).reshape(BUCKETS, DIM)
-                for r in rows.select("text").mapInArrow(context_sums, "sums binary").toLocalIterator()), np.zeros((BUCKETS, DIM), np.float32))
+                for r in rows.select("text").mapInArrow(tidied(context_sums), "sums binary").toLocalIterator()), np.zeros((BUCKETS, DIM), np.float32))
     vectors = (sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-6)).astype(np.float32)
     shared = spark.sparkContext.broadcast(vectors)
 
@@ -169,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network | f
             found = pooled(batch.column("text"), shared.value)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array([r.tobytes() for r in found], pa.binary())],
                                              names=["doc_id", "quality", "x"])
-    got = sorted((r["doc_id"], r["quality"], r["x"]) for r in rows.mapInArrow(pool, "doc_id long, quality int, x binary").collect())
+    got = sorted((r["doc_id"], r["quality"], r["x"]) for r in rows.mapInArrow(tidied(pool), "doc_id long, quality int, x binary").collect())
     y = np.array([q for _, q, _ in got])
     if len(set(y.tolist())) < 2:
         return float(y.mean()) if len(y) else 0.5
@@ -196,8 +196,8 @@ def keep_good(docs: DataFrame, model: Network | float, least: float = 0.5) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
-        for batch in batches:
+        for batch in row_slices(batches, "text"):
             column = batch.column("text")
             s = np.full(len(column), net) if isinstance(net, float) else net.probabilities(pooled(column, net.vectors))
             yield batch.filter(pa.array(s >= least))
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)

@@ -13,6 +13,7 @@ import pyarrow as pa
 
 WIDTH = 5
 BLOCK = 1 << 19
+ROWS = 500
 _rng = np.random.default_rng(20)
 _BYTES = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _PLACES = _rng.integers(1, 2**63, WIDTH, dtype=np.uint64) | np.uint64(1)
@@ -33,14 +34,24 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, BLOCK * 2)
-        _powers[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)])) for b in (_BASE, _BACK)]
-    return _powers[0][:n], _powers[1][:n]
+    if not _powers:
+        _powers[:] = _powers_to(BLOCK * 2)
+    up, down = _powers if n <= BLOCK * 2 else _powers_to(n)  # a longer text's are not kept
+    return up[:n], down[:n]
+
+
+def _powers_to(n: int) -> list[np.ndarray]:
+    return [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, b, np.uint64)])) for b in (_BASE, _BACK)]
 
 
 def text_blocks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Pieces of a text column of about BLOCK bytes: first row, bytes, row offsets. Null counts as empty."""
+    for first in range(0, len(column), ROWS):  # a whole batch is never copied
+        for at, data, offsets in _blocks(column.slice(first, ROWS)):
+            yield first + at, data, offsets
+
+
+def _blocks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     column = column.cast(pa.large_string()).fill_null("")
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
