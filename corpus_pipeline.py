@@ -40,8 +40,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' token ids, counted and digested, and the digest of the text they decode to."""
-    definition = vocabulary()
-    done = bpe_chunks.decode(bpe_chunks.encode(docs.select("doc_id", "text"), definition), definition)
+    done = bpe_chunks.round_trip(docs.select("doc_id", "text"), vocabulary())
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
