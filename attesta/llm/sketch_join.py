@@ -37,14 +37,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from attesta.llm import shingles
-from attesta.llm.words import fresh, whole
+from attesta.llm.words import fresh, row_slices, tidied, whole
 from attesta.operators.staging import stage
 
 GROUP = 32
 BUCKET_WORDS = 1_000_000
-FLUSH = 1_000_000
+FLUSH = 400_000
+SENT = 4 << 20
 FINE_BELOW = 32
-MARGIN = 2
+LOW = np.uint64(0xFFFFFFFFFF)
 _TAG = 0xD6E8FEB86659FD93
 
 
@@ -79,14 +80,20 @@ def sketch(found: np.ndarray, band: int, end: int) -> np.ndarray:
     return shingles.mix(np.bitwise_xor.reduceat(found, cut) + shingles.mix(places[cut] + tag))
 
 
-def slack(found: np.ndarray) -> int:
-    """How many of a set's sketch words may be too frequent before a link could be missed."""
-    return min(len(sketch(found, band, end)) - most - 1 for band, end, most in keys_of(len(found)))
+def sent_words(words: np.ndarray, bits: int) -> int:
+    """How many of these words differ as they are sent: by the ``bits`` of their bucket and the 40 low ones."""
+    home = words >> np.uint64(64 - bits) if bits else np.zeros(len(words), np.uint64)
+    return len(np.unique(home << np.uint64(40) | words & LOW))
 
 
-def fine_slack(n: int) -> int:
+def slack(found: np.ndarray, bits: int) -> int:
+    """How many of a set's sent words may be too frequent before a link could be missed: a partner lacks as many as it has differences."""
+    return min(sent_words(sketch(found, band, end), bits) - most - 1 for band, end, most in keys_of(len(found)))
+
+
+def fine_slack(found: np.ndarray, bits: int) -> int:
     """The same with one shingle a word: a partner lacks a quarter of a set's own shingles at most."""
-    return n - n // 4 - 1
+    return sent_words(shingles.mix(found), bits) - len(found) // 4 - 1
 
 
 def parity(found: np.ndarray) -> bytes:
@@ -105,14 +112,20 @@ def hamming(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(a ^ b).sum())
 
 
-def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = [(shingles.fingerprint(s), len(s), slack(s), fine_slack(len(s)), parity(s)) if len(s) else (None, 0, 0, 0, None)
-                for _, s in shingles.shingle_sets(batch.column("text"))]
-        columns = list(zip(*rows)) if rows else [()] * 5
-        kinds = [pa.int64()] * 4 + [pa.binary()]
-        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("doc_id"), *[pa.array(c, k) for c, k in zip(columns, kinds)]],
-                                         names=["key", "doc_id", "cls", "n", "slack", "fine_slack", "bits"])
+PROFILE = "key long, doc_id long, text_hash long, cls long, n long, slack long, fine_slack long, bits binary"
+
+
+def _profiles(bits: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in row_slices(batches, "text"):
+            rows = [(shingles.fingerprint(s), len(s), slack(s, bits), fine_slack(s, bits), parity(s)) if len(s) else (None, 0, 0, 0, None)
+                    for _, s in shingles.shingle_sets(batch.column("text"))]
+            columns = list(zip(*rows)) if rows else [()] * 5
+            kinds = [pa.int64()] * 4 + [pa.binary()]
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c) for c in ("key", "doc_id", "text_hash")], *[pa.array(c, k) for c, k in zip(columns, kinds)]],
+                names=["key", "doc_id", "text_hash", "cls", "n", "slack", "fine_slack", "bits"])
+    return run
 
 
 def _packed(words: np.ndarray, owner: np.ndarray, classes: np.ndarray, bits: int, salt: int) -> Iterator[tuple]:
@@ -133,7 +146,7 @@ def _packed(words: np.ndarray, owner: np.ndarray, classes: np.ndarray, bits: int
         cuts = np.flatnonzero(np.diff(h)) + 1
         for part in np.split(np.arange(len(pick)), cuts) if len(pick) else []:
             who, counts = np.unique(o[part], return_counts=True)
-            low = w[part] & np.uint64(0xFFFFFFFFFF)
+            low = w[part] & LOW
             yield (-1 - salt if past else int(h[part[0]]), int(h[part[0]]), classes[who].tobytes(), counts.astype(np.uint32).tobytes(),
                    (low & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), (low >> np.uint64(32)).astype(np.uint8).tobytes())
 
@@ -151,9 +164,20 @@ def _sketches(bits: int, fine: bool) -> Callable:
         def flush() -> Iterator[pa.RecordBatch]:
             if words:
                 ids = np.array(classes, np.int64)
-                rows = list(_packed(np.concatenate(words), np.concatenate(owners), ids, bits, int(abs(ids[0])) % 1024))
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), PACKED)], schema=PACKED)
-            words.clear(), owners.clear(), classes.clear(), seen.clear()
+                made, owned = np.concatenate(words), np.concatenate(owners)
+                words.clear(), owners.clear(), classes.clear(), seen.clear()
+                rows, held = [], 0
+                for row in _packed(made, owned, ids, bits, int(abs(ids[0])) % 1024):
+                    rows.append(row)
+                    held += sum(len(c) for c in row[2:])
+                    if held >= SENT:
+                        yield sent(rows)
+                        rows, held = [], 0
+                if rows:
+                    yield sent(rows)
+
+        def sent(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), PACKED)], schema=PACKED)
 
         for batch in batches:
             for _, found in shingles.shingle_sets(batch.column("text")):
@@ -218,15 +242,19 @@ def _meet(table: pa.Table) -> pa.Table:
                      "word": pa.concat_arrays([none, pa.array(hw)]), "cls": pa.concat_arrays([none, pa.array(hc)])})
 
 
-def _shared(texts: DataFrame, total: int, fine: bool) -> DataFrame:
-    bits = max(0, int(np.ceil(np.log2(max(1, total / 7 / BUCKET_WORDS)))))
-    packed = texts.mapInArrow(_sketches(min(bits, 23), fine),
+def _bucket_bits(total: int) -> int:
+    """Buckets, as a power of two, for so many bytes of text."""
+    return min(23, max(0, int(np.ceil(np.log2(max(1, total / 7 / BUCKET_WORDS))))))
+
+
+def _shared(texts: DataFrame, bits: int, fine: bool) -> DataFrame:
+    packed = texts.mapInArrow(tidied(_sketches(bits, fine)),
                               "bucket int, home int, classes binary, counts binary, low binary, high binary")
     return stage(packed.groupBy("bucket").applyInArrow(_meet, GROUPS), "shared")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in (b.slice(at, 1000) for b in batches for at in range(0, len(b), 1000)):
+    for batch in row_slices(batches, "text"):
         rows = [(shingles.fingerprint(s), s.tobytes()) for _, s in shingles.shingle_sets(batch.column("text")) if len(s)]
         if rows:
             cls, found = zip(*rows)
@@ -267,7 +295,7 @@ def verified(pairs: DataFrame, known: DataFrame, texts: DataFrame) -> DataFrame:
                  .mapInArrow(_passed(_may_link, "n_a", "n_b", "bits_a", "bits_b"), "a long, b long"), "near-pairs")
     named = left.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     keys = stage(known.join(named, "cls", "left_semi").select("key").distinct(), "keys")
-    sets = stage(texts.join(keys, "key", "left_semi").select("text").mapInArrow(_sets, "cls long, found binary").dropDuplicates(["cls"]), "sets")
+    sets = stage(texts.join(keys, "key", "left_semi").select("text").mapInArrow(tidied(_sets), "cls long, found binary").dropDuplicates(["cls"]), "sets")
     return _beside(left, sets, "found").select("a", "b", "found_a", "found_b").mapInArrow(_passed(_link, "found_a", "found_b"), "a long, b long")
 
 
@@ -299,12 +327,13 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every document: doc_id, key (the id, or a hash of the text for a null id), n_shingles, cls (null: no shingles), component_id."""
+    """Every document: doc_id, text_hash, n_shingles, cls (null: no shingles), component_id, kept (it is its component's first by id, then text hash;
+    rows without an id come last)."""
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.xxhash64(whole(text_col))).alias("key"),
-                        F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text"))
-    profiles = stage(texts.mapInArrow(_profiles, "key long, doc_id long, cls long, n long, slack long, fine_slack long, bits binary"), "profiles")
-    total = docs.select(F.sum(F.octet_length(whole(text_col)))).first()[0] or 0
-    shared = _shared(texts.select("text"), total, False)
+                        F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(whole(text_col)).alias("text_hash"), whole(text_col).alias("text"))
+    bits = _bucket_bits(docs.select(F.sum(F.octet_length(whole(text_col)))).first()[0] or 0)
+    profiles = stage(texts.mapInArrow(tidied(_profiles(bits)), PROFILE), "profiles")
+    shared = _shared(texts.select("text"), bits, False)
     groups, hot = _split(shared)
 
     def keys(classes: DataFrame) -> DataFrame:
@@ -322,11 +351,11 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     crowded = None
     if not few.isEmpty():
         again = texts.join(keys(few), "key", "left_semi").select("text")
-        more, hot = _split(_shared(again, total, True))
+        more, hot = _split(_shared(again, bits, True))
         groups = groups.unionByName(more).distinct()
         rest = short(hot, "fine_slack").join(few, "cls", "left_semi")
         crowded = stage(_rarest(hot, rest.join(had("fine_slack"), "cls")), "crowded")
-        reach = stage(_reach(hot, profiles.filter(F.col("cls").isNotNull()).select("cls", "n").dropDuplicates(["cls"])), "reach")
+        reach = stage(_reach(hot, profiles.filter(F.col("cls").isNotNull()).select("cls", "n", "fine_slack").dropDuplicates(["cls"])), "reach")
     groups = stage(groups, "groups")
     pairs = _ends(groups)
     named = groups.select(F.explode("members").alias("cls"))
@@ -348,9 +377,11 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not second.isEmpty():
         labels = components(links.unionByName(second))
     rooted = profiles.join(labels, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    least = stage(rooted.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("least")), "least")
+    own = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
+    least = stage(rooted.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min(own).alias("least")), "least")
     return rooted.join(least, "root", "left").select(
-        "doc_id", "key", F.col("n").alias("n_shingles"), "cls", F.coalesce("least", "doc_id").alias("component_id"))
+        "doc_id", "text_hash", F.col("n").alias("n_shingles"), "cls", F.coalesce("least.doc_id", "doc_id").alias("component_id"),
+        F.coalesce(own == F.col("least"), F.lit(True)).alias("kept"))
 
 
 def _rarest(hot: DataFrame, rest: DataFrame) -> DataFrame:
@@ -382,10 +413,12 @@ def _reach(hot: DataFrame, sizes: DataFrame) -> DataFrame:
     """(cls, n, reach): ``reach`` is the size of the largest set that a class may link with by frequent words alone.
 
     A pair with a rarer word in common meets in a group. Any other pair shares at most the frequent words of either set,
-    and a link needs 3/7 of both sizes. Words are cut to 40 bits and more, so two of a set may fall together: hence the margin.
+    and a link needs 3/7 of both sizes. Frequent words are counted as they are sent; what a set's words lose by that
+    (``n`` less the words that differ, which ``fine_slack`` tells) is added.
     """
+    merged = F.col("n") - (F.col("fine_slack") + 1 + F.floor(F.col("n") / 4))
     counts = hot.groupBy("cls").agg(F.count(F.lit(1)).alias("hot"))
-    return counts.join(sizes, "cls").select("cls", "n", (F.floor((F.col("hot") + MARGIN) * 7 / 3) - F.col("n")).alias("reach"))
+    return counts.join(sizes, "cls").select("cls", "n", (F.floor((F.col("hot") + merged) * 7 / 3) - F.col("n")).alias("reach"))
 
 
 def _between(crowded: DataFrame, labels: DataFrame) -> DataFrame:
@@ -404,10 +437,11 @@ def _second(rows: DataFrame) -> DataFrame:
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component: the one with the smallest id (rows without shingles all stay)."""
-    [name] = fresh(docs, "__key")
+    """One document of each component, its first by id and text hash (rows without shingles all stay). Rows are told apart by id
+    and text, so another text with a lost row's id stays; rows equal in both stay or go together."""
+    names = fresh(docs, "__id", "__text")
     found = near_components(docs, id_col, text_col)
-    lost = stage(found.filter(F.col("cls").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id")))
-                 .select(F.col("key").alias(name)).distinct(), "lost")
-    key = F.coalesce(F.col(id_col).cast("long"), F.xxhash64(whole(text_col)))
-    return docs.withColumn(name, key).join(lost, name, "left_anti").drop(name)
+    lost = stage(found.filter(~F.col("kept")).select(F.col("doc_id").alias("lost_id"), F.col("text_hash").alias("lost_text")).distinct(), "lost")
+    marked = docs.withColumns({names[0]: F.col(id_col).cast("long"), names[1]: F.xxhash64(whole(text_col))})
+    same = F.col(names[0]).eqNullSafe(F.col("lost_id")) & (F.col(names[1]) == F.col("lost_text"))
+    return marked.join(lost, same, "left_anti").drop(*names)

@@ -99,3 +99,19 @@ def test_differing_sketch_words_never_exceed_the_symmetric_difference():
         b = set(draw.sample(sorted(a), len(a) - draw.randrange(10))) | {draw.randrange(2**64) for _ in range(draw.randrange(10))}
         x, y = (set(sketch_join.sketch(shingles.np.array(sorted(s), shingles.np.uint64), 17, 300).tolist()) for s in (a, b))
         assert max(len(x - y), len(y - x)) <= len(a ^ b)
+
+
+def test_rows_are_dropped_by_id_and_text(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a), (5, a + " end"), (5, "quite another text that equals nothing else here"), (None, b), (None, b + " end"), (7, a), (1, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [tuple(r) for r in sketch_join.drop_near(docs).collect()]
+    assert sorted(x for x in kept if x[0]) == sorted([(1, a), (1, a), rows[2]])
+    assert len([x for x in kept if x[0] is None]) == 1
+
+
+def test_words_that_fall_together_when_sent_count_once():
+    words = shingles.np.array([5, 5 | 1 << 45, 7 | 1 << 63], shingles.np.uint64)
+    assert [sketch_join.sent_words(words, bits) for bits in (0, 1, 23)] == [2, 2, 3 if (1 << 45) >> 41 else 2]
+    found = shingles.np.unique(shingles.np.random.default_rng(1).integers(0, 2**63, 300, dtype=shingles.np.uint64))
+    assert sketch_join.fine_slack(found, 4) == len(found) - len(found) // 4 - 1
