@@ -44,6 +44,7 @@ class VerifyConfig:
     # plug points
     extractor: object = None
     rewriter: object = None
+    batch_rewriter: object = None       # as rewriter, but one call for a step of many articles
     scorer: object = None
     encoder: object = None              # None: source claims are ranked by shared words
     labels: tuple = field(default=("contradiction", "entailment", "neutral"))

@@ -58,12 +58,12 @@ def extract_claims(articles: DataFrame, config: VerifyConfig) -> DataFrame:
         if config.clean_prefixes:
             arrays = arrays.withColumn("claims", quality.clean_claims("claims"))
         if config.decontextualise:
-            arrays = cx.rewrite_in_order(arrays, rewriter=config.rewriter).select(*keys, F.col("rewritten").alias("claims"))
+            arrays = cx.rewrite_in_order(arrays, rewriter=config.rewriter, batch_rewriter=config.batch_rewriter).select(*keys, F.col("rewritten").alias("claims"))
         claims = arrays.select(*keys, F.posexplode("claims").alias("claim_id", "claim"))
     claims = claims.filter(F.size(tx.tokens("claim")) >= config.min_claim_tokens)
     claims = quality.falsifiable(claims, config.check_falsifiability)
     # A plugged model runs once; native claims are cheaper to make again than to write.
-    plugged = config.extractor is not None or config.rewriter is not None
+    plugged = any(m is not None for m in (config.extractor, config.rewriter, config.batch_rewriter))
     return stage(claims, "claims") if plugged else claims
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from attesta.functions.text import MARK, col, strip
+from attesta.functions.text import MARK, col, let, strip
 
-# What is cut out whole, where blocks begin, which entities occur.
+# What is cut out whole, where blocks begin.
 CUT_ALWAYS = [r"(?s)<!--.*?-->", r"(?is)<script[^>]*>.*?</script>", r"(?is)<style[^>]*>.*?</style>",
               r"(?is)<!doctype[^>]*>"]
 CUT_FURNITURE = [r"(?is)<nav[^>]*>.*?</nav>", r"(?is)<header[^>]*>.*?</header>",
@@ -16,8 +18,9 @@ CUT_FURNITURE = [r"(?is)<nav[^>]*>.*?</nav>", r"(?is)<header[^>]*>.*?</header>",
 TAG = r"(?s)<[^>]*>"
 BLOCK_TAG = (r"(?is)</?(?:p|h[1-6]|br|div|li|ul|ol|section|blockquote|article|body|main|pre|tr|td|th|dl|dt|dd"
              r"|figure|figcaption|hr)(?:\s[^>]*)?/?>")
-ENTITIES = [("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&#39;", "'"),
-            ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")]
+#: A reference after its ampersand: decimal, hexadecimal, or a name.
+REFERENCE = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+NAMED = {**name2codepoint, "apos": 39, "nbsp": 32}      # the standard names; a non-breaking space reads as a space
 
 
 def cut(html: Column, patterns: list[str]) -> Column:
@@ -27,10 +30,21 @@ def cut(html: Column, patterns: list[str]) -> Column:
 
 
 def decode(text: Column) -> Column:
-    """The entities that occur; the ampersand last, so nothing is decoded twice."""
-    for name, char in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return text
+    """Character references decoded, each once: named, decimal and hexadecimal. What is none stays as it is."""
+    names = F.create_map(*[F.lit(x) for pair in NAMED.items() for x in pair])
+
+    def piece(p: Column) -> Column:
+        name = F.regexp_extract(p, REFERENCE, 1)
+        hexed = name.rlike("^#[xX]")
+        code = (F.when(hexed, F.conv(F.substring(name, 3, 8), 16, 10)).when(name.startswith("#"), F.substring(name, 2, 8))
+                .otherwise(F.try_element_at(names, name).cast("string")).cast("int"))
+        known = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(F.when(code == 0xA0, 32).otherwise(code)), 8, "0")), "UTF-32")
+        shown = F.when(known, char).when(name.startswith("#"), F.lit("\ufffd"))
+        return F.when(shown.isNull(), F.concat(F.lit("&"), p)).otherwise(F.concat(shown, F.substr(p, F.length(name) + 2)))
+
+    return let(F.split(text, "&"), lambda parts: F.when(F.size(parts) == 1, F.get(parts, 0)).otherwise(F.concat(
+        F.get(parts, 0), F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), piece), ""))))
 
 
 def _pieces(marked: Column) -> Column:

@@ -46,14 +46,17 @@ def resolve_pronoun(before: Column, claim: Column) -> Column:
 
 
 def rewrite_in_order(articles: DataFrame, claims: str = "claims", before: int = 5, after: int = 1,
-                     rewriter: Callable[[str, str, str], str] | None = None) -> DataFrame:
+                     rewriter: Callable[[str, str, str], str] | None = None,
+                     batch_rewriter: Callable[[list[str], list[str], list[str]], list[str]] | None = None) -> DataFrame:
     """Rewrite each claim from its context; earlier rewrites feed later contexts.
 
     ``claims`` is one article's array, so the order-dependent walk stays in
-    its row and articles run in parallel. Without a ``rewriter`` the pronoun
-    rule runs as a fold; a plugged one runs inside an Arrow batch.
+    its row and articles run in parallel. Without a plugged model the pronoun
+    rule runs as a fold. A ``batch_rewriter`` gets lists of (before, claim, after): step i of all articles of an
+    Arrow batch is one call, so a batch costs as many calls as its longest article has claims. A ``rewriter``
+    gets one claim at a time.
     """
-    if rewriter is None:
+    if rewriter is None and batch_rewriter is None:
         def step(done: Column, claim: Column) -> Column:
             context = F.array_join(F.slice(done, F.greatest(F.size(done) - before + 1, F.lit(1)), before), "")
             return F.concat(done, F.array(resolve_pronoun(context, claim)))
@@ -61,15 +64,21 @@ def rewrite_in_order(articles: DataFrame, claims: str = "claims", before: int =
         fold = F.aggregate(claims, F.array().cast("array<string>"), step)
         return articles.withColumn("rewritten", fold)
 
+    def together(befores: list[str], texts: list[str], afters: list[str]) -> list[str]:
+        if batch_rewriter is not None:
+            return list(batch_rewriter(befores, texts, afters))
+        return [rewriter(*row) for row in zip(befores, texts, afters)]
+
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def run(batch: pd.Series) -> pd.Series:
-        out = []
-        for given in batch:
-            now = list(given) if given is not None else []
-            for i in range(len(now)):
-                now[i] = rewriter("".join(now[max(0, i - before):i]), now[i], "".join(now[i + 1:i + 1 + after]))
-            out.append(now)
-        return pd.Series(out)
+        lists = [list(given) if given is not None else [] for given in batch]
+        for i in range(max(map(len, lists), default=0)):
+            open_ = [now for now in lists if i < len(now)]
+            found = together(["".join(now[max(0, i - before):i]) for now in open_], [now[i] for now in open_],
+                             ["".join(now[i + 1:i + 1 + after]) for now in open_])
+            for now, text in zip(open_, found, strict=True):
+                now[i] = text
+        return pd.Series(lists)
 
     return articles.withColumn("rewritten", run(claims))
 

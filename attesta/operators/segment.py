@@ -178,15 +178,22 @@ def topic_segments(texts: DataFrame, keys: list[str], text: str = "text") -> Dat
     cuts = tx.let(mean, lambda m: F.transform("_g", lambda g, i: (
         (g < F.coalesce(F.get("_g", i - 1), F.lit(1.0)))
         & (g <= F.coalesce(F.get("_g", i + 1), F.lit(1.0))) & (g < m))))
-    rows = tx.let(F.coalesce(cuts, F.array().cast("array<boolean>")), lambda c: F.transform(
-        "_s", lambda s, i: F.struct(i.alias("i"), s.alias("sentence"), F.size(
-            F.filter(F.slice(c, F.lit(1), i), lambda x: x)).alias("segment"))))
+    begins = F.filter(F.transform(F.coalesce(cuts, F.array().cast("array<boolean>")), lambda c, i: F.when(c, i + 1)), lambda i: i.isNotNull())
     return (
         texts.select(*keys, tx.sentences(text).alias("_s")).withColumn("_t", sets)
-        .withColumn("_g", gaps).select(*keys, F.inline(rows))
+        .withColumn("_g", gaps).select(*keys, F.inline(_numbered_runs(begins, "segment")))
     )
 
 
+def _numbered_runs(begins: Column, name: str) -> Column:
+    """Sentences ``_s`` with the number of their run; ``begins`` are the places, but 0, where a new run starts. Linear: each run is
+    cut out once."""
+    n = F.size("_s")
+    return tx.let(F.concat(F.array(F.lit(0)), begins), lambda at: F.flatten(F.transform(at, lambda a, k: F.transform(
+        F.slice("_s", a + 1, F.coalesce(F.get(at, k + 1), n) - a),
+        lambda s, j: F.struct((a + j).alias("i"), s.alias("sentence"), k.alias(name))))))
+
+
 # Fixed shape of an entity: one or more capitalised words in a row.
 ENTITY_SPAN = r"(\p{Lu}[\p{L}\p{N}]+(?: \p{Lu}[\p{L}\p{N}]+)*)"
 
@@ -200,14 +207,11 @@ def entities(sentence: Column) -> Column:
 
 def entity_groups(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """Neighbouring sentences that share an entity get one group number."""
-    starts = F.transform("_e", lambda e, i: F.when(
-        (i == 0) | F.arrays_overlap(e, F.get("_e", i - 1)), F.lit(0)).otherwise(F.lit(1)))
-    rows = tx.let(starts, lambda b: F.transform("_s", lambda s, i: F.struct(
-        i.alias("i"), s.alias("sentence"),
-        F.aggregate(F.slice(b, F.lit(1), i + 1), F.lit(0), lambda a, x: a + x).alias("group_id"))))
+    begins = F.filter(F.transform("_e", lambda e, i: F.when(
+        (i > 0) & ~F.arrays_overlap(e, F.get("_e", i - 1)), i)), lambda i: i.isNotNull())
     return (
         texts.select(*keys, tx.sentences(text).alias("_s"))
-        .withColumn("_e", F.transform("_s", entities)).select(*keys, F.inline(rows))
+        .withColumn("_e", F.transform("_s", entities)).select(*keys, F.inline(_numbered_runs(begins, "group_id")))
     )
 
 

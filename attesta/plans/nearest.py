@@ -210,3 +210,24 @@ def n05_entity_filtered(spark, sf):
     found = tb.hits(spark, sf)
     docs = tb.sources(spark, sf).join(found.select("doc_id").distinct(), "doc_id", "left_semi")
     return retrieval.entity_filter(found, tb.claims(spark, sf), docs, CLAIM).select(*CLAIM, "doc_id", "search_rank")
+
+
+# claims that name something: the sentences of the documents with a capitalised span inside
+cte("naming", f"""SELECT doc_id AS article_id, source_claim_id AS claim_id, source_claim AS claim FROM source_claims
+    WHERE len({_entities('source_claim')}) > 0""", "source_claims")
+cte("naming_hits", bm25("naming", "article_id, claim_id", "claim"), "naming", "postings", "corpus")
+
+
+@query("n05_entity_claims", with_ctes(f"""
+    SELECT article_id, claim_id, doc_id, search_rank FROM naming_hits h WHERE EXISTS (
+      SELECT 1 FROM (SELECT article_id, claim_id, unnest({_entities('claim')}) AS e FROM naming) c
+      JOIN (SELECT doc_id, unnest({_entities('source_claim')}) AS e FROM source_claims) s ON c.e = s.e
+      WHERE c.article_id = h.article_id AND c.claim_id = h.claim_id AND s.doc_id = h.doc_id)""", "naming", "naming_hits", "source_claims"))
+def n05_entity_claims(spark, sf):
+    """The documents' own sentences that name something, and the hits that name the same."""
+    docs = tb.sources(spark, sf)
+    said = evidence.source_claims(docs, ["doc_id"]).filter(F.size(sg.entities(F.col("source_claim"))) > 0)
+    naming = stage(said.select(F.col("doc_id").alias("article_id"), F.col("source_claim_id").alias("claim_id"), F.col("source_claim").alias("claim")), "naming")
+    found = stage(search.top_k_search(tb.corpus_index(spark, sf), naming, CLAIM, "claim"), "hits")
+    wanted = docs.join(found.select("doc_id").distinct(), "doc_id", "left_semi")
+    return retrieval.entity_filter(found, naming, wanted, CLAIM).select(*CLAIM, "doc_id", "search_rank")

@@ -78,6 +78,21 @@ def e1_given_hits(spark, sf):
     return verify(tb.articles(spark, sf), tb.sources(spark, sf), hits=given).verdicts.select(RUN_COLS)
 
 
+cte("first_of_four", """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY article_id, claim_id ORDER BY search_rank, source_claim_id) AS rn
+      FROM pairs_all WHERE relation <> 'neutral' AND search_rank <= 4) WHERE rn = 1""", "pairs_all")
+
+
+@query("m10_other_options", with_ctes("""SELECT article_id, claim_id, CASE relation WHEN 'entailment' THEN 'supported'
+      WHEN 'contradiction' THEN 'contradicted' ELSE 'unverified' END AS verdict, f.url AS source_url, f.source_claim, f.search_rank
+    FROM claims c LEFT JOIN first_of_four f USING (article_id, claim_id) WHERE len(list_filter(regexp_split_to_array(
+      lower(claim), '[^\\p{L}\\p{N}]+'), lambda t: t <> '')) > 2""", "claims", "first_of_four"))
+def m10_other_options(spark, sf):
+    """A run with other options: four hits, every source claim in order, short claims left out, waves of one rank, small tiles."""
+    config = VerifyConfig(search_results=4, embed_source_claims=False, min_claim_tokens=3, wave_ranks=(1, 2), tile_rows=16, hot_key_rows=50)
+    run = verify(tb.articles(spark, sf), tb.sources(spark, sf), config, index=tb.corpus_index(spark, sf))
+    return run.verdicts.select([c for c in RUN_COLS if c != "dist_rank"])
+
+
 cte("claim_labels", "SELECT article_id, claim_id, claim, " + claims_plan.LABEL.replace("sentence", "claim")
     + " AS label FROM (SELECT *, " + toks("claim") + " AS t FROM claims)", "claims")
 cte("source_labels", "SELECT doc_id, source_claim_id, " + claims_plan.LABEL.replace("sentence", "source_claim")

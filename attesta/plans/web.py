@@ -16,6 +16,10 @@ from attesta.sources import ratings as rt
 from attesta.sources import replies as rp
 from attesta.sources import sites as sl
 
+# the references that the given pages hold
+ENTITIES = [("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&#39;", "'"),
+            ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")]
+
 BIAS = ["left", "left-center", "center", "right-center", "right"]      # fixed rating scale
 FACTUAL = ["low", "mixed", "high"]                                     # fixed rating scale
 
@@ -59,7 +63,7 @@ def _cut(x, patterns):
 
 
 def _decode(x):
-    for name, char in hx.ENTITIES:
+    for name, char in ENTITIES:
         x = f"replace({x}, '{name}', '{char if char != chr(39) else chr(39) * 2}')"
     return x
 
@@ -146,6 +150,15 @@ def s06_ratings_scan(spark, sf):
     return rt.read_ratings(spark, path)
 
 
+@query("s06_ratings_in_file_order", with_ctes(
+    "SELECT row_number() OVER (ORDER BY row_no) - 1 AS row_no, url, bias_rating, factual_reporting_rating FROM page_ratings", "page_ratings"))
+def s06_ratings_in_file_order(spark, sf):
+    """Several files without a number column: rows are numbered as the files have them."""
+    path = stage_path(spark, "ratings")
+    page_ratings(spark, sf).repartitionByRange(4, "row_no").sortWithinPartitions("row_no").drop("row_no").write.option("header", True).csv(path)
+    return rt.read_ratings(spark, path)
+
+
 @query("s07_reliable_sites", with_ctes(
     "SELECT pattern, split_part(address, '/', 1) AS host, substr(address, length(split_part(address, '/', 1)) + 1) "
     "AS path, regex FROM page_regexes", "page_regexes"))

@@ -16,9 +16,9 @@ def one(spark, value, fn, kind="string"):
 
 
 @pytest.mark.parametrize("text, want", [
-    ("The Earth is flat.", ql.CHECKWORTHY), ("The sky is blue.", ql.CHECKWORTHY),
-    ("I can fit my entire foot in my mouth.", ql.PERSONAL), ("Pizza tastes better with pineapple.", ql.OPINION),
-    ("Is the Earth flat?", ql.NOT_A_CLAIM), ("Please sit down.", ql.NOT_A_CLAIM), ("", ql.NOT_A_CLAIM)])
+    ("The lake is deep.", ql.CHECKWORTHY), ("The roof is green.", ql.CHECKWORTHY),
+    ("I can whistle all my songs backwards.", ql.PERSONAL), ("Rye bread goes better with butter.", ql.OPINION),
+    ("Is the lake deep?", ql.NOT_A_CLAIM), ("Please close the gate.", ql.NOT_A_CLAIM), ("", ql.NOT_A_CLAIM)])
 def test_checkworthiness(spark, text, want):
     assert one(spark, text, ql.checkworthiness) == want
 

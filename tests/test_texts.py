@@ -183,3 +183,31 @@ def test_clause_and_discourse_cuts(spark):
     row = df.select(sg.discourse_pieces(F.col("text")).alias("d"), sg.clause_claims(F.col("text"), 2).alias("c")).first()
     assert row["d"] == ["It rained.", "However we left", "because it ended; all went home, and he slept."]
     assert row["c"] == ["It rained.", "However, we left because it ended", "all went home", "he slept."]
+
+
+def test_batch_rewriter_equals_the_walk_with_few_calls(spark, tmp_path):
+    lists = [[f"a{i}" for i in range(7)], [], ["b0"], None, ["c0", "c1", "c2"]]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(lists)], "id int, claims array<string>").coalesce(1)
+    log = str(tmp_path / "calls")
+
+    def one(before, text, after):
+        return f"{text}<{before[-9:]}|{after}>"
+
+    def many(befores, texts, afters):
+        with open(log, "a") as f:
+            f.write(f"{len(texts)}\n")
+        return [one(*row) for row in zip(befores, texts, afters)]
+    walked = {r.id: r.rewritten for r in cx.rewrite_in_order(df, rewriter=one).collect()}
+    together = {r.id: r.rewritten for r in cx.rewrite_in_order(df, batch_rewriter=many).collect()}
+    assert walked == together and len(walked[0]) == 7
+    with open(log) as f:
+        assert f.read().split() == ["3", "2", "2", "1", "1", "1", "1"]
+
+
+def test_runs_are_numbered_in_one_pass(spark):
+    long = " ".join(f"{'Anna Bell went' if i % 5 else 'It rained on'} day{i}." for i in range(3000))
+    df = spark.createDataFrame([(1, long), (2, ""), (3, "One. two.")], "doc_id int, text string")
+    groups = sg.entity_groups(df, ["doc_id"]).filter("doc_id = 1").orderBy("i").collect()
+    assert [r.i for r in groups] == list(range(3000)) and groups[-1].group_id > 500
+    segments = sg.topic_segments(df, ["doc_id"])
+    assert segments.filter("doc_id = 1").count() == 3000 and segments.filter("doc_id = 3").count() == 2

@@ -151,3 +151,25 @@ def test_override_wins_when_not_empty(spark):
     assert values(pg.article_text(arts, over), "article_id", "text", "overridden") == [
         (1, "x", True), (2, "b", False), (3, "c", False)]
     assert pg.article_text(arts, over).filter(F.col("overridden")).count() == 1
+
+
+def test_character_references(spark):
+    texts = ["a &amp; b", "&amp;lt; &lt;b&gt;", "caf&eacute; &#233; &#xE9; &#X20AC; &#128512;", "&unknown; & &; &#; &#x; AT&T", "&nbsp;x&#160;y&copy", "&#0; &#xD800; &#9999999;",
+             "no reference", "", None, "&&amp;&&", "&Omega;&quot;&apos;&hellip;"]
+    want = ["a & b", "&lt; <b>", "café é é € 😀", "&unknown; & &; &#; &#x; AT&T", " x y&copy", "� � �", "no reference", "", None, "&&&&", "Ω\"'…"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    assert [r.d for r in df.select("id", hx.decode(df.t).alias("d")).orderBy("id").collect()] == want
+
+
+def test_ratings_are_numbered_by_file_and_place(spark, tmp_path):
+    for part, rows in (("b.csv", 4000), ("a.csv", 3000)):
+        (tmp_path / part).write_text("url,bias_rating\n" + "".join(f"{part}-{i:05d},left\n" for i in range(rows)))
+    want = [f"a.csv-{i:05d}" for i in range(3000)] + [f"b.csv-{i:05d}" for i in range(4000)]
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("128m", "10k"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = rt.read_ratings(spark, str(tmp_path)).orderBy("row_no").collect()
+            assert [(r.row_no, r.url) for r in got] == list(enumerate(want))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
