@@ -38,6 +38,7 @@ class VerifyConfig:
     tile_rows: int = 256                # source claims held by one row of the join
     hot_key_rows: int = 1_000           # hits on one source that travel together
     wave_ranks: tuple = (3,)            # last search ranks of the waves in which hits are compared; () compares all at once
+    wave_least_hits: int = 1_000_000    # fewer hits are compared at once
     extract_sources: bool = False       # True: sources go through the same chain as articles, not only the sentence cut
     require_reliable: bool = False
 

@@ -126,7 +126,7 @@ def verify(articles: DataFrame, sources: DataFrame, config: VerifyConfig = Verif
     compared = stage(compared, "compared")
     compare, order, text_of = _comparison(claims, sources, config, store, compared)
     carry = [*order, *(c for c in ("doc_id", "source_claim_id", "relation") if c not in order)]
-    first, _ = evidence.in_waves(compared, compare, order, carry, tuple(config.wave_ranks))
+    first, _ = evidence.in_waves(compared, compare, order, carry, tuple(config.wave_ranks), config.wave_least_hits)
     return Verified(claims, found, verdict.verdicts(claims, text_of(first)))
 
 

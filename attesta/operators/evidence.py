@@ -122,17 +122,18 @@ def exhaustive(hits: DataFrame, claims: DataFrame, sources: DataFrame, key: str
 
 
 def in_waves(hits: DataFrame, compare: Callable[[DataFrame], DataFrame], order: list[str], carry: list[str],
-             last_ranks: tuple[int, ...] = (3,)) -> tuple[DataFrame, DataFrame]:
+             last_ranks: tuple[int, ...] = (3,), least_hits: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
     """First decisive pair per claim, comparing no more hits than it takes, in as many waves as ``last_ranks`` has and one.
 
     A wave compares the hits up to its last rank of the claims that no earlier wave decided, so no claim gets another
-    pair than a comparison of all hits would give: ``order`` must begin with the search rank. Returns the pairs and a
+    pair than a comparison of all hits would give: ``order`` must begin with the search rank. Fewer than ``least_hits`` are compared in one
+    wave, as another round would cost more than it saves. Returns the pairs and a
     count per wave of the hits compared. ``hits`` must be staged.
     """
     if order[0] != "search_rank":
         raise ValueError("waves follow the search rank")
     found, counts, open_ = [], [], hits
-    edges = [0, *last_ranks, None]
+    edges = [0, *(last_ranks if hits.count() >= least_hits else ()), None]
     for wave, (above, upto) in enumerate(zip(edges, edges[1:]), 1):
         now = open_.filter(F.col("search_rank") > above)
         now = now if upto is None else now.filter(F.col("search_rank") <= upto)

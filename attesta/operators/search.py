@@ -9,6 +9,8 @@ A search has three steps, and no result depends on how far it prunes.
    other, mostly rare, terms are added up per tile, and a document goes on if what the common terms may still bring can reach the threshold.
 3. Scores. Candidates are scored whole, from the postings of their tiles.
 
+The steps cost several rounds, so a search of few queries in a small corpus (``DIRECT`` pairs at most) scores its tiles whole instead.
+
 Queries with the same tokens are searched once; documents with the same tokens are one document of the index. Both are
 expanded at the end. Queries are dealt into blocks, and each (tile, block) is one numpy call on bounded rows: no table of all (query,
 document) pairs exists, only of those that are scored. Terms are added in one fixed order, so scores do not depend on how rows were
@@ -34,6 +36,7 @@ __all__ = ["DIGITS", "QID", "SearchIndex", "build_index", "identified", "open_in
 
 DIGITS = 6                  # scores are rounded to this many digits before ranking
 BLOCK = 256                 # queries of a block
+DIRECT = 50_000_000         # (query, document) pairs that are scored without looking for bounds first
 LEAD = 4                    # this many times k documents give a query its threshold
 SLACK = 1e-5                # more than rounding and the order of additions can change
 HOT_QUERIES = 200_000       # copies of one query in one join partition
@@ -64,7 +67,11 @@ def top_k_search(index: SearchIndex, queries: DataFrame, keys: list[str], text:
     larger share of the corpus. Documents sharing no kept term are absent.
     """
     asked = identified(queries, keys, text)
-    found = scored_pairs(index, asked, k, scheme, k1, b, max_df_share)
+    wanted = _wanted(asked)
+    if wanted.count() * index.n_groups <= DIRECT:
+        found = _whole_tiles(index, _weighted(index, wanted, scheme, k1, b, max_df_share), k, _gain(scheme, k1, b, index.avg_len))
+    else:
+        found = scored_pairs(index, wanted, k, scheme, k1, b, max_df_share)
     # ties stay until the ids are known
     near = found.withColumn("_r", F.rank().over(W.partitionBy(*QID).orderBy(F.desc("score")))).filter(F.col("_r") <= k)
     best = _best(near.join(index.groups.select("tile", "pos", "doc_id"), ["tile", "pos"]).select(*QID, "doc_id", "score"),
@@ -83,7 +90,7 @@ def scored_pairs(index: SearchIndex, asked: DataFrame, k: int, scheme: str = "bm
     ``asked`` has ``_q1, _q2, _t`` (the query's sorted distinct terms). Among the pairs are each query's k best.
     """
     gain = _gain(scheme, k1, b, index.avg_len)
-    terms = _asked_terms(index, asked, scheme, k1, b, max_df_share, LEAD * k)
+    terms = _asked_terms(_weighted(index, _wanted(asked), scheme, k1, b, max_df_share), LEAD * k)
     lead = _pairs(index, terms.filter("lead"), LEAD * k)
     first = _scores(index, lead, terms, gain)
     worst = W.partitionBy(*QID).orderBy(F.desc("score"))
@@ -102,11 +109,12 @@ def scored_pairs(index: SearchIndex, asked: DataFrame, k: int, scheme: str = "bm
     return first.unionByName(_scores(index, more, terms, gain))
 
 
-def _asked_terms(index: SearchIndex, asked: DataFrame, scheme: str, k1: float, b: float, max_df_share: float | None,
-                 lead: int) -> DataFrame:
-    """One row per query and term of the index: ``_block, _qn`` (the query in its block), ``weight``, ``n`` documents,
-    ``below`` (what this and all weaker terms can bring) and ``lead`` (among the rarest terms, up to ``lead`` documents)."""
-    wanted = stage(asked.groupBy(*QID).agg(F.first("_t").alias("_t")), "queries")
+def _wanted(asked: DataFrame) -> DataFrame:
+    return stage(asked.groupBy(*QID).agg(F.first("_t").alias("_t")), "queries")
+
+
+def _weighted(index: SearchIndex, wanted: DataFrame, scheme: str, k1: float, b: float, max_df_share: float | None) -> DataFrame:
+    """One row per query and term of the index: ``_block, _qn`` (the query in its block), ``weight``, highest gain ``top``, ``n`` documents."""
     numbered = wanted.withColumn("_block", dealt("_q1", wanted.count(), BLOCK)).withColumn(
         "_qn", F.row_number().over(W.partitionBy("_block").orderBy(*QID)) - 1)
     terms = index.terms
@@ -117,8 +125,13 @@ def _asked_terms(index: SearchIndex, asked: DataFrame, scheme: str, k1: float, b
     else:
         weight = F.log(F.lit(1.0) + (F.lit(float(index.n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
         top = F.col("top") if (k1, b) == (K1, B) else F.lit(k1 + 1.0)
-    rows = (numbered.select(*QID, "_block", "_qn", F.size("_t").alias("n_terms"), F.explode("_t").alias("term"))
+    return (numbered.select(*QID, "_block", "_qn", F.size("_t").alias("n_terms"), F.explode("_t").alias("term"))
             .join(terms, "term").select(*QID, "_block", "_qn", "term", "n", weight.alias("weight"), top.alias("top")))
+
+
+def _asked_terms(rows: DataFrame, lead: int) -> DataFrame:
+    """The weighted terms with ``below`` (what this and all weaker terms of the query can bring) and ``lead`` (among the
+    rarest terms, up to ``lead`` documents)."""
     mine = W.partitionBy(*QID)
     rarer = F.sum("n").over(mine.orderBy("n", "term").rowsBetween(W.unboundedPreceding, -1))
     strength = F.col("weight") * F.col("top")
@@ -126,6 +139,14 @@ def _asked_terms(index: SearchIndex, asked: DataFrame, scheme: str, k1: float, b
     return stage(rows.withColumns({"lead": F.coalesce(rarer, F.lit(0)) < lead, "below": below}).drop("top"), "terms")
 
 
+def _whole_tiles(index: SearchIndex, terms: DataFrame, k: int, gain: Callable) -> DataFrame:
+    """``_q1, _q2, tile, pos, score``: the k best of every tile for each query, all documents scored."""
+    placed, postings = index.shelved(_askers(terms, ["_block"]))
+    met = postings.join(placed, ["shelf", "term"]).select(
+        "tile", "_block", "term", *_flat("posts", "pos", "tf", "dl"), *_flat("askers", "_qn", *QID, "weight"))
+    return met.groupBy("tile", "_block").applyInArrow(_tile_best(k, gain), "_q1 long, _q2 long, tile long, pos int, score double")
+
+
 def _flat(rows: str, *names: str) -> list[Column]:
     return [F.col(f"{rows}.{c}").alias(c) for c in names]
 
@@ -172,24 +193,35 @@ def _columns(met: pa.Table, posts: list[str], askers: list[str]) -> tuple[dict[s
     return flat, list(zip(np.r_[0, ends[0][:-1]], ends[0], np.r_[0, ends[1][:-1]], ends[1]))
 
 
+def _added(rows: list[tuple], pos: np.ndarray, gains: np.ndarray, who: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Scores of a tile's documents for a block's queries, term by term."""
+    width = int(pos.max()) + 1
+    scores, line = np.zeros((int(who.max()) + 1, width)), np.zeros(width)
+    for p0, p1, q0, q1 in rows:
+        at, mine = pos[p0:p1], who[q0:q1]
+        if 8 * len(at) >= width:
+            line[:] = 0.0
+            line[at] = gains[p0:p1]
+            scores[mine] += weight[q0:q1, None] * line
+        else:
+            scores[mine[:, None], at] += weight[q0:q1, None] * gains[p0:p1]
+    return scores
+
+
+def _ids(flat: dict[str, np.ndarray], who: np.ndarray) -> np.ndarray:
+    ids = np.zeros((2, int(who.max()) + 1), np.int64)
+    ids[0, who], ids[1, who] = flat["_q1"], flat["_q2"]
+    return ids
+
+
 def _surviving(gain: Callable) -> Callable:
     """Documents of a tile that a block's queries may still want, given what their stronger terms bring."""
     def run(met: pa.Table) -> pa.Table:
         flat, rows = _columns(met, ["pos", "tf", "dl"], ["_qn", *QID, "weight", "need"])
-        pos, who, gains = flat["pos"], flat["_qn"], gain(flat["tf"], flat["dl"])
-        asked, who = np.unique(who, return_inverse=True)
-        n, width = len(asked), int(pos.max()) + 1
-        scores, line = np.zeros((n, width)), np.zeros(width)
-        for p0, p1, q0, q1 in rows:
-            at, mine, weight = pos[p0:p1], who[q0:q1], flat["weight"][q0:q1, None]
-            if 8 * len(at) >= width:
-                line[:] = 0.0
-                line[at] = gains[p0:p1]
-                scores[mine] += weight * line
-            else:
-                scores[mine[:, None], at] += weight * gains[p0:p1]
-        ids, need = np.zeros((2, n), np.int64), np.zeros(n)
-        ids[0, who], ids[1, who], need[who] = flat["_q1"], flat["_q2"], flat["need"]
+        asked, who = np.unique(flat["_qn"], return_inverse=True)
+        scores = _added(rows, flat["pos"], gain(flat["tf"], flat["dl"]), who, flat["weight"])
+        ids, need = _ids(flat, who), np.zeros(len(asked))
+        need[who] = flat["need"]
         row, col = np.nonzero((scores > 0) & (scores >= need[:, None]))
         return pa.table({"_q1": ids[0, row], "_q2": ids[1, row], "_block": np.full(len(row), met.column("_block")[0].as_py(), np.int64),
                          "_qn": asked[row].astype(np.int32), "tile": np.full(len(row), met.column("tile")[0].as_py(), np.int64),
@@ -197,6 +229,24 @@ def _surviving(gain: Callable) -> Callable:
     return run
 
 
+def _tile_best(k: int, gain: Callable) -> Callable:
+    """The k best documents of a tile for each query of a block, ties to the lower position."""
+    def run(met: pa.Table) -> pa.Table:
+        flat, rows = _columns(met, ["pos", "tf", "dl"], ["_qn", *QID, "weight"])
+        scores = _added(rows, flat["pos"], gain(flat["tf"], flat["dl"]), flat["_qn"], flat["weight"])
+        n, width = scores.shape
+        places = np.floor(scores * 10.0**DIGITS + 0.5).astype(np.int64)
+        order = np.where(scores > 0, places * width + np.arange(width)[::-1], -1)
+        top = np.argpartition(-order, min(k, width) - 1, axis=1)[:, :k]
+        row, col = np.repeat(np.arange(n), top.shape[1]), top.ravel()
+        hit = order[row, col] >= 0
+        row, col = row[hit], col[hit]
+        ids = _ids(flat, flat["_qn"])
+        return pa.table({"_q1": ids[0, row], "_q2": ids[1, row], "tile": np.full(len(row), met.column("tile")[0].as_py(), np.int64),
+                         "pos": col.astype(np.int32), "score": places[row, col] / 10.0**DIGITS})
+    return run
+
+
 def _tile_scores(gain: Callable) -> Callable:
     def run(met: pa.Table, pairs: pa.Table) -> pa.Table:
         qn, pos = (pairs.column(c).to_numpy() for c in ("_qn", "pos"))
@@ -211,10 +261,11 @@ def _tile_scores(gain: Callable) -> Callable:
             for p0, p1, q0, q1 in rows:
                 size = n[q0:q1]
                 mine = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first[q0:q1], size)
-                posts = flat["pos"][p0:p1]
+                by = np.argsort(flat["pos"][p0:p1])
+                posts = flat["pos"][p0:p1][by]
                 at = np.minimum(np.searchsorted(posts, pos[mine]), len(posts) - 1)
                 has = posts[at] == pos[mine]
-                scores[mine[has]] += np.repeat(flat["weight"][q0:q1], size)[has] * gains[p0:p1][at[has]]
+                scores[mine[has]] += np.repeat(flat["weight"][q0:q1], size)[has] * gains[p0:p1][by][at[has]]
         q1, q2, tile = (pairs.column(c).to_numpy()[order] for c in (*QID, "tile"))
         places = np.floor(scores * 10.0**DIGITS + 0.5)
         return pa.table({"_q1": q1, "_q2": q2, "tile": tile, "pos": pos, "score": places / 10.0**DIGITS})

@@ -1,7 +1,7 @@
 """The stored search index: tokenised corpus, inverted, with score bounds, written once and opened again.
 
 Copies are kept once: documents with the same tokens are one document with a count. Documents are dealt into tiles of about
-``TILE``; a posting row holds one term's entries in one tile, by position, so a frequent term is many rows. Each row and
+``TILE``; a posting row holds one term's entries in one tile, so a frequent term is many rows. Each row and
 each term carries the highest gain any of its entries can have, which is what a search prunes by. Postings lie in shelves, folders
 by hash of the term, so a search opens only the folders of its own terms.
 """
@@ -92,11 +92,13 @@ def build_index(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", pat
                .select("tile", "pos", "dl", "n", F.inline("terms")))
     rows = entries.groupBy("term", "tile").agg(
         F.sum("n").alias("copies"), F.max(bm25_gain(F.col("tf"), F.col("dl"), avg_len)).alias("top"),
-        F.array_sort(F.collect_list(F.struct("pos", "tf", "dl"))).alias("posts")).withColumn("shelf", shelf_of("term", n_shelves))
+        F.collect_list(F.struct("pos", "tf", "dl")).alias("posts"))
     if n_shelves > 1:
+        rows = rows.withColumn("shelf", shelf_of("term", n_shelves))
         rows = rows.repartition(n_shelves * SHELF_PARTS, "shelf", F.pmod(F.xxhash64("term", "tile"), F.lit(SHELF_PARTS)))
-        rows = rows.sortWithinPartitions("shelf", "term", "tile")
-    rows.write.partitionBy("shelf").parquet(f"{path}/postings")
+        rows.sortWithinPartitions("shelf", "term", "tile").write.partitionBy("shelf").parquet(f"{path}/postings")
+    else:
+        rows.write.parquet(f"{path}/postings/shelf=0")
     postings = _postings(spark, path, groups)
     (postings.groupBy("term").agg(F.sum("copies").alias("df"), F.sum(F.size("posts")).alias("n"), F.max("top").alias("top"))
      .write.parquet(f"{path}/terms"))

@@ -88,7 +88,7 @@ cte("first_of_four", """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY
       lower(claim), '[^\\p{L}\\p{N}]+'), lambda t: t <> '')) > 2""", "claims", "first_of_four"))
 def m10_other_options(spark, sf):
     """A run with other options: four hits, every source claim in order, short claims left out, waves of one rank, small tiles."""
-    config = VerifyConfig(search_results=4, embed_source_claims=False, min_claim_tokens=3, wave_ranks=(1, 2), tile_rows=16, hot_key_rows=50)
+    config = VerifyConfig(search_results=4, embed_source_claims=False, min_claim_tokens=3, wave_ranks=(1, 2), wave_least_hits=0, tile_rows=16, hot_key_rows=50)
     run = verify(tb.articles(spark, sf), tb.sources(spark, sf), config, index=tb.corpus_index(spark, sf))
     return run.verdicts.select([c for c in RUN_COLS if c != "dist_rank"])
 

@@ -166,14 +166,14 @@ def k05_first_in_order(spark, sf):
     return _in_order(spark, sf)[0]
 
 
-def _in_order(spark, sf):
+def _in_order(spark, sf, **options):
     claims, sources = tb.claims(spark, sf), tb.sources(spark, sf)
 
     def compare(some):
         tiles = evidence.exhaustive(some, claims, sources)
         return tiles.filter("at IS NOT NULL").withColumnRenamed("at", "source_claim_id")
     return evidence.in_waves(tb.hits(spark, sf), compare, ["search_rank", "source_claim_id"],
-                             ["search_rank", "source_claim_id", "doc_id", "relation"])
+                             ["search_rank", "source_claim_id", "doc_id", "relation"], **options)
 
 
 @query("k05_hits_by_wave", with_ctes("""
@@ -182,7 +182,7 @@ def _in_order(spark, sf):
     WHERE h.search_rank <= 3 OR f.search_rank IS NULL OR f.search_rank > 3 GROUP BY 1""", "hits", "first_any"))
 def k05_hits_by_wave(spark, sf):
     """Hits compared in each wave: the second has only claims that the first left open."""
-    return _in_order(spark, sf)[1].filter("hits > 0")
+    return _in_order(spark, sf, least_hits=0)[1].filter("hits > 0")
 
 
 # the numbers below follow hashed vectors: token counts in 64 buckets, of unit length

@@ -134,7 +134,7 @@ def test_given_hits_and_encoder_drive_a_run(spark):
     def letters(batches):
         for texts in batches:
             yield np.array([[float(t.count(c)) for c in "abdngtuv"] for t in texts])
-    for config in (VerifyConfig(), VerifyConfig(encoder="hashed"), VerifyConfig(encoder=letters), VerifyConfig(wave_ranks=()), VerifyConfig(wave_ranks=(1, 2, 5))):
+    for config in (VerifyConfig(), VerifyConfig(encoder="hashed"), VerifyConfig(encoder=letters), VerifyConfig(wave_ranks=()), VerifyConfig(wave_ranks=(1, 2, 5), wave_least_hits=0)):
         run = verify(arts, docs, config, hits=hits)
         assert values(run.verdicts, "verdict", "source_url", "search_rank") == [("contradicted", "https://a.org/1", 2)]
         assert run.report().first()["n_sources"] == 2

@@ -56,6 +56,7 @@ def corpus(seed, n_docs=80, n_queries=12, vocabulary=60):
 def test_search_equals_brute_force(spark, monkeypatch, scheme, share, tile, block, hot):
     monkeypatch.setattr(search, "BLOCK", block)
     monkeypatch.setattr(search, "HOT_QUERIES", hot)
+    monkeypatch.setattr(search, "DIRECT", 10**9 if tile == 2048 else 0)
     docs, queries = corpus(tile + (scheme == "overlap"))
     index = search.build_index(spark.createDataFrame(docs, "doc_id long, text string"), tile=tile, shelf_tokens=300 if tile == 7 else 10**9)
     asked = spark.createDataFrame(queries, "article_id long, claim_id int, claim string")
@@ -64,8 +65,9 @@ def test_search_equals_brute_force(spark, monkeypatch, scheme, share, tile, bloc
     assert got == brute(docs, queries, 5, scheme, share)
 
 
-def test_pruning_falls_with_the_corpus_and_shelves_are_opened_by_term(spark, tmp_path):
+def test_pruning_falls_with_the_corpus_and_shelves_are_opened_by_term(spark, tmp_path, monkeypatch):
     """A query scores about as many documents whatever the corpus holds besides; a stored index opens again."""
+    monkeypatch.setattr(search, "DIRECT", 0)
     rng = random.Random(9)
     shares = []
     for n in (300, 3000):
