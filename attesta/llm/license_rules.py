@@ -17,6 +17,7 @@ result; ties between equal intervals go to the earlier rule; nulls and further c
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -34,8 +35,9 @@ BEGIN, END = "\x01", "\x02"      # around a match; no word holds them
 class Rule(NamedTuple):
     label: str
     pattern: str
-    keyword: str
+    keyword: str        # within one word of every match
     confidence: float
+    also: str = ""      # so is this
 
 
 # fixed values: phrases and their labels
@@ -74,10 +76,12 @@ CC_PARTS = ["by", "by nc", "by nc nd", "by nc sa", "by nd", "by sa"]
 CC_NAMES = {"by": "attribution", "nc": "non ?commercial", "nd": "no ?deriv(?:ative)?s(?: works)?", "sa": "share ?alike"}
 CC_VERSIONS = ["1 0", "2 0", "2 5", "3 0", "4 0"]
 LICENSE = "licen[cs]ed?"
-FORMS = [  # lead-in, tail, confidence
-    (f"(?:{LICENSE}|released|distributed|available|provided) under (?:the )?(?:terms of )?(?:the )?", f"(?: {LICENSE})?", 0.95),
-    ("(?:subject to|governed by|covered by) (?:the )?(?:terms of )?(?:the )?", f"(?: {LICENSE})?", 0.9),
-    ("", f" {LICENSE}", 0.7),
+FORMS = [  # lead-in, tail, confidence, word of every match
+    (f"(?:{LICENSE}|released|distributed|available|provided) under (?:the )?(?:terms of )?(?:the )?", f"(?: {LICENSE})?", 0.95, "under"),
+    ("subject to (?:the )?(?:terms of )?(?:the )?", f"(?: {LICENSE})?", 0.9, "subject"),
+    ("governed by (?:the )?(?:terms of )?(?:the )?", f"(?: {LICENSE})?", 0.9, "governed"),
+    ("covered by (?:the )?(?:terms of )?(?:the )?", f"(?: {LICENSE})?", 0.9, "covered"),
+    ("", f" {LICENSE}", 0.7, "licen"),
 ]
 
 
@@ -131,8 +135,7 @@ TEXTS = [
 # fixed values: short names as people write them
 SHORT = [
     ("bsd-2-clause", "bsd 2 clause", "clause", 0.8), ("bsd-3-clause", "bsd 3 clause", "clause", 0.8), ("bsd-4-clause", "bsd 4 clause", "clause", 0.8),
-    ("apache-2.0", "apache 2 0", "apache", 0.7), ("apache-2.0", "apache2", "apache2", 0.7), ("asl-2.0", "asl ?2 0", "asl", 0.6),
-    ("gpl-2", "gpl ?v?2 0?(?: only)?", "gpl", 0.8), ("gpl-3-or-later", "gpl ?v?3 (?:0 )?or later", "gpl", 0.9), ("gpl-2-or-later", "gpl ?v?2 (?:0 )?or later", "gpl", 0.9),
+    ("apache-2.0", "apache 2 0", "apache", 0.7), ("apache-2.0", "apache2", "apache2", 0.7),     ("gpl-2", "gpl ?v?2 0?(?: only)?", "gpl", 0.8), ("gpl-3-or-later", "gpl ?v?3 (?:0 )?or later", "gpl", 0.9), ("gpl-2-or-later", "gpl ?v?2 (?:0 )?or later", "gpl", 0.9),
     ("mpl-2.0", "mpl ?v? ?2 0", "mpl", 0.7), ("epl-2.0", "epl ?v? ?2 0", "epl", 0.7), ("epl-1.0", "epl ?v? ?1 0", "epl", 0.7),
     ("cc0", "cc0 1 0 universal", "cc0", 0.95), ("ofl", "ofl 1 1", "ofl", 0.7), ("bsl-1.0", "bsl 1 0", "bsl", 0.6),
 ]
@@ -167,8 +170,8 @@ def rules() -> list[Rule]:
     found += [Rule(label, f"{HEAD}{text}{TAIL}", keyword, confidence) for label, text, keyword, confidence in SHORT]
     for label, _, _ in NAMES:
         found.append(Rule(label, f"{HEAD}spdx license identifier {label.replace('-', ' ').replace('.', ' ')}{TAIL}", "spdx", 1.0))
-    for lead, tail, confidence in FORMS:
-        found += [Rule(label, f"{HEAD}{lead}{name}{tail}{TAIL}", keyword, confidence) for label, name, keyword in NAMES]
+    for lead, tail, confidence, word in FORMS:
+        found += [Rule(label, f"{HEAD}{lead}{name}{tail}{TAIL}", word, confidence, keyword) for label, name, keyword in NAMES]
     return found
 
 
@@ -180,9 +183,15 @@ def longest_match(ruled: list[Rule]) -> int:
     return max((r.pattern.count(" ") + 1 for r in ruled), default=1)
 
 
-def text_gate(ruled: list[Rule]) -> str:
-    """Texts that this pattern is not found in hold no rule's match: each needs its keyword within one word."""
-    return "(?i)" + "|".join(sorted({r.keyword for r in ruled} | {p.split()[-1] for p, _ in BASE}))
+def keywords(ruled: list[Rule]) -> list[str]:
+    """A text in which none of these occurs holds no rule's match and no base phrase: each needs its keyword within one word."""
+    words = {r.keyword for r in ruled} | {p.split()[-1] for p, _ in BASE}
+    return sorted(w for w in words if not any(other != w and other in w for other in words))
+
+
+def has_keyword(text: Column, ruled: list[Rule]) -> Column:
+    lowered = F.lower(text)     # lowers more than A to Z, which admits at most more texts
+    return let(lowered, lambda t: reduce(lambda a, b: a | b, [t.contains(k) for k in keywords(ruled)]))
 
 
 def _matches(joined: Column, rule: Column) -> Column:
@@ -202,9 +211,16 @@ def detections(joined: Column, ruled: list[Rule]) -> Column:
         for i, r in enumerate(ruled)) + ")")
     reach = longest_match(ruled)
 
+    by_keyword: dict[str, list[int]] = {}
+    for i, r in enumerate(ruled):
+        by_keyword.setdefault(r.keyword, []).append(i)
+
     def found(text: Column) -> Column:
-        return F.array_compact(F.array(*[
-            F.when(text.contains(r.keyword) & text.rlike(r.pattern), F.lit(i)) for i, r in enumerate(ruled)]))
+        """Rules with a match; a keyword that does not occur shuts out all its rules at once."""
+        none = F.array().cast("array<int>")
+        return F.array_compact(F.concat(*[
+            F.when(text.contains(k), F.array(*[F.when(text.contains(ruled[i].also) & text.rlike(ruled[i].pattern), F.lit(i)) for i in mine])).otherwise(none)
+            for k, mine in by_keyword.items()]))
 
     def kept(all_: Column, rules_met: Column) -> Column:
         # a holder starts at most ``reach`` words earlier, and each rule's matches start at different words
@@ -247,7 +263,7 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", ruled: list[Rule] | N
     base_type = "array<struct<start:int,label:string>>"
     gate, split = fresh(docs, "__gated", "__words")
     text, gated, words = whole(text_col), F.col(gate), F.col(split)
-    kept = docs.drop(*RESULT).withColumn(gate, text.rlike(text_gate(ruled)))
+    kept = docs.drop(*RESULT).withColumn(gate, has_keyword(text, ruled))
     kept = kept.withColumn(split, F.when(gated, lower_words(text)))
     kept = kept.withColumn("n_words", F.when(gated, F.size(words)).otherwise(F.size(raw_words(text))).cast("long"))
     kept = kept.withColumn("base_starts", F.when(gated, base_places(words)).otherwise(F.array().cast(base_type)))
