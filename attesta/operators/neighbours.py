@@ -9,7 +9,7 @@ bucket) of any size becomes as many tiles as it needs.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -19,16 +19,20 @@ from attesta.functions.vectors import projection_buckets
 
 QUERY_BLOCK = 20_000
 VECTOR_BLOCK = 20_000
-STRIP = 512             # query rows per distance matrix inside a task
+STRIP = 128             # query rows per distance matrix inside a task
 
 
-def _tile_nearest(queries: pd.DataFrame, vectors: pd.DataFrame, k: int, skip_self: bool) -> pd.DataFrame:
-    """k nearest rows of ``vectors`` for each of ``queries``; ties to the lower id."""
-    order = np.argsort(vectors["vec_id"].to_numpy(), kind="stable")
-    ids = vectors["vec_id"].to_numpy()[order]
-    base = np.stack(vectors["vector"].to_numpy()).astype(np.float64)[order]
-    asked = np.stack(queries["vector"].to_numpy()).astype(np.float64)
-    qids = queries["query_id"].to_numpy()
+def matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """A list column as rows of doubles."""
+    rows = column.combine_chunks()
+    return rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(rows), -1)
+
+
+def _tile_nearest(queries: pa.Table, vectors: pa.Table, k: int, skip_self: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """k nearest rows of ``vectors`` for each of ``queries``, as places in both and distances; ties to the lower id."""
+    ids, qids = vectors.column("vec_id").to_numpy(), queries.column("query_id").to_numpy()
+    order = np.argsort(ids, kind="stable")
+    ids, base, asked = ids[order], matrix(vectors.column("vector"))[order], matrix(queries.column("vector"))
     base_sq = (base * base).sum(axis=1)
     out = []
     take = min(k + skip_self, len(ids))
@@ -38,13 +42,13 @@ def _tile_nearest(queries: pd.DataFrame, vectors: pd.DataFrame, k: int, skip_sel
         if skip_self:
             dist[qid[:, None] == ids[None, :]] = np.inf
         # ids are ascending, so (distance, position) order is (distance, id) order
-        cut = np.partition(dist, take - 1, axis=1)[:, take - 1]
-        for r in range(len(qid)):
-            near = np.flatnonzero(dist[r] <= cut[r])
-            near = near[np.argsort(dist[r][near], kind="stable")][:take]
-            near = near[np.isfinite(dist[r][near])][:k]
-            out.append(pd.DataFrame({"query_id": qid[r], "vec_id": ids[near], "dist": dist[r][near]}))
-    return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"query_id": [], "vec_id": [], "dist": []})
+        row, at = np.nonzero(dist <= np.partition(dist, take - 1, axis=1)[:, take - 1:take])
+        near = dist[row, at]
+        by = np.lexsort((at, near, row))
+        row, at, near = row[by], at[by], near[by]
+        kept = (np.arange(len(row)) - np.searchsorted(row, row) < k) & np.isfinite(near)
+        out.append((row[kept] + lo, order[at[kept]], near[kept]))
+    return tuple(np.concatenate(c) for c in zip(*out))
 
 
 def nearest_vectors(queries: DataFrame, vectors: DataFrame, k: int, on: tuple[str, ...] = (),
@@ -83,15 +87,15 @@ def nearest_vectors(queries: DataFrame, vectors: DataFrame, k: int, on: tuple[st
                            T.StructField("vec_id", vectors.schema["vec_id"].dataType),
                            T.StructField("dist", T.DoubleType())])
 
-    def run(key: tuple, q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        if len(q) == 0 or len(v) == 0:
-            return pd.DataFrame({f.name: [] for f in schema.fields})
-        found = _tile_nearest(q, v, k, skip_self)
-        for name, value in zip(keys, key):
-            found[name] = value
-        return found[[f.name for f in schema.fields]]
+    def run(key: tuple, q: pa.Table, v: pa.Table) -> pa.Table:
+        if q.num_rows == 0 or v.num_rows == 0:
+            return pa.table({**{c: q.column(c)[:0] if c in q.column_names else v.column(c)[:0] for c in keys},
+                             "query_id": q.column("query_id")[:0], "vec_id": v.column("vec_id")[:0], "dist": pa.array([], pa.float64())})
+        row, at, dist = _tile_nearest(q, v, k, skip_self)
+        near = q.select([*keys, "query_id"]).take(pa.array(row))
+        return near.append_column("vec_id", v.column("vec_id").take(pa.array(at))).append_column("dist", pa.array(dist))
 
-    best = lhs.groupBy(*tile).cogroup(rhs.groupBy(*tile)).applyInPandas(run, schema)
+    best = lhs.groupBy(*tile).cogroup(rhs.groupBy(*tile)).applyInArrow(run, schema)
     ranked = W.partitionBy("query_id", *keys).orderBy("dist", "vec_id")
     return best.withColumn("dist_rank", F.row_number().over(ranked)).filter(F.col("dist_rank") <= k)
 
