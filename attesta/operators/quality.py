@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from attesta.functions import text as tx
@@ -27,6 +32,7 @@ PREFIXES = ["-", "- ", "The ", "speaker ", "text ", "post ", "article ", "blog p
             "blog post article "]
 REPORTING_START = r"(?i)^the (?:speaker|text|author|article|post) (?:says|suggests|advises|states|claims)"
 JOINED_FACTS = r"(?i);|,? (?:and|but|while|whereas) "
+CHRF_CHARS = 50_000         # characters whose n-grams are counted at once
 
 
 def _any(toks: Column, words: list[str]) -> Column:
@@ -125,41 +131,57 @@ def all_satisfy(rows: DataFrame, everyone: DataFrame, key: str, name: str, predi
 
 
 def chrf(hypothesis, reference, max_n: int = 6, beta: float = 2.0) -> Column:
-    """Character n-gram F-score, whitespace ignored, averaged over n where both have n-grams.
-
-    Repeated n-grams are told apart by their occurrence number, so the count
-    overlap is one array intersection inside the row.
-    """
-    def grams(text: Column, n: int) -> Column:
-        starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1)).otherwise(
-            F.array().cast("array<int>"))
-        counted = tx.term_counts(F.transform(starts, lambda i: F.substring(text, i, F.lit(n))))
-        return F.flatten(F.transform(counted, lambda g: F.transform(
-            F.sequence(F.lit(1), g["tf"]), lambda k: F.concat(g["term"], F.lit(" "), k.cast("string")))))
-
+    """Character n-gram F-score, whitespace ignored, averaged over n where both have n-grams."""
     def bare(c) -> Column:
-        return F.regexp_replace(tx.col(c), r"[ \t\n\r\f\x0B]+", "")
-
-    def order(h: Column, r: Column) -> Column:
-        both = F.size(F.array_intersect(h, r))
-        return F.when((F.size(h) > 0) & (F.size(r) > 0), F.struct(
-            (both / F.size(h)).alias("p"), (both / F.size(r)).alias("r")))
-
-    def orders(texts: Column) -> Column:
-        made = F.array(*[
-            tx.let(F.struct(grams(texts["h"], n).alias("h"), grams(texts["r"], n).alias("r")),
-                   lambda g: order(g["h"], g["r"])) for n in range(1, max_n + 1)])
-        return F.filter(made, lambda o: o.isNotNull())
-
-    def score(o: Column) -> Column:
-        n = F.size(o)
-        p = F.aggregate(o, F.lit(0.0), lambda a, x: a + x["p"]) / n
-        r = F.aggregate(o, F.lit(0.0), lambda a, x: a + x["r"]) / n
-        weight = beta * beta
-        return F.when((n > 0) & (weight * p + r > 0), F.round((1 + weight) * p * r / (weight * p + r), 6)).otherwise(0.0)
-
-    texts = F.struct(bare(hypothesis).alias("h"), bare(reference).alias("r"))
-    return tx.let(tx.let(texts, orders), lambda o: F.when(F.size(o) > 0, score(o)).otherwise(0.0))
+        return F.coalesce(F.regexp_replace(tx.col(c), r"[ \t\n\r\f\x0B]+", ""), F.lit(""))
+
+    @F.pandas_udf(T.DoubleType())
+    def scores(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for h, r in batches:
+            yield pd.Series(_gram_scores(h.tolist(), r.tolist(), max_n, beta))
+
+    return F.round(F.coalesce(scores(bare(hypothesis), bare(reference)), F.lit(0.0)), 6)
+
+
+def _gram_scores(h: list[str], r: list[str], max_n: int, beta: float) -> np.ndarray:
+    """The score of each pair; pairs are counted together in slices of about ``CHRF_CHARS`` characters."""
+    ends = np.cumsum(np.fromiter((len(a) + len(b) for a, b in zip(h, r)), np.int64, len(h)))
+    cuts = (np.flatnonzero(np.diff(ends // CHRF_CHARS)) + 1).tolist()
+    weight, out = beta * beta, []
+    for lo, hi in zip([0, *cuts], [*cuts, len(h)]):
+        n, p, q = _gram_shares(h[lo:hi], r[lo:hi], max_n)
+        p, q = p / np.maximum(n, 1), q / np.maximum(n, 1)
+        low = weight * p + q
+        out.append(np.where(low > 0, (1 + weight) * p * q / np.where(low > 0, low, 1.0), 0.0))
+    return np.concatenate(out)
+
+
+def _gram_shares(h: list[str], r: list[str], max_n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per pair: lengths n at which both have n-grams, and the shares of either's n-grams that both have, summed over these."""
+    pairs, texts = len(h), [*h, *r]
+    sizes = np.fromiter(map(len, texts), np.int64, 2 * pairs)
+    chars = np.unique(np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4"), return_inverse=True)[1].astype(np.int64)
+    width = int(chars.max(initial=0)) + 1
+    pair = np.repeat(np.tile(np.arange(pairs), 2), sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(chars))
+    ours = int(sizes[:pairs].sum())
+    n, p, q = np.zeros(pairs, np.int64), np.zeros(pairs), np.zeros(pairs)
+    gram = pair.copy()      # numbers the n-grams of all pairs, from the one before and the next character
+    for size in range(1, max_n + 1):
+        at = np.flatnonzero(left >= size)
+        if not len(at):
+            break
+        names, gram[at] = np.unique(gram[at] * width + chars[at + size - 1], return_inverse=True)
+        of = np.zeros(len(names), np.int64)
+        of[gram[at]] = pair[at]
+        mine, theirs = (np.bincount(gram[some], minlength=len(names)) for some in (at[at < ours], at[at >= ours]))
+        both = np.bincount(of, weights=np.minimum(mine, theirs), minlength=pairs)
+        n_h, n_r = (np.maximum(s - size + 1, 0) for s in (sizes[:pairs], sizes[pairs:]))
+        some = (n_h > 0) & (n_r > 0)
+        n[some] += 1
+        p[some] += both[some] / n_h[some]
+        q[some] += both[some] / n_r[some]
+    return n, p, q
 
 
 def quality_model(labelled: DataFrame, text: str = "text", label: str = "label", features: int = 1 << 16):

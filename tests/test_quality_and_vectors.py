@@ -1,4 +1,6 @@
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -44,6 +46,33 @@ def test_chrf_bounds(spark):
     assert got[3] == pytest.approx(5 * p * r / (4 * p + r), abs=1e-6)
 
 
+def test_chrf_counts_many_pairs_at_once(spark, monkeypatch):
+    """Slices of any size give what counting each pair's n-grams gives."""
+    rng = random.Random(5)
+    pairs = [tuple("".join(rng.choice("aab é\n\U0001f600") for _ in range(rng.choice((0, 1, 3, 5, 9, 40)))) for _ in "hr") for _ in range(200)]
+
+    def brute(h, r):
+        h, r = (re.sub(r"[ \n]+", "", t) for t in (h, r))
+        p, q = [], []
+        for n in range(1, 7):
+            a, b = (Counter(t[i:i + n] for i in range(len(t) - n + 1)) for t in (h, r))
+            if a and b:
+                p.append((a & b).total() / a.total())
+                q.append((a & b).total() / b.total())
+        p, q = (sum(x) / max(1, len(x)) for x in (p, q))
+        return 5 * p * q / (4 * p + q) if p else 0.0
+
+    want = [brute(*pair) for pair in pairs]
+    df = spark.createDataFrame([(i, *pair) for i, pair in enumerate(pairs)] + [(200, None, "a")], "i int, h string, r string")
+    got = values(df.select("i", ql.chrf("h", "r").alias("s")), "s", "i")
+    assert [s for s, i in sorted(got, key=lambda x: x[1])] == pytest.approx([*want, 0.0], abs=1e-6)
+    bare = [[re.sub(r"[ \n]+", "", t) for t in side] for side in zip(*pairs)]
+    for size in (1, 7, 100):
+        monkeypatch.setattr(ql, "CHRF_CHARS", size)
+        assert list(ql._gram_scores(*bare, 6, 2.0)) == pytest.approx(want)
+    assert list(ql._gram_scores([], [], 6, 2.0)) == [] and list(ql._gram_scores([""], [""], 6, 2.0)) == [0.0]
+
+
 def test_unique_and_near_claims(spark):
     words = [f"w{i}" for i in range(20)]
     rows = [(1, " ".join(words)), (2, " ".join(words).upper() + "!"), (3, " ".join(words[:19] + ["other"])), (4, "short and different")]
