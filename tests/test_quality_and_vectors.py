@@ -10,6 +10,7 @@ from attesta.functions import vectors as vx
 from attesta.operators import neighbours as nb
 from attesta.operators import quality as ql
 from attesta.operators import retrieval
+from attesta.operators.similar_sets import _meeting, prefixes
 from tests.conftest import values
 
 
@@ -73,6 +74,14 @@ def test_chrf_counts_many_pairs_at_once(spark, monkeypatch):
     assert list(ql._gram_scores([], [], 6, 2.0)) == [] and list(ql._gram_scores([""], [""], 6, 2.0)) == [0.0]
 
 
+def test_sets_that_share_one_word_do_not_meet(spark):
+    """A shared rare token alone makes no pair of long sets, and tokens of one set are not kept."""
+    rows = [(i, ["a", *[f"w{i}-{j}" for j in range(9)]]) for i in range(20)] + [(20, ["b", *[f"v{j}" for j in range(9)]]), (21, ["c", *[f"v{j}" for j in range(9)]])]
+    first = prefixes(spark.createDataFrame(rows, "id long, toks array<string>"), 0.7)
+    assert first.filter("id < 20").select("token").distinct().count() <= 1
+    assert values(_meeting(first, first, 0.7), "a", "b") == [(20, 21)]
+
+
 def test_unique_and_near_claims(spark):
     words = [f"w{i}" for i in range(20)]
     rows = [(1, " ".join(words)), (2, " ".join(words).upper() + "!"), (3, " ".join(words[:19] + ["other"])), (4, "short and different")]
