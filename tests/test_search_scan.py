@@ -1,3 +1,6 @@
+import numpy as np
+import pytest
+
 from attesta.operators import search
 from tests.conftest import values
 from tests.test_search import KEYS, brute, corpus
@@ -24,3 +27,24 @@ def test_an_id_on_two_rows_is_found_once(spark):
     asked = spark.createDataFrame([(0, 0, "red fox")], "article_id long, claim_id int, claim string")
     found = search.top_k_search(index, asked, KEYS, "claim", k=5, scheme="overlap")
     assert values(found, "doc_id", "search_rank") == [(1, 1), (2, 2)]
+
+
+@pytest.mark.parametrize("common, slice_, entries", [(128, 256, 2**18), (4, 2, 5), (0, 3, 1), (10**9, 1, 7)])
+def test_common_and_rare_terms_add_up(monkeypatch, common, slice_, entries):
+    """Whichever terms go through products and however they are cut, a score is the sum over the terms that query and document share."""
+    for name, value in (("COMMON", common), ("SLICE", slice_), ("ENTRIES", entries)):
+        monkeypatch.setattr(search, name, value)
+    rng, n, width, terms = np.random.default_rng(1), 9, 40, 30
+    asks = rng.random((n, terms)) < np.linspace(0.05, 0.9, terms)
+    holds = rng.random((terms, width)) < np.linspace(0.02, 0.95, terms)[:, None]
+    weight, gains = rng.random((n, terms)) * asks, rng.random((terms, width)) * holds
+    row, pos = np.nonzero(holds)
+    col, who = np.nonzero(asks.T)
+    p, q = np.r_[0, np.cumsum(holds.sum(1))], np.r_[0, np.cumsum(asks.sum(0))]
+    got = search._summed(p[:-1], p[1:], q[:-1], q[1:], pos, gains[row, pos], who, weight[who, col], n, width)
+    assert np.allclose(got, weight @ gains, atol=1e-12)
+
+
+def test_no_term_is_met():
+    none = np.zeros(0, np.int64)
+    assert not search._summed(none, none, none, none, none, np.zeros(0), none, np.zeros(0), 2, 3).any()
