@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from attesta.operators import search
@@ -48,3 +49,39 @@ def test_common_and_rare_terms_add_up(monkeypatch, common, slice_, entries):
 def test_no_term_is_met():
     none = np.zeros(0, np.int64)
     assert not search._summed(none, none, none, none, none, np.zeros(0), none, np.zeros(0), 2, 3).any()
+
+
+def test_documents_are_repeated_for_no_row_of_queries(spark, monkeypatch):
+    """Parts and rows of queries meet as a product: neither is written again for each of the other."""
+    for name, value in (("BLOCK", 3), ("BLOCKS", 2), ("PART_TOKENS", 300)):
+        monkeypatch.setattr(search, name, value)
+    docs, queries = corpus(5)
+    index = search.build_index(spark.createDataFrame(docs, "doc_id long, text string"))
+    asked = spark.createDataFrame(queries, "article_id long, claim_id int, claim string")
+    plan = search.top_k_search(index, asked, KEYS, "claim", k=5)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "CoGroups" not in plan
+
+
+@pytest.mark.parametrize("tokens, width", [(1, 3), (7, 2), (10**6, 2048)])
+def test_best_of_parts_in_any_order(tokens, width):
+    """The best are kept over parts whose ids lie in any order; ties go to the lower id, by its fields."""
+    rng, k = np.random.default_rng(3), 3
+    kind = pa.struct([("a", pa.int64()), ("b", pa.int32())])
+    ids = [{"a": int(a), "b": int(b)} for a, b in rng.permutation([(a, b) for a in range(8) for b in range(5)])]
+    terms = [sorted({f"t{x}" for x in rng.integers(0, 4, 3)}) for _ in ids]
+    docs = pa.table({"doc_id": pa.array(ids, kind), "dl": pa.array([len(t) for t in terms], pa.int32()), "term": terms,
+                     "tf": pa.array([[1] * len(t) for t in terms], pa.list_(pa.int32()))})
+    asks = {(0, 0): ["t0", "t1"], (0, 1): ["t3"], (5, 0): ["t2", "zz"], (5, 1): ["t0", "t1", "t2"]}
+    rows = [{"_super": 0, "_block": b, "term": t, "_qn": [q for (c, q), ts in asks.items() if c == b and t in ts]}
+            for b in (5, 0) for t in sorted({t for (c, _), ts in asks.items() if c == b for t in ts})]
+    given = pa.table({"_super": pa.array([0] * len(rows), pa.int32()), "_block": [r["_block"] for r in rows], "term": [r["term"] for r in rows],
+                      "_qn": pa.array([r["_qn"] for r in rows], pa.list_(pa.int32())), "weight": [[1.0] * len(r["_qn"]) for r in rows]})
+    held = search._Asked(search._packed_queries(given).column("asked")[0], k, kind)
+    for part in search._packed_parts(tokens, width)(docs.to_batches()):
+        held.meet(part.column("part")[0], lambda tf, dl: np.ones(len(tf)), width)
+    got = sorted((r["_block"], r["_qn"], -r["score"], r["doc_id"]["a"], r["doc_id"]["b"]) for r in held.found().to_pylist())
+    want = []
+    for (block, q), ts in asks.items():
+        scored = sorted((-float(len(set(ts) & set(t))), d["a"], d["b"]) for d, t in zip(ids, terms) if set(ts) & set(t))
+        want += [(block, q, *s) for s in scored[:k]]
+    assert got == sorted(want)
