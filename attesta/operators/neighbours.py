@@ -20,6 +20,9 @@ from attesta.functions.vectors import projection_buckets
 QUERY_BLOCK = 20_000
 VECTOR_BLOCK = 20_000
 STRIP = 128             # query rows per distance matrix inside a task
+PROBE = 4_096           # vectors whose distances give a first bound of the k-th
+LOOSE = 32              # a bound is made anew if it leaves this many times k vectors
+PAIRS = 100_000         # exact distances that are computed at once
 
 
 def matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -28,22 +31,66 @@ def matrix(column: pa.ChunkedArray) -> np.ndarray:
     return rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(rows), -1)
 
 
+class Rough:
+    """Squared distances to some vectors in single precision, all by one matrix product.
+
+    They are scaled and lack the query's own square, so they compare only within a query. What is lower than another by more than
+    the margin that comes with them (two errors and ``near``, in the units of the vectors) is nearer.
+    """
+
+    def __init__(self, base: np.ndarray):
+        fine = np.isfinite(base).all(axis=1)
+        self.mean = base[fine].mean(axis=0) if fine.any() else np.zeros(base.shape[1])
+        moved = base - self.mean
+        self.scale = float(np.abs(moved[fine]).max(initial=0.0)) or 1.0
+        moved = (moved / self.scale).astype(np.float32)
+        squares = (moved * moved).sum(axis=1)
+        self.longest = float(np.sqrt(squares[fine].max(initial=0.0)))
+        self.base = np.ascontiguousarray(np.c_[-2.0 * moved, squares].T, dtype=np.float32)
+
+    def __call__(self, queries: np.ndarray, near: float) -> tuple[np.ndarray, np.ndarray]:
+        moved = ((queries - self.mean) / self.scale).astype(np.float32)
+        far = np.sqrt((moved.astype(np.float64) ** 2).sum(axis=1, keepdims=True)) + self.longest
+        margin = 4 * (moved.shape[1] + 4) * float(np.finfo(np.float32).eps) * far * far + near / self.scale**2
+        return np.c_[moved, np.ones(len(moved), np.float32)] @ self.base, margin
+
+
+def _same(qids: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of equal ids in the queries and in ascending ``ids``."""
+    first, last = np.searchsorted(ids, qids), np.searchsorted(ids, qids, side="right")
+    n = np.where(qids == qids, last - first, 0)
+    row = np.repeat(np.arange(len(qids)), n)
+    return row, np.arange(len(row)) + np.repeat(first - (np.cumsum(n) - n), n)
+
+
 def _tile_nearest(queries: pa.Table, vectors: pa.Table, k: int, skip_self: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """k nearest rows of ``vectors`` for each of ``queries``, as places in both and distances; ties to the lower id."""
     ids, qids = vectors.column("vec_id").to_numpy(), queries.column("query_id").to_numpy()
     order = np.argsort(ids, kind="stable")
     ids, base, asked = ids[order], matrix(vectors.column("vector"))[order], matrix(queries.column("vector"))
-    base_sq = (base * base).sum(axis=1)
+    base_sq, rough = (base * base).sum(axis=1), Rough(base)
     out = []
     take = min(k + skip_self, len(ids))
+    step = max(1, len(ids) // max(PROBE, take))
     for lo in range(0, len(qids), STRIP):
-        q, qid = asked[lo:lo + STRIP], qids[lo:lo + STRIP]
-        dist = np.round(np.maximum((q * q).sum(axis=1)[:, None] + base_sq[None, :] - 2.0 * q @ base.T, 0.0), 6)
+        q = asked[lo:lo + STRIP]
+        guess, margin = rough(q, 2e-6)
         if skip_self:
-            dist[qid[:, None] == ids[None, :]] = np.inf
+            guess[_same(qids[lo:lo + STRIP], ids)] = np.inf
+        # what the k-th of some vectors rules out need not be compared exactly
+        some = np.ascontiguousarray(guess[:, ::step])
+        for part in (some, guess):
+            kth = np.partition(part, take - 1, axis=1)[:, take - 1:take]
+            left = guess <= np.where(kth < np.inf, kth + margin, np.finfo(np.float32).max).astype(np.float32)
+            if step == 1 or np.count_nonzero(left) <= LOOSE * take * len(q):
+                break
+        row, at = np.divmod(np.flatnonzero(left), len(ids))
+        near = np.empty(len(row))
+        for i in range(0, len(row), PAIRS):
+            r, c = row[i:i + PAIRS], at[i:i + PAIRS]
+            near[i:i + PAIRS] = np.maximum((q * q).sum(axis=1)[r] + base_sq[c] - 2.0 * np.einsum("ij,ij->i", q[r], base[c]), 0.0)
+        near = np.round(near, 6)
         # ids are ascending, so (distance, position) order is (distance, id) order
-        row, at = np.nonzero(dist <= np.partition(dist, take - 1, axis=1)[:, take - 1:take])
-        near = dist[row, at]
         by = np.lexsort((at, near, row))
         row, at, near = row[by], at[by], near[by]
         kept = (np.arange(len(row)) - np.searchsorted(row, row) < k) & np.isfinite(near)
