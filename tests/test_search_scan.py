@@ -85,3 +85,11 @@ def test_best_of_parts_in_any_order(tokens, width):
         scored = sorted((-float(len(set(ts) & set(t))), d["a"], d["b"]) for d, t in zip(ids, terms) if set(ts) & set(t))
         want += [(block, q, *s) for s in scored[:k]]
     assert got == sorted(want)
+
+
+def test_only_asked_terms_leave_the_postings(spark):
+    """What joins the queries are the postings of their terms, not the whole corpus."""
+    index = search.build_index(spark.createDataFrame(corpus(5)[0], "doc_id long, text string"), tile=7)
+    _, opened = index.shelved(spark.createDataFrame([("w1",), ("w2",), ("w1",), ("unseen",)], "term string"))
+    assert values(opened.select("term").distinct(), "term") == [("w1",), ("w2",)]
+    assert opened.count() == index.postings.filter("term IN ('w1', 'w2')").count()
